@@ -55,6 +55,22 @@ class Inputs:
     def cleaned(self) -> ix.CleanResult:
         return ix.run(self.interactions, self.products, materialize=True)
 
+    @cached_property
+    def cf_pairs(self) -> DataFrame:
+        """Item-pair table (cosine and Gram sums) shared by all CF scorers."""
+        from cartlens.operators.similarity import item_pairs
+        return item_pairs(self.train).checkpoint(eager=True)
+
+    @cached_property
+    def cf_lists(self) -> DataFrame:
+        """Top-40 user- and item-based lists and the top-10 full blend for every train user.
+
+        40 = 4n for n = 10: the hybrid asks the CF blend for 2n, which cuts each list to 4n.
+        """
+        from cartlens.operators.cf import cf_scores, ranked_lists
+        scores = cf_scores(self.train, self.cf_pairs)
+        return ranked_lists(scores, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
+
     @property
     def clean(self) -> DataFrame:
         return self.cleaned.clean
@@ -75,3 +91,4 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         got = Inputs(spark, sf_dir)
         _CACHE[key] = got
     return got
+
