@@ -1,7 +1,7 @@
 """Registered queries (one module per area) and their DuckDB oracle SQL."""
 
 from cartlens.plans import registry
-from cartlens.plans import cleaning, collaborative  # noqa: F401  (registers queries)
+from cartlens.plans import cleaning, collaborative, content  # noqa: F401  (registers queries)
 
 
 def queries():

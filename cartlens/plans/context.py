@@ -71,6 +71,17 @@ class Inputs:
         scores = cf_scores(self.train, self.cf_pairs)
         return ranked_lists(scores, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
 
+    @cached_property
+    def corpus(self) -> DataFrame:
+        from cartlens.operators.content import product_corpus
+        return product_corpus(self.products, self.categories, self.tags)
+
+    @cached_property
+    def content(self):
+        """Fitted TF-IDF model (vocabulary and weights checkpointed)."""
+        from cartlens.operators.content import fit
+        return fit(self.corpus)
+
     @property
     def clean(self) -> DataFrame:
         return self.cleaned.clean

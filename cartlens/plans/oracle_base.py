@@ -64,15 +64,15 @@ products_t AS (
 )"""
 
 TAGS = """
-tag_lists AS (
-  SELECT p_partkey,
-         list_filter(list_distinct_ordered(list_concat([lower(p_brand), lower(p_type)], string_split(lower(p_name), ' '))),
-                     t -> length(t) > 1) AS tags
-  FROM part
+tag_raw AS (
+  SELECT p_partkey, list_concat([lower(p_brand), lower(p_type)], string_split(lower(p_name), ' ')) AS l FROM part
 ),
+tag_pos AS (SELECT p_partkey, unnest(l) AS tag, generate_subscripts(l, 1) AS pos FROM tag_raw),
+tag_first AS (SELECT p_partkey, tag, min(pos) AS pos FROM tag_pos GROUP BY 1, 2),
 product_tags_t AS (
-  SELECT CAST(p_partkey * 10 + i AS BIGINT) AS tag_id, p_partkey AS product_id, tags[i] AS tag
-  FROM tag_lists, range(1, len(tags) + 1) AS r(i)
+  SELECT CAST(p_partkey * 10 + row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS BIGINT) AS tag_id,
+         p_partkey AS product_id, tag
+  FROM tag_first WHERE length(tag) > 1
 )"""
 
 USERS = """
