@@ -26,11 +26,11 @@ def as_dec4(col: Column) -> Column:
     return col.cast(DEC4)
 
 
-def weighted_sum_dec4(a: Column, wa: float, b: Column, wb: float) -> Column:
-    """round(wa*a + wb*b, 4) computed exactly in decimal, returned as double."""
+def weighted_sum_dec4(a: Column, wa: float, b: Column, wb: float, input_type: str = DEC4) -> Column:
+    """round(wa*a + wb*b, 4) computed exactly in decimal (inputs cast to ``input_type``), returned as double."""
     lit_a = F.lit(str(wa)).cast("decimal(10,4)")
     lit_b = F.lit(str(wb)).cast("decimal(10,4)")
-    return F.round(lit_a * a.cast(DEC4) + lit_b * b.cast(DEC4), 4).cast("double")
+    return F.round(lit_a * a.cast(input_type) + lit_b * b.cast(input_type), 4).cast("double")
 
 
 def tie_key(score: Column) -> Column:

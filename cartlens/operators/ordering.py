@@ -34,11 +34,15 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "row_index", st
 
     ``order_cols`` must be a unique key of ``df``, otherwise equal keys get an
     arbitrary but fixed relative order.
+
+    The range-partitioned, sorted rows are checkpointed once: the partition
+    counts and the row positions must come from the same partitioning (range
+    bounds are sampled), and a written copy also survives executor loss.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *_as_cols(order_cols)).sortWithinPartitions(*_as_cols(order_cols))
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("_part", F.shiftright("_mid", _POS_BITS)) \
         .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
