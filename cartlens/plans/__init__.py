@@ -1,7 +1,7 @@
 """Registered queries (one module per area) and their DuckDB oracle SQL."""
 
 from cartlens.plans import registry
-from cartlens.plans import catalogue, cleaning, collaborative, content, hybrid  # noqa: F401  (registers queries)
+from cartlens.plans import catalogue, cleaning, collaborative, content, dashboard, hybrid  # noqa: F401
 
 
 def queries():
