@@ -60,9 +60,11 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, bigrams)
 
 
-def terms(text: Column, ngram_max: int = 2) -> Column:
-    """Full analyser: tokenise, remove stop words, add bigrams."""
-    words = without_stop_words(tokens(text))
+def terms(text: Column, ngram_max: int = 2, stop_words: bool = True) -> Column:
+    """Full analyser: tokenise, remove stop words (before n-grams), add bigrams."""
+    words = tokens(text)
+    if stop_words:
+        words = without_stop_words(words)
     return with_bigrams(words) if ngram_max >= 2 else words
 
 

@@ -42,9 +42,10 @@ def product_corpus(products: DataFrame, categories: DataFrame, tags: DataFrame)
         F.concat(F.col("name"), F.lit(" "), F.col("category"), F.lit(" "), tg, F.lit(" "), desc).alias("corpus"))
 
 
-def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus") -> DataFrame:
+def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus", ngram_max: int = 2,
+                stop_words: bool = True) -> DataFrame:
     """(id, term, tf) raw n-gram counts per document."""
-    return (docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
+    return (docs.select(id_col, F.explode(terms(F.col(text_col), ngram_max, stop_words)).alias("term"))
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -83,15 +84,19 @@ class ContentModel:
     weights: DataFrame
     n_docs: int
     dim: int
+    ngram_max: int = 2
+    stop_words: bool = True
 
     @property
     def product_vectors(self) -> DataFrame:
         return vectors(self.weights, "product_id")
 
 
-def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, materialize: bool = True) -> ContentModel:
+def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, materialize: bool = True, ngram_max: int = 2,
+        stop_words: bool = True) -> ContentModel:
+    """T3-T7 over ``corpus`` (product_id, corpus, ...)."""
     n_docs = corpus.count()
-    tf = term_counts(corpus)
+    tf = term_counts(corpus, ngram_max=ngram_max, stop_words=stop_words)
     if materialize:
         tf = tf.checkpoint(eager=True)
     vocab = vocabulary(tf, n_docs, max_features)
@@ -100,7 +105,8 @@ def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, materialize: bool =
     weights = tfidf(tf, vocab)
     if materialize:
         weights = weights.checkpoint(eager=True)
-    return ContentModel(corpus=corpus, vocab=vocab, weights=weights, n_docs=n_docs, dim=max_features)
+    return ContentModel(corpus=corpus, vocab=vocab, weights=weights, n_docs=n_docs, dim=max_features,
+                        ngram_max=ngram_max, stop_words=stop_words)
 
 
 def similar_products(model: ContentModel, n: int = 10, requested: DataFrame | None = None) -> DataFrame:
@@ -147,7 +153,7 @@ def content_recs(train: DataFrame, model: ContentModel, n: int = 10, top_items:
 def query_vectors(queries: DataFrame, model: ContentModel, id_col: str = "query_id",
                   text_col: str = "text") -> DataFrame:
     """Vectorise free-text queries with the fitted vocabulary and idf (unknown terms ignored)."""
-    tf = term_counts(queries.select(id_col, text_col), id_col, text_col)
+    tf = term_counts(queries.select(id_col, text_col), id_col, text_col, model.ngram_max, model.stop_words)
     return tfidf(tf, model.vocab, id_col)
 
 
