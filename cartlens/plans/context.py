@@ -66,10 +66,11 @@ class Inputs:
         """Top-40 user- and item-based lists and the top-10 full blend for every train user.
 
         40 = 4n for n = 10: the hybrid asks the CF blend for 2n, which cuts each list to 4n.
+        Evaluated blockwise (``cf_blocks``); ``cf.cf_scores`` + ``cf.ranked_lists`` is the
+        equivalent all-join plan.
         """
-        from cartlens.operators.cf import cf_scores, ranked_lists
-        scores = cf_scores(self.train, self.cf_pairs)
-        return ranked_lists(scores, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
+        from cartlens.operators.cf_blocks import blocked_lists
+        return blocked_lists(self.train, self.cf_pairs, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
 
     @cached_property
     def corpus(self) -> DataFrame:

@@ -61,3 +61,17 @@ def test_global_row_index_is_contiguous(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"))
     got = global_row_index(df, ["k"], "i", num_partitions=7).orderBy("k").collect()
     assert [r["i"] for r in got] == list(range(5000))
+
+
+def test_blocked_cf_lists_equal_join_plan(spark):
+    from cartlens.operators.cf import cf_scores, ranked_lists
+    from cartlens.operators.cf_blocks import blocked_lists
+    from cartlens.plans.context import inputs
+    i = inputs(spark, SF0001)
+    keys = ["list", "user_id", "product_id", "rank"]
+    a = blocked_lists(i.train, i.cf_pairs, 40, 40, 10, hist_per_group=1000, min_item_blocks=3)
+    b = ranked_lists(cf_scores(i.train, i.cf_pairs), 40, 40, 10)
+    a = a.select(*keys, F.round("score", 8).alias("s"))
+    b = b.select(*keys, F.round("score", 8).alias("s"))
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
