@@ -83,6 +83,12 @@ class Inputs:
         from cartlens.operators.content import fit
         return fit(self.corpus)
 
+    @cached_property
+    def content_lists(self) -> DataFrame:
+        """Content recommendations, top 20 (= 2n) per train user; the top-10 list is its prefix."""
+        from cartlens.operators.content import content_recs
+        return content_recs(self.train, self.content, 20).checkpoint(eager=True)
+
     @property
     def clean(self) -> DataFrame:
         return self.cleaned.clean
