@@ -50,25 +50,25 @@ def _dense(rows: pd.DataFrame, dim: int) -> np.ndarray:
 
 
 def _top_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, k: int, out: list):
-    """Per row of ``scores``: the k best positive entries, ties by round(score, 10) desc, right id asc."""
+    """Per row of ``scores``: the k best positive entries, ties by round(score, 10) desc, right id asc.
+
+    Vectorised over all rows: columns are put in id order, so a stable sort on
+    the rounded negated score gives exactly the engine-wide tie rule.
+    """
     if scores.size == 0:
         return
-    for r in range(scores.shape[0]):
-        row = scores[r]
-        cand = np.nonzero(row > 0)[0]
-        if cand.size == 0:
-            continue
-        vals = row[cand]
-        if cand.size > k:
-            # keep everything tied with the k-th value, then order exactly
-            kth = np.partition(-np.round(vals, 10), k - 1)[k - 1]
-            keep = -np.round(vals, 10) <= kth
-            cand, vals = cand[keep], vals[keep]
-        order = np.lexsort((right_ids[cand], -np.round(vals, 10)))[:k]
-        sel = cand[order]
-        out.append(pd.DataFrame({"left_id": np.full(sel.size, left_ids[r], dtype=np.int64),
-                                 "right_id": right_ids[sel].astype(np.int64),
-                                 "score": row[sel]}))
+    order = np.argsort(right_ids, kind="stable")
+    rid = right_ids[order]
+    s = scores[:, order]
+    key = -np.round(s, 10)
+    key[s <= 0] = np.inf
+    kk = min(k, s.shape[1])
+    idx = np.argsort(key, axis=1, kind="stable")[:, :kk]
+    vals = np.take_along_axis(s, idx, axis=1)
+    r, c = np.nonzero(vals > 0)
+    if r.size:
+        out.append(pd.DataFrame({"left_id": left_ids[r].astype(np.int64), "right_id": rid[idx[r, c]].astype(np.int64),
+                                 "score": vals[r, c]}))
 
 
 def _kernel(dim: int, k: int, symmetric: bool, exclude_self: bool):

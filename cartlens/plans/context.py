@@ -75,7 +75,7 @@ class Inputs:
     @cached_property
     def corpus(self) -> DataFrame:
         from cartlens.operators.content import product_corpus
-        return product_corpus(self.products, self.categories, self.tags)
+        return product_corpus(self.products, self.categories, self.tags).checkpoint(eager=True)
 
     @cached_property
     def content(self):
