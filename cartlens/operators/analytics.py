@@ -99,3 +99,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def lookup_products(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    """S8 in bulk: one row per requested id, product columns null when the id is unknown (left join)."""
+    return ids.select("product_id").distinct().join(catalog, "product_id", "left")
+
+
+def tags_of(tags: DataFrame, ids: DataFrame) -> DataFrame:
+    """S9 in bulk: the tags of the requested products, in tag_id order per product."""
+    return tags.join(ids.select("product_id").distinct(), "product_id", "left_semi")

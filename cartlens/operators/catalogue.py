@@ -1,9 +1,9 @@
 """Catalogue cleaning and dimension build.
 
 Input: the raw catalogue text columns plus ``source_ord`` (file order).  All
-steps are column expressions, aggregates and joins; the only numbered
-dimension with a global window is the category list, which is aggregated to
-distinct names first.
+steps are column expressions, aggregates and joins; surrogate keys come from
+the range-partitioned ``global_row_index``.  The only global windows number
+at most ``k`` top categories or the ``n`` sampled rows.
 """
 
 from __future__ import annotations
@@ -122,12 +122,11 @@ def category_dim(products: DataFrame, order_col: str = "source_ord") -> DataFram
     subs = products.groupBy(F.col("sub_category").alias("name")).agg(
         F.min(order_col).alias("_first"), F.min_by("main_category", F.col(order_col)).alias("_parent"))
     subs = subs.join(mains.select("name"), "name", "left_anti").filter(F.col("name") != F.col("_parent"))
-    # both tables hold one row per distinct category name
-    main_ids = mains.select("name", F.row_number().over(Window.orderBy("_first")).cast("bigint").alias("category_id"))
+    # surrogate keys in first-appearance order, numbered without a single-task window
+    main_ids = global_row_index(mains, ["_first"], "category_id", start=1).select("name", "category_id")
     n_main = mains.count()
-    sub_ids = subs.select("name", "_parent",
-                          (F.row_number().over(Window.orderBy("_first")) + F.lit(n_main)).cast("bigint")
-                          .alias("category_id"))
+    sub_ids = global_row_index(subs, ["_first"], "category_id", start=n_main + 1).select(
+        "name", "_parent", "category_id")
     parents = main_ids.select(F.col("name").alias("_parent"), F.col("category_id").alias("parent_id"))
     return (main_ids.select("category_id", "name", F.lit(None).cast("bigint").alias("parent_id"))
             .unionByName(sub_ids.join(parents, "_parent", "inner").select("category_id", "name", "parent_id")))

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from cartlens.operators.ordering import global_row_index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,17 +75,16 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types are parent categories, brands are children.
 
     A brand's parent is the type of its lowest part key.  Ids: parents by name
-    from 1, then children by name.  Both inputs are aggregated to distinct
-    names before numbering, so the global window runs over a tiny table.
+    from 1, then children by name (distinct names, numbered with the
+    range-partitioned row index).
     """
     part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     parents = part.groupBy(F.col("p_type").alias("name")).agg(F.lit(0).alias("_level"))
     children = part.groupBy(F.col("p_brand").alias("name")).agg(
         F.min_by("p_type", "p_partkey").alias("_parent_name"))
-    w = Window.orderBy("_level", "name")
     both = parents.select("name", F.lit(0).alias("_level"), F.lit(None).cast("string").alias("_parent_name")) \
         .unionByName(children.select("name", F.lit(1).alias("_level"), "_parent_name"))
-    numbered = both.withColumn("category_id", F.row_number().over(w).cast("bigint"))
+    numbered = global_row_index(both, ["_level", "name"], "category_id", start=1)
     ids = numbered.select(F.col("name").alias("_parent_name"), F.col("category_id").alias("parent_id"))
     return (numbered.join(ids, "_parent_name", "left")
             .select("category_id", "name", "parent_id"))

@@ -122,3 +122,28 @@ def test_tags_and_dimensions(spark):
     got = {(r["product_id"], r["tag"]) for r in cg.product_tags(tags).collect()}
     assert got == {(1, "acme"), (1, "kitchen"), (1, "pans"), (2, "kitchen"), (3, "home"), (3, "mugs"),
                    (4, "zed"), (4, "home"), (4, "kitchen")}
+
+
+def test_defaults_and_cascade(spark):
+    import datetime as _dt
+    from cartlens.operators import quality as qa
+    p = spark.createDataFrame([(1, "a", None, 2.0, None, None, None, None)],
+                              "product_id long, name string, description string, price double, category_id long, "
+                              "avg_rating double, review_count long, created_at timestamp_ntz")
+    now = _dt.datetime(2025, 1, 1)
+    r = qa.apply_defaults(p, "products", now).first()
+    assert r["avg_rating"] == 0.0 and r["review_count"] == 0 and r["created_at"] == now
+    tags = spark.createDataFrame([(10, 1, "x"), (20, 2, "y")], "tag_id long, product_id long, tag string")
+    assert [t["tag_id"] for t in qa.restrict_to_parents(tags, "product_id", p, "product_id").collect()] == [10]
+    v = {(x["table_name"], x["rule"], x["column_name"]): x["violations"]
+         for x in qa.violations({"products": p, "product_tags": tags}).collect()}
+    assert v[("product_tags", "foreign_key", "product_id")] == 1
+    assert v[("products", "not_null", "name")] == 0
+
+
+def test_recommend_switch(spark):
+    from cartlens.operators import hybrid as hy
+    df = spark.createDataFrame([(1, 2, 0.5, 1)], "user_id long, product_id long, score double, rank int")
+    assert hy.recommend("CF", hybrid_list=df, cf_list=df, content_list=df).first()["algo_used"] == "CF"
+    with pytest.raises(ValueError):
+        hy.recommend("nope", hybrid_list=df, cf_list=df, content_list=df)
