@@ -153,3 +153,25 @@ def blocked_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int,
     limit = (F.when(F.col("list") == "user", F.lit(k_user))
              .when(F.col("list") == "item", F.lit(k_item)).otherwise(F.lit(k_blend)))
     return ranked.filter(F.col("rank") <= limit)
+
+
+def cf_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int, k_blend: int = 0,
+             user_weight: float = 0.5, item_weight: float = 0.5, hot_user_rows: int = 200_000,
+             **block_args) -> DataFrame:
+    """Ranked CF lists for every train user, splitting off hot users.
+
+    A user whose history alone exceeds ``hot_user_rows`` would make one block
+    group arbitrarily large, so such users go through the all-join plan
+    (``cf.cf_scores`` + ``cf.ranked_lists``), whose fan-out is spread by item
+    and aggregated by (user, item); everyone else is scored blockwise.  Both
+    paths are exact, so the union equals either plan alone.
+    """
+    from cartlens.operators.cf import cf_scores, ranked_lists
+    sizes = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_user_rows).select("user_id")
+    if hot.limit(1).count() == 0:
+        return blocked_lists(train, pairs, k_user, k_item, k_blend, user_weight, item_weight, **block_args)
+    light = sizes.filter(F.col("_n") <= hot_user_rows).select("user_id")
+    a = blocked_lists(train, pairs, k_user, k_item, k_blend, user_weight, item_weight, users=light, **block_args)
+    b = ranked_lists(cf_scores(train, pairs, users=hot), k_user, k_item, k_blend, user_weight, item_weight)
+    return a.unionByName(b.select(*a.columns))

@@ -66,9 +66,13 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def clean(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
-    """S3 -> D2 -> D3 -> D4/D5 -> D6."""
-    return (enrich(interactions, products)
-            .transform(dedup)
+    """S3 -> D2 -> D3 -> D4/D5 -> D6.
+
+    The dedup runs before the product join (same result: the inner join keeps
+    or drops all rows of a product together), so the (user, product) shuffle
+    spreads a hot product over tasks and the join sees one row per pair.
+    """
+    return (enrich(dedup(interactions), products)
             .transform(lambda d: activity_filter(d, min_user, min_product))
             .transform(assign_scores)
             .transform(fill_missing)
@@ -137,7 +141,7 @@ def diagnostics(interactions: DataFrame, products: DataFrame, result: CleanResul
     clean/train/test tables instead of recomputing the split.
     """
     enriched = enrich(interactions, products)
-    deduped = dedup(enriched)
+    deduped = enrich(dedup(interactions), products)
     filtered = activity_filter(deduped, min_user, min_product)
     if result is None:
         result = run(interactions, products, min_user, min_product, test_ratio, materialize=False)

@@ -69,8 +69,8 @@ class Inputs:
         Evaluated blockwise (``cf_blocks``); ``cf.cf_scores`` + ``cf.ranked_lists`` is the
         equivalent all-join plan.
         """
-        from cartlens.operators.cf_blocks import blocked_lists
-        return blocked_lists(self.train, self.cf_pairs, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
+        from cartlens.operators.cf_blocks import cf_lists
+        return cf_lists(self.train, self.cf_pairs, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
 
     @cached_property
     def corpus(self) -> DataFrame:

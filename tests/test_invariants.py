@@ -75,3 +75,18 @@ def test_blocked_cf_lists_equal_join_plan(spark):
     b = b.select(*keys, F.round("score", 8).alias("s"))
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_users_split_equals_join_plan(spark):
+    from cartlens.operators.cf import cf_scores, ranked_lists
+    from cartlens.operators.cf_blocks import cf_lists
+    from cartlens.plans.context import inputs
+    i = inputs(spark, SF0001)
+    sizes = i.train.groupBy("user_id").count()
+    threshold = sorted(r["count"] for r in sizes.collect())[-5]  # a handful of users count as hot
+    keys = ["list", "user_id", "product_id", "rank"]
+    a = cf_lists(i.train, i.cf_pairs, 40, 40, 10, hot_user_rows=threshold - 1)
+    b = ranked_lists(cf_scores(i.train, i.cf_pairs), 40, 40, 10)
+    a = a.select(*keys, F.round("score", 8).alias("s"))
+    b = b.select(*keys, F.round("score", 8).alias("s"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
