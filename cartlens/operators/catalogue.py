@@ -144,7 +144,7 @@ def product_dim(products: DataFrame, categories: DataFrame, order_col: str = "so
     numbered = global_row_index(products, [order_col], "product_id", start=1)
     name = F.col("product_name") if not max_name_chars else F.substring("product_name", 1, max_name_chars)
     desc = F.col("description") if not max_description_chars else F.substring("description", 1, max_description_chars)
-    return numbered.join(F.broadcast(mains), "main_category", "left").select(
+    return numbered.join(mains, "main_category", "left").select(
         "product_id", name.alias("name"), desc.alias("description"), F.col("price").cast("double").alias("price"),
         F.coalesce(F.col("category_id"), F.lit(1)).cast("bigint").alias("category_id"),
         F.col("product_rating").alias("avg_rating"), F.lit(0).cast("bigint").alias("review_count"),
