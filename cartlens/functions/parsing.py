@@ -25,13 +25,13 @@ def strip(col: Column) -> Column:
 
 
 def price_number(text: Column) -> Column:
-    """Drop thousands separators, take the first number; no number -> null."""
+    """Drop thousands separators, take the first number; no number -> null."""
     raw = F.regexp_extract(F.replace(F.coalesce(text, F.lit("nan")), F.lit(","), F.lit("")), PRICE_PATTERN, 1)
     return F.when(raw == "", F.lit(None).cast("double")).otherwise(raw.try_cast("double"))
 
 
 def rating_number(text: Column) -> Column:
-    """Parse, default 3.5, clip to [1, 5]."""
+    """C4: parse, default 3.5, clip to [1, 5]."""
     parsed = F.coalesce(text.try_cast("double"), F.lit(DEFAULT_RATING))
     return F.least(F.greatest(parsed, F.lit(RATING_MIN)), F.lit(RATING_MAX))
 
@@ -42,9 +42,11 @@ def tree_parts(tree: Column) -> Column:
 
 
 def main_category(tree: Column) -> Column:
+    """First part of the tree, stripped."""
     return strip(F.element_at(tree_parts(tree), 1))
 
 
 def sub_category(tree: Column) -> Column:
+    """Second part of the tree, else the first (index guarded: ANSI array access raises)."""
     parts = tree_parts(tree)
     return strip(F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(F.element_at(parts, 1)))

@@ -39,7 +39,7 @@ def clean_catalogue(raw: DataFrame, max_description_chars: int | None = None) ->
     ``max_description_chars`` (the reference loader used 500) is off by
     default: whole descriptions are kept.
     """
-    desc = strip(F.coalesce(F.col("description"), F.lit("")))
+    desc = strip(F.coalesce(F.col("description"), F.lit("")))  # C5
     if max_description_chars:
         desc = F.substring(desc, 1, max_description_chars)
     disc = price_number(F.col("discounted_price"))
@@ -49,14 +49,14 @@ def clean_catalogue(raw: DataFrame, max_description_chars: int | None = None) ->
         strip(F.coalesce(F.col("product_name"), F.lit(UNKNOWN_NAME))).alias("product_name"),
         disc.alias("discounted_price"),
         retail.alias("retail_price"),
-        F.coalesce(disc, retail, F.lit(DEFAULT_PRICE)).alias("price"),
+        F.coalesce(disc, retail, F.lit(DEFAULT_PRICE)).alias("price"),  # C3
         rating_number(F.col("product_rating")).alias("product_rating"),
         desc.alias("description"),
         main_category(F.col("product_category_tree")).alias("main_category"),
         sub_category(F.col("product_category_tree")).alias("sub_category"),
         strip(F.coalesce(F.col("brand"), F.lit(UNKNOWN_BRAND))).alias("brand"),
     )
-    valid = parsed.filter((F.col("price") > 0) & (F.length("product_name") > 3))
+    valid = parsed.filter((F.col("price") > 0) & (F.length("product_name") > 3))  # C9
     # keep the first row of each name in file order; a partial WindowGroupLimit
     # trims each name to one row per input partition before the shuffle
     w = Window.partitionBy("product_name").orderBy("source_ord")

@@ -23,7 +23,7 @@ MAX_FEATURES = 500
 
 
 def product_corpus(products: DataFrame, categories: DataFrame, tags: DataFrame) -> DataFrame:
-    """Products with category name and space-joined tags (in tag_id order), plus the corpus text.
+    """Products with category name and space-joined tags (in tag_id order), plus the corpus text.
 
     Products whose category is unknown drop out (inner join).  Tags are
     pre-aggregated per product before the join; a product's tag list is small.

@@ -47,7 +47,7 @@ def id_maps(train: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def matrix_stats(scores: DataFrame) -> DataFrame:
-    """M4-M6: users, products, stored values and sparsity in one aggregate."""
+    """M4-M6: users, products, stored values (M5: shape and stored-value count) and sparsity in one aggregate."""
     agg = scores.agg(F.countDistinct("user_id").alias("n_users"),
                      F.countDistinct("product_id").alias("n_products"),
                      F.count(F.lit(1)).alias("n_stored"))
