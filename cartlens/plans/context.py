@@ -103,7 +103,11 @@ class Inputs:
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote session
+        app = id(spark)
+    key = (app, sf_dir.rstrip("/"))
     got = _CACHE.get(key)
     if got is None or got.spark is not spark:
         got = Inputs(spark, sf_dir)
