@@ -90,3 +90,18 @@ def test_hot_users_split_equals_join_plan(spark):
     a = a.select(*keys, F.round("score", 8).alias("s"))
     b = b.select(*keys, F.round("score", 8).alias("s"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_runs_from_foreign_working_directory(tmp_path):
+    """The driver imports __spark_entry__ from elsewhere: grouped-map kernels must not need the package on workers."""
+    import subprocess
+    import sys
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['similar_products'](s, %r).count(), e.entry(s).count())\n" % (repo, SF0001))
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
