@@ -36,11 +36,11 @@ class Inputs:
 
     @cached_property
     def products(self) -> DataFrame:
-        return tables.products(self.spark, self.sf_dir)
+        return tables.products(self.spark, self.sf_dir, self.categories).checkpoint(eager=True)
 
     @cached_property
     def categories(self) -> DataFrame:
-        return tables.categories(self.spark, self.sf_dir)
+        return tables.categories(self.spark, self.sf_dir).checkpoint(eager=True)
 
     @cached_property
     def tags(self) -> DataFrame:

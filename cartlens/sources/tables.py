@@ -90,13 +90,14 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("category_id", "name", "parent_id"))
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products(spark: SparkSession, sf_dir: str, categories_df: DataFrame | None = None) -> DataFrame:
     """Parts as products.  The description is the whole document with doc_id = part key."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("description"))
     reviews = (read(spark, sf_dir, "lineitem").select("l_partkey")
                .groupBy("l_partkey").agg(F.count(F.lit(1)).alias("review_count")))
-    cats = categories(spark, sf_dir).filter(F.col("parent_id").isNull()) \
+    cats = (categories_df if categories_df is not None else categories(spark, sf_dir)) \
+        .filter(F.col("parent_id").isNull()) \
         .select(F.col("name").alias("p_type"), "category_id")
     return (
         part.join(cats, "p_type", "left")
