@@ -155,18 +155,43 @@ def blocked_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int,
     return ranked.filter(F.col("rank") <= limit)
 
 
+def plan_costs(train: DataFrame, pairs: DataFrame, hist_per_group: int = 2_000_000,
+               pairs_per_group: int = 1_000_000, min_item_blocks: int | None = None) -> dict:
+    """Rows each CF plan moves, from small aggregates (one row per item).
+
+    join plan: the (history row x neighbour) fan-out = sum over items j of deg(j) * nbrs(j).
+    blocked plan: history rows copied once per item block plus pair rows copied
+    once per user block.
+    """
+    deg = train.groupBy("product_id").agg(F.count(F.lit(1)).alias("_d"))
+    nbr = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("_p"))
+    fan = deg.join(nbr, "product_id", "inner").agg(F.sum(F.col("_d") * F.col("_p")).alias("f")).first()["f"] or 0
+    n_hist = train.count()
+    n_pairs = pairs.count()
+    nb_a = max(1, math.ceil(n_hist / hist_per_group))
+    nb_b = max(min_item_blocks or train.sparkSession.sparkContext.defaultParallelism,
+               math.ceil(n_pairs / pairs_per_group))
+    return {"join_rows": int(fan), "blocked_rows": int(n_hist * nb_b + n_pairs * nb_a)}
+
+
 def cf_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int, k_blend: int = 0,
              user_weight: float = 0.5, item_weight: float = 0.5, hot_user_rows: int = 200_000,
-             **block_args) -> DataFrame:
-    """Ranked CF lists for every train user, splitting off hot users.
-
-    A user whose history alone exceeds ``hot_user_rows`` would make one block
-    group arbitrarily large, so such users go through the all-join plan
-    (``cf.cf_scores`` + ``cf.ranked_lists``), whose fan-out is spread by item
-    and aggregated by (user, item); everyone else is scored blockwise.  Both
-    paths are exact, so the union equals either plan alone.
+             blocked_advantage: float = 3.0, **block_args) -> DataFrame:
+    """Ranked CF lists for every train user, choosing the plan by the rows it moves.
+
+    The blocked plan copies history rows once per item block, so at very large
+    pair tables the all-join plan (whose cost is the fan-out) is cheaper; the
+    blocked rows are processed vectorised, hence ``blocked_advantage``.  In
+    the blocked plan a user whose history alone exceeds ``hot_user_rows``
+    would make one group arbitrarily large, so such users go through the
+    all-join plan, whose fan-out is spread by item and aggregated by (user,
+    item).  Both plans are exact, so any mix equals either plan alone.
     """
     from cartlens.operators.cf import cf_scores, ranked_lists
+    costs = plan_costs(train, pairs, **{k: v for k, v in block_args.items()
+                                        if k in ("hist_per_group", "pairs_per_group", "min_item_blocks")})
+    if costs["blocked_rows"] * blocked_advantage > costs["join_rows"]:
+        return ranked_lists(cf_scores(train, pairs), k_user, k_item, k_blend, user_weight, item_weight)
     sizes = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_user_rows).select("user_id")
     if hot.limit(1).count() == 0:

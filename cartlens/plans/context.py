@@ -48,7 +48,7 @@ class Inputs:
 
     @cached_property
     def users(self) -> DataFrame:
-        return tables.users(self.spark, self.sf_dir)
+        return tables.users(self.spark, self.sf_dir).checkpoint(eager=True)
 
     # cleaned interaction tables (checkpointed once)
     @cached_property
