@@ -58,7 +58,7 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "row_index", st
 
 def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str = "in_head",
                  bucket_units=("day", "hour", "minute", "second"), rank_rows: int = 2_000_000) -> DataFrame:
-    """Flag the first ``k`` rows in (time_col, *tie_cols) order.
+    """Flag the first ``k`` rows in (time_col, *tie_cols) order; null times sort last.
 
     Rows are bucketed by truncated time; a per-bucket count table (one row per
     bucket) locates the bucket holding position ``k``.  Earlier buckets are
@@ -67,35 +67,48 @@ def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str =
     and that ranking uses ``global_row_index`` (range partitioned), so even a
     bucket holding a large share of the data never lands in one task.
     """
+    t = F.col(time_col)
+    timed = df.filter(t.isNotNull())
+    untimed = df.filter(t.isNull())
     if k <= 0:
         return df.withColumn(flag_col, F.lit(False))
-    t = F.col(time_col)
     head_cond: Column = F.lit(False)
     inside: Column = F.lit(True)
     remaining = k
+    row = None
     for unit in bucket_units:
         bucket = F.date_trunc(unit, t)
-        hist = (df.filter(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+        hist = timed.filter(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
         w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         cum = hist.select("_b", "_n", F.sum("_n").over(w).alias("_cum"))
         row = cum.filter(F.col("_cum") >= remaining).orderBy("_b").select("_b", "_n", "_cum").first()
-        if row is None:  # fewer than k rows: everything is in the head
-            return df.withColumn(flag_col, F.lit(True))
+        if row is None:
+            # every timed row is in the head; the rest of the head comes from the null-time rows
+            n_timed = hist.agg(F.sum("_n")).first()[0] or 0
+            if unit != bucket_units[0]:
+                raise AssertionError("boundary bucket lost")  # cannot happen: the bucket holds >= remaining rows
+            need = k - n_timed
+            if need <= 0:
+                return timed.withColumn(flag_col, F.lit(True)).unionByName(untimed.withColumn(flag_col, F.lit(False)))
+            ranked = global_row_index(untimed, list(tie_cols), "_r", start=1)
+            return timed.withColumn(flag_col, F.lit(True)).unionByName(
+                ranked.withColumn(flag_col, F.col("_r") <= need).drop("_r"))
         before = row["_cum"] - row["_n"]
         head_cond = head_cond | (inside & (bucket < F.lit(row["_b"])))
         inside = inside & (bucket == F.lit(row["_b"]))
         remaining = remaining - before
         if remaining == row["_n"]:
             # the boundary bucket ends exactly at position k
-            return df.withColumn(flag_col, head_cond | inside)
+            return timed.withColumn(flag_col, head_cond | inside).unionByName(
+                untimed.withColumn(flag_col, F.lit(False)))
         if row["_n"] <= rank_rows:
             break  # small enough to rank directly
     # rank the rows of the final boundary bucket by the full order key; the
     # rest of the data is flagged by the bucket predicates alone (no join)
     order = [time_col, *tie_cols]
-    boundary = df.filter(inside)
+    boundary = timed.filter(inside)
     parts = max(1, math.ceil(row["_n"] / rank_rows))
     ranked = global_row_index(boundary, order, "_r", start=1, num_partitions=parts)
     boundary_flagged = ranked.withColumn(flag_col, F.col("_r") <= remaining).drop("_r")
-    rest = df.filter(~inside).withColumn(flag_col, head_cond)
-    return rest.unionByName(boundary_flagged)
+    rest = timed.filter(~inside).withColumn(flag_col, head_cond)
+    return rest.unionByName(boundary_flagged).unionByName(untimed.withColumn(flag_col, F.lit(False)))

@@ -147,3 +147,13 @@ def test_recommend_switch(spark):
     assert hy.recommend("CF", hybrid_list=df, cf_list=df, content_list=df).first()["algo_used"] == "CF"
     with pytest.raises(ValueError):
         hy.recommend("nope", hybrid_list=df, cf_list=df, content_list=df)
+
+
+def test_split_puts_null_times_last(spark):
+    from cartlens.operators.ordering import first_k_flag
+    df = spark.createDataFrame([(1, 1, ts(1)), (2, 2, None), (3, 3, ts(2)), (4, 4, None)],
+                               "user_id long, product_id long, event_time timestamp_ntz")
+    got = {r["user_id"]: r["f"] for r in first_k_flag(df, "event_time", ["user_id", "product_id"], 3, "f").collect()}
+    assert got == {1: True, 3: True, 2: True, 4: False}
+    got = {r["user_id"]: r["f"] for r in first_k_flag(df, "event_time", ["user_id", "product_id"], 1, "f").collect()}
+    assert got == {1: True, 3: False, 2: False, 4: False}
