@@ -99,3 +99,20 @@ def test_full_blend_pads_with_zero_items(train):
     assert sorted(per_user[1])[0][1] == 3
     assert [p for _, p, s in sorted(per_user[1])[1:]] == [1, 2]
     assert all(len(v) == 3 for v in per_user.values())
+
+
+def test_hybrid_routes(spark, train):
+    """Known user: normalised blend; cold user: 0.6 x normalised popularity; nothing to say: popularity."""
+    from cartlens.operators import hybrid as hy
+    from cartlens.operators.popularity import popular_list_column
+    cf_list = spark.createDataFrame([(1, 3, 2.0, 1), (1, 4, 1.0, 2)], "user_id long, product_id long, score double, rank int")
+    cb_list = spark.createDataFrame([(1, 4, 0.5, 1)], "user_id long, product_id long, score double, rank int")
+    users = spark.createDataFrame([(1,), (4,), (9,)], "user_id long")
+    got = hy.hybrid(users, train, cf_list, cb_list, popular_list_column(train, 20), popular_list_column(train, 10), 10)
+    rows = {(r["user_id"], r["product_id"]): r["score"] for r in got.collect()}
+    # user 1: item 3 = 0.6 * 1.0; item 4 = 0.6 * 0.5 + 0.4 * 1.0
+    assert rows[(1, 3)] == 0.6 and rows[(1, 4)] == 0.7
+    # user 9 is not in train: CF list = popularity (10, 9, 6, 1), normalised by 10, times 0.6
+    assert [rows[(9, p)] for p in (1, 3, 2, 4)] == [0.6, 0.54, 0.36, 0.06]
+    # user 4 is known but has no list at all: plain popularity
+    assert [rows[(4, p)] for p in (1, 3, 2, 4)] == [10.0, 9.0, 6.0, 1.0]
