@@ -5,7 +5,7 @@ interaction files keep arriving: the per-(user, product) winner of the dedup
 is a streaming aggregation (``max`` of an ordering struct), so the state holds
 one row per pair and each micro-batch emits the pairs whose winner changed
 (``update`` mode).  ``foreachBatch`` merges those rows into a Parquet table of
-current pair scores by rewriting only the affected pairs' rows.
+current pair scores, rewriting only the hash buckets the batch touches.
 """
 
 from __future__ import annotations
@@ -49,28 +49,65 @@ def read_interaction_files(spark: SparkSession, path: str, max_files_per_trigger
             .parquet(path))
 
 
+N_BUCKETS = 64
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("user_id", "product_id"), F.lit(N_BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, table_path: str, before_epoch: int):
+    """Latest version per bucket as of the last committed epoch before ``before_epoch`` (None if empty)."""
+    try:
+        m = spark.read.parquet(f"{table_path}/_manifest")
+    except Exception:  # noqa: BLE001 - no batch committed yet
+        return None
+    m = m.filter(F.col("epoch") < before_epoch)
+    last = m.agg(F.max("epoch")).first()[0]
+    return None if last is None else m.filter(F.col("epoch") == last).select("bucket", "version")
+
+
+def read_current(spark: SparkSession, table_path: str) -> DataFrame:
+    """The current pair table: for each bucket, its latest written version."""
+    man = _manifest(spark, table_path, 2 ** 62)
+    if man is None:
+        return spark.createDataFrame([], "user_id long, product_id long, event_type string, rating double, "
+                                         "event_time timestamp_ntz, interaction_id long, score double")
+    paths = [f"{table_path}/v={r['version']:012d}/bucket={r['bucket']}" for r in man.collect()]  # <= N_BUCKETS
+    return spark.read.option("basePath", table_path).parquet(*paths).drop("v", "bucket")
+
+
 def merge_into(table_path: str):
-    """foreachBatch sink: replace the rows of the updated pairs in a Parquet table.
+    """foreachBatch sink: rewrite only the hash buckets the batch touches.
 
-    Each batch writes a new complete version next to the old one
-    (``<table_path>/v=<epoch>``) and never rewrites in place, so a failed
-    batch can be re-run (the stream reprocesses its epoch).
+    Each batch writes its touched buckets as a new version
+    (``<table_path>/v=<epoch>/bucket=<b>``) and a manifest row per bucket
+    naming its current version; untouched buckets are not read or copied.
+    Nothing is overwritten in place, so a failed batch is simply re-run (the
+    stream replays its epoch and the manifest only advances on success).
     """
     def merge(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
-        out = f"{table_path}/v={epoch_id:012d}"
-        prev = None
-        if epoch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{table_path}/v={epoch_id - 1:012d}")
-            except Exception:  # noqa: BLE001 - first batch or previous batch produced nothing
-                prev = None
-        if prev is not None:
-            keep = prev.join(batch.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-            merged = keep.unionByName(batch)
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(out)
+        b = batch.withColumn("bucket", _bucket())
+        touched = sorted(r[0] for r in b.select("bucket").distinct().collect())  # at most N_BUCKETS values
+        if not touched:
+            return
+        man = _manifest(spark, table_path, epoch_id)
+        merged = b
+        if man is not None:
+            prev = [r for r in man.collect() if r["bucket"] in set(touched)]
+            if prev:
+                paths = [f"{table_path}/v={r['version']:012d}/bucket={r['bucket']}" for r in prev]
+                old = spark.read.option("basePath", table_path).parquet(*paths).drop("v")
+                keep = old.join(b.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
+                merged = keep.unionByName(b)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/v={epoch_id:012d}")
+        new_rows = [(t, epoch_id) for t in touched]
+        cur = spark.createDataFrame(new_rows, "bucket int, version long")
+        if man is not None:
+            cur = man.join(cur.select("bucket"), "bucket", "left_anti").unionByName(cur)
+        cur.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
+            .parquet(f"{table_path}/_manifest/epoch_file={epoch_id:012d}")
     return merge
 
 

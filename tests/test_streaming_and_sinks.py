@@ -24,9 +24,9 @@ def test_stream_matches_batch(spark, tmp_path):
         (landing / f"f{i:03d}.parquet").write_bytes(open(f, "rb").read())
     stream = incremental.read_interaction_files(spark, str(landing))
     incremental.run_available(stream, products, str(tmp_path / "pairs"), str(tmp_path / "ckpt"))
-    latest = sorted(glob.glob(str(tmp_path / "pairs" / "v=*")))[-1]
-    got = {(r["user_id"], r["product_id"]): (r["event_type"], r["score"])
-           for r in spark.read.parquet(latest).collect()}
+    current = incremental.read_current(spark, str(tmp_path / "pairs"))
+    got = {(r["user_id"], r["product_id"]): (r["event_type"], r["score"]) for r in current.collect()}
+    assert len(got) == current.count()
     batch = ix.assign_scores(ix.dedup(ix.enrich(events, products)))
     want = {(r["user_id"], r["product_id"]): (r["event_type"], r["score"]) for r in batch.collect()}
     assert got == want
