@@ -32,7 +32,7 @@ from cartlens.functions.numeric import tie_key
 from cartlens.operators.similarity import with_norm
 
 OUT_SCHEMA = "list string, user_id long, product_id long, score double"
-USER_CHUNK = 512
+USER_CHUNK = 1024
 
 
 def _empty():
@@ -114,7 +114,7 @@ def _kernel(k_user: int, k_item: int, k_blend: int, uw: float, iw: float):
 
 def blocked_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int, k_blend: int = 0,
                   user_weight: float = 0.5, item_weight: float = 0.5, users: DataFrame | None = None,
-                  hist_per_group: int = 2_000_000, pairs_per_group: int = 1_000_000,
+                  hist_per_group: int = 2_000_000, pairs_per_group: int = 2_000_000,
                   min_item_blocks: int | None = None) -> DataFrame:
     """(list, user_id, product_id, score, rank) with the same content as ``cf.ranked_lists``."""
     spark = train.sparkSession
