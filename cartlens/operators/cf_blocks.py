@@ -156,7 +156,7 @@ def blocked_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int,
 
 
 def plan_costs(train: DataFrame, pairs: DataFrame, hist_per_group: int = 2_000_000,
-               pairs_per_group: int = 1_000_000, min_item_blocks: int | None = None) -> dict:
+               pairs_per_group: int = 2_000_000, min_item_blocks: int | None = None) -> dict:
     """Rows each CF plan moves, from small aggregates (one row per item).
 
     join plan: the (history row x neighbour) fan-out = sum over items j of deg(j) * nbrs(j).
