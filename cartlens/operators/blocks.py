@@ -118,7 +118,12 @@ def top_k_dot(left: DataFrame, right: DataFrame | None, dim: int, k: int,
     Result: (left_id, right_id, score, rank).
     """
     symmetric = right is None
+    # each side is read twice (its size picks the block count, then the rows are
+    # shipped), so it is materialised once
+    left = left.select("id", "idx", "val").checkpoint(eager=True)
     n_left = left.count()
+    if not symmetric:
+        right = right.select("id", "idx", "val").checkpoint(eager=True)
     n_right = n_left if symmetric else right.count()
     nb_l = block_count(n_left, block_rows)
     nb_r = nb_l if symmetric else block_count(n_right, block_rows)
