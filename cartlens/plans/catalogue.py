@@ -66,8 +66,8 @@ def product_dim(spark, sf_dir):
     return cg.product_dim(clean, cg.category_dim(clean))
 
 
-@query("product_tags_dim", ob.with_ctes(*BASE, oc.DIMS, body="SELECT * FROM product_tag_dim_t"))
-def product_tags_dim(spark, sf_dir):
+@query("product_tags", ob.with_ctes(*BASE, oc.DIMS, body="SELECT * FROM product_tag_dim_t"))
+def product_tags(spark, sf_dir):
     """C17: tags of every cleaned catalogue product."""
     numbered = global_row_index(_clean(spark, sf_dir), ["source_ord"], "product_id", start=1)
     return cg.product_tags(numbered)
