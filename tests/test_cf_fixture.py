@@ -116,3 +116,12 @@ def test_hybrid_routes(spark, train):
     assert [rows[(9, p)] for p in (1, 3, 2, 4)] == [0.6, 0.54, 0.36, 0.06]
     # user 4 is known but has no list at all: plain popularity
     assert [rows[(4, p)] for p in (1, 3, 2, 4)] == [10.0, 9.0, 6.0, 1.0]
+
+
+def test_pivot_export_and_cap(train):
+    wide = mx.pivot(mx.user_item_scores(train))
+    assert wide.columns == ["user_id", "1", "2", "3", "4"]
+    row = {r["user_id"]: r for r in wide.collect()}[4]
+    assert (row["1"], row["4"]) == (0.0, 1.0)
+    with pytest.raises(ValueError):
+        mx.pivot(mx.user_item_scores(train), max_columns=3)
