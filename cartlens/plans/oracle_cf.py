@@ -63,13 +63,13 @@ ib_ranked AS (
 def blend_sql(n: int) -> str:
     """R10 with n: each list cut to 2n and rounded to 4 places, blended in decimal, top n."""
     return f"""
-ub_cut AS (SELECT user_id, product_id, CAST(round(score, 4) AS DECIMAL(18,4)) AS s FROM ub_ranked WHERE rank <= {2 * n}),
-ib_cut AS (SELECT user_id, product_id, CAST(round(score, 4) AS DECIMAL(18,4)) AS s FROM ib_ranked WHERE rank <= {2 * n}),
+ub_cut_{n} AS (SELECT user_id, product_id, CAST(round(score, 4) AS DECIMAL(18,4)) AS s FROM ub_ranked WHERE rank <= {2 * n}),
+ib_cut_{n} AS (SELECT user_id, product_id, CAST(round(score, 4) AS DECIMAL(18,4)) AS s FROM ib_ranked WHERE rank <= {2 * n}),
 cf_mix_{n} AS (
   SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.product_id, b.product_id) AS product_id,
          CAST(round(CAST(0.5 AS DECIMAL(10,4)) * coalesce(a.s, 0) + CAST(0.5 AS DECIMAL(10,4)) * coalesce(b.s, 0), 4)
               AS DOUBLE) AS score
-  FROM ub_cut a FULL OUTER JOIN ib_cut b ON a.user_id = b.user_id AND a.product_id = b.product_id
+  FROM ub_cut_{n} a FULL OUTER JOIN ib_cut_{n} b ON a.user_id = b.user_id AND a.product_id = b.product_id
 ),
 cf_blend_{n} AS (
   SELECT user_id, product_id, score,
