@@ -33,6 +33,7 @@ from cartlens.operators.similarity import with_norm
 
 OUT_SCHEMA = "list string, user_id long, product_id long, score double"
 USER_CHUNK = 1024
+EXPANSION_CHUNK = 16_000_000
 
 
 def _empty():
@@ -78,13 +79,25 @@ def _kernel(k_user: int, k_item: int, k_blend: int, uw: float, iw: float):
         users, ustart = np.unique(hu, return_index=True)
         uend = np.append(ustart[1:], hu.size)
         out: list = []
-        for c0 in range(0, users.size, USER_CHUNK):
-            cu = users[c0:c0 + USER_CHUNK]
-            lo, hi = ustart[c0], uend[min(c0 + USER_CHUNK, users.size) - 1]
+        # per-user match counts decide the chunks: at most USER_CHUNK users and about
+        # EXPANSION_CHUNK (history row x pair row) matches per NumPy step
+        start_all = np.searchsorted(pj, hj, "left")
+        cnt_all = np.searchsorted(pj, hj, "right") - start_all
+        per_user = np.add.reduceat(cnt_all, ustart) if ustart.size else np.array([], dtype=np.int64)
+        chunks, c0, acc = [], 0, 0
+        for u_i, m in enumerate(per_user):
+            if u_i > c0 and (u_i - c0 >= USER_CHUNK or acc + m > EXPANSION_CHUNK):
+                chunks.append((c0, u_i))
+                c0, acc = u_i, 0
+            acc += m
+        if users.size:
+            chunks.append((c0, users.size))
+        for c0, c1 in chunks:
+            cu = users[c0:c1]
+            lo, hi = ustart[c0], uend[c1 - 1]
             row_user = np.searchsorted(cu, hu[lo:hi])
             j, r, h = hj[lo:hi], hr[lo:hi], hh[lo:hi]
-            start = np.searchsorted(pj, j, "left")
-            cnt = np.searchsorted(pj, j, "right") - start
+            start, cnt = start_all[lo:hi], cnt_all[lo:hi]
             total = int(cnt.sum())
             nu = cu.size
             su = np.zeros(nu * n_items)

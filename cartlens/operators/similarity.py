@@ -28,10 +28,33 @@ def _mirror(pairs: DataFrame, a: str, b: str, value_cols) -> DataFrame:
     return fwd.unionByName(back)
 
 
-def cosine_pairs(train: DataFrame, entity: str, through: str, other: str) -> DataFrame:
-    """Cosine between ``entity`` vectors over ``through``; non-zero pairs, both orders, no self pairs."""
+def _choose_blocked(train: DataFrame, entity: str, through: str, plan: str, advantage: float = 2.0):
+    """'join' / 'blocked' / 'auto' (fewer rows moved, blocked rows weighted by ``advantage``)."""
+    from cartlens.operators.pair_blocks import pairs_plan_costs
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    costs = pairs_plan_costs(train, entity, through, slots)
+    if plan == "join":
+        return None
+    if plan == "blocked" or costs["blocked_rows"] * advantage < costs["join_rows"]:
+        return costs["blocks"]
+    return None
+
+
+def cosine_pairs(train: DataFrame, entity: str, through: str, other: str, plan: str = "auto") -> DataFrame:
+    """Cosine between ``entity`` vectors over ``through``; non-zero pairs, both orders, no self pairs.
+
+    ``plan``: ``join`` (self-join + aggregate), ``blocked`` (``pair_blocks``)
+    or ``auto`` (whichever moves fewer rows).
+    """
     t = with_norm(train.select(entity, through, "score"), entity, "_norm") \
         .select(entity, through, (F.col("score") / F.col("_norm")).alias("_h"))
+    nb = _choose_blocked(train, entity, through, plan)
+    if nb is not None:
+        from cartlens.operators.pair_blocks import blocked_pair_sums
+        rows = t.select(F.col(entity).alias("e"), F.col(through).alias("k"), F.col("_h").alias("h"),
+                        F.lit(0.0).alias("r"), F.lit(0.0).alias("w"))
+        pairs = blocked_pair_sums(rows, nb, with_gram=False).withColumnRenamed("cos", "similarity")
+        return _mirror(pairs, entity, other, ["similarity"])
     a = t.select(F.col(entity).alias("_a"), through, F.col("_h").alias("_ha"))
     b = t.select(F.col(entity).alias("_b"), through, F.col("_h").alias("_hb"))
     pairs = (a.join(b, on=[through], how="inner").filter(F.col("_a") < F.col("_b"))
@@ -49,7 +72,7 @@ def item_similarity(train: DataFrame) -> DataFrame:
     return cosine_pairs(train, "product_id", "user_id", "other_product_id")
 
 
-def item_pairs(train: DataFrame) -> DataFrame:
+def item_pairs(train: DataFrame, plan: str = "auto") -> DataFrame:
     """Item x item table shared by both CF scorers, from ONE self-join on user_id.
 
     For items j != i co-occurring in some user's history:
@@ -60,6 +83,13 @@ def item_pairs(train: DataFrame) -> DataFrame:
     t = with_norm(train.select("user_id", "product_id", "score"), "user_id", "_un")
     t = with_norm(t, "product_id", "_in")
     t = t.select("user_id", "product_id", "score", "_un", (F.col("score") / F.col("_in")).alias("_hi"))
+    nb = _choose_blocked(train, "product_id", "user_id", plan)
+    if nb is not None:
+        from cartlens.operators.pair_blocks import blocked_pair_sums
+        rows = t.select(F.col("product_id").alias("e"), F.col("user_id").alias("k"), F.col("_hi").alias("h"),
+                        F.col("score").alias("r"), (F.lit(1.0) / F.col("_un")).alias("w"))
+        pairs = blocked_pair_sums(rows, nb, with_gram=True)
+        return _mirror(pairs, "product_id", "other_product_id", ["cos", "gram"])
     a = t.select(F.col("product_id").alias("_a"), "user_id", F.col("score").alias("_ra"), F.col("_hi").alias("_ha"),
                  "_un")
     b = t.select(F.col("product_id").alias("_b"), "user_id", F.col("score").alias("_rb"), F.col("_hi").alias("_hb"))

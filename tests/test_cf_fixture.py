@@ -125,3 +125,14 @@ def test_pivot_export_and_cap(train):
     assert (row["1"], row["4"]) == (0.0, 1.0)
     with pytest.raises(ValueError):
         mx.pivot(mx.user_item_scores(train), max_columns=3)
+
+
+@pytest.mark.parametrize("plan", ["join", "blocked"])
+def test_pair_plans_agree(train, plan, monkeypatch):
+    from cartlens.operators import pair_blocks
+    monkeypatch.setattr(pair_blocks, "EXPANSION_CHUNK", 2)  # force many NumPy steps per group
+    got = pairs_of(sim.item_pairs(train, plan), "product_id", "other_product_id", "cos")
+    assert got == {(1, 2): 0.7559, (2, 1): 0.7559, (1, 3): 0.4417, (3, 1): 0.4417, (2, 3): 0.5843, (3, 2): 0.5843}
+    users = pairs_of(sim.cosine_pairs(train, "user_id", "product_id", "other_user_id", plan),
+                     "user_id", "other_user_id", "similarity")
+    assert users[(1, 2)] == 0.741 and users[(3, 2)] == 0.6304 and len(users) == 6
