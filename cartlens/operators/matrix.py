@@ -14,7 +14,7 @@ def user_item_scores(train: DataFrame) -> DataFrame:
     return train.groupBy("user_id", "product_id").agg(F.max("score").alias("score"))
 
 
-def pivot(scores: DataFrame, max_columns: int = 10_000) -> DataFrame:
+def pivot(scores: DataFrame, max_columns: int = 50_000) -> DataFrame:
     """M1 wide export: one column per product, 0.0 where missing.
 
     Wide output only makes sense for small catalogues, so the column count is
