@@ -157,3 +157,22 @@ def test_split_puts_null_times_last(spark):
     assert got == {1: True, 3: True, 2: True, 4: False}
     got = {r["user_id"]: r["f"] for r in first_k_flag(df, "event_time", ["user_id", "product_id"], 1, "f").collect()}
     assert got == {1: True, 3: False, 2: False, 4: False}
+
+
+@pytest.mark.parametrize("rank_rows", [1, 3, 1000])
+def test_split_descends_buckets_like_a_global_sort(spark, rank_rows):
+    """Forcing tiny boundary buckets walks day -> hour -> minute -> second; result equals a plain global order."""
+    from pyspark.sql import Window
+    from cartlens.operators.ordering import first_k_flag
+    base = spark.range(0, 400).select(
+        (F.col("id") % 37).alias("user_id"), F.col("id").alias("product_id"),
+        (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id") % 3, F.col("id") % 5, F.col("id") % 7,
+                                                            F.col("id") % 2)).alias("event_time"))
+    for k in (1, 57, 200, 399, 400):
+        got = {(r["user_id"], r["product_id"]) for r in
+               first_k_flag(base, "event_time", ["user_id", "product_id"], k, "f", rank_rows=rank_rows)
+               .filter("f").collect()}
+        w = Window.orderBy("event_time", "user_id", "product_id")
+        want = {(r["user_id"], r["product_id"]) for r in
+                base.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).collect()}
+        assert got == want, k
