@@ -189,7 +189,7 @@ def plan_costs(train: DataFrame, pairs: DataFrame, hist_per_group: int = 2_000_0
 
 def cf_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int, k_blend: int = 0,
              user_weight: float = 0.5, item_weight: float = 0.5, hot_user_rows: int = 200_000,
-             blocked_advantage: float = 3.0, **block_args) -> DataFrame:
+             blocked_advantage: float = 3.0, users: DataFrame | None = None, **block_args) -> DataFrame:
     """Ranked CF lists for every train user, choosing the plan by the rows it moves.
 
     The blocked plan copies history rows once per item block, so at very large
@@ -199,16 +199,19 @@ def cf_lists(train: DataFrame, pairs: DataFrame, k_user: int, k_item: int, k_ble
     would make one group arbitrarily large, so such users go through the
     all-join plan, whose fan-out is spread by item and aggregated by (user,
     item).  Both plans are exact, so any mix equals either plan alone.
+    ``users`` scores a cohort only (its histories are semi-joined before any fan-out).
     """
     from cartlens.operators.cf import cf_scores, ranked_lists
     costs = plan_costs(train, pairs, **{k: v for k, v in block_args.items()
                                         if k in ("hist_per_group", "pairs_per_group", "min_item_blocks")})
     if costs["blocked_rows"] * blocked_advantage > costs["join_rows"]:
-        return ranked_lists(cf_scores(train, pairs), k_user, k_item, k_blend, user_weight, item_weight)
-    sizes = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+        return ranked_lists(cf_scores(train, pairs, users=users), k_user, k_item, k_blend, user_weight, item_weight)
+    scored = train if users is None else train.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    sizes = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_user_rows).select("user_id")
     if hot.limit(1).count() == 0:
-        return blocked_lists(train, pairs, k_user, k_item, k_blend, user_weight, item_weight, **block_args)
+        return blocked_lists(train, pairs, k_user, k_item, k_blend, user_weight, item_weight, users=users,
+                             **block_args)
     light = sizes.filter(F.col("_n") <= hot_user_rows).select("user_id")
     a = blocked_lists(train, pairs, k_user, k_item, k_blend, user_weight, item_weight, users=light, **block_args)
     b = ranked_lists(cf_scores(train, pairs, users=hot), k_user, k_item, k_blend, user_weight, item_weight)

@@ -105,3 +105,16 @@ def test_runs_from_foreign_working_directory(tmp_path):
         "print('ROWS', e.queries()['similar_products'](s, %r).count(), e.entry(s).count())\n" % (repo, SF0001))
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_cohort_scoring_equals_full_run_rows(spark):
+    from cartlens.operators.cf_blocks import cf_lists
+    from cartlens.plans.context import inputs
+    i = inputs(spark, SF0001)
+    cohort = i.train.select("user_id").distinct().orderBy("user_id").limit(7)
+    part = cf_lists(i.train, i.cf_pairs, 40, 40, 10, users=cohort)
+    full = i.cf_lists.join(cohort, "user_id", "left_semi")
+    keys = ["list", "user_id", "product_id", "rank"]
+    a = part.select(*keys, F.round("score", 8).alias("s"))
+    b = full.select(*keys, F.round("score", 8).alias("s"))
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
