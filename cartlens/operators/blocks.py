@@ -49,26 +49,43 @@ def _dense(rows: pd.DataFrame, dim: int) -> np.ndarray:
     return mat
 
 
-def _top_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, k: int, out: list):
-    """Per row of ``scores``: the k best positive entries, ties by round(score, 10) desc, right id asc.
+def topk_positive(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, col) of the k best positive entries of each row of ``s``.
 
-    Vectorised over all rows: columns are put in id order, so a stable sort on
-    the rounded negated score gives exactly the engine-wide tie rule.
+    Order: round(score, 10) desc, then column asc (callers keep columns in id
+    order).  ``np.partition`` finds each row's k-th key in linear time; only
+    the entries at or above it (ties included) are sorted.
     """
+    key = -np.round(s, 10)
+    key[s <= 0] = np.inf
+    n = s.shape[1]
+    kk = min(k, n)
+    if kk <= 0:
+        return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+    if n > kk:
+        kth = np.partition(key, kk - 1, axis=1)[:, kk - 1:kk]
+        r, c = np.nonzero((key <= kth) & np.isfinite(key))
+    else:
+        r, c = np.nonzero(np.isfinite(key))
+    kv = key[r, c]
+    order = np.lexsort((c, kv, r))
+    r, c = r[order], c[order]
+    rank = np.arange(r.size) - np.searchsorted(r, r, "left")
+    keep = rank < kk
+    return r[keep], c[keep]
+
+
+def _top_rows(scores: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, k: int, out: list):
+    """Per row of ``scores``: the k best positive entries, ties by round(score, 10) desc, right id asc."""
     if scores.size == 0:
         return
     order = np.argsort(right_ids, kind="stable")
     rid = right_ids[order]
     s = scores[:, order]
-    key = -np.round(s, 10)
-    key[s <= 0] = np.inf
-    kk = min(k, s.shape[1])
-    idx = np.argsort(key, axis=1, kind="stable")[:, :kk]
-    vals = np.take_along_axis(s, idx, axis=1)
-    r, c = np.nonzero(vals > 0)
+    r, c = topk_positive(s, k)
     if r.size:
-        out.append(pd.DataFrame({"left_id": left_ids[r].astype(np.int64), "right_id": rid[idx[r, c]].astype(np.int64),
-                                 "score": vals[r, c]}))
+        out.append(pd.DataFrame({"left_id": left_ids[r].astype(np.int64), "right_id": rid[c].astype(np.int64),
+                                 "score": s[r, c]}))
 
 
 def _kernel(dim: int, k: int, symmetric: bool, exclude_self: bool):

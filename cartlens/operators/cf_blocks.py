@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cartlens.functions.numeric import tie_key
+from cartlens.operators.blocks import topk_positive
 from cartlens.operators.similarity import with_norm
 
 OUT_SCHEMA = "list string, user_id long, product_id long, score double"
@@ -44,17 +45,9 @@ def _empty():
 def _top(name, s, users, items, k, out):
     if k <= 0 or s.size == 0:
         return
-    key = -np.round(s, 10)
-    key[s <= 0] = np.inf
-    kk = min(k, s.shape[1])
-    # items are sorted ascending, so a stable sort gives score desc, id asc
-    idx = np.argsort(key, axis=1, kind="stable")[:, :kk]
-    vals = np.take_along_axis(s, idx, axis=1)
-    keep = vals > 0
-    r, c = np.nonzero(keep)
+    r, c = topk_positive(s, k)  # items are sorted ascending: ties go to the lower id
     if r.size:
-        out.append(pd.DataFrame({"list": name, "user_id": users[r], "product_id": items[idx[r, c]],
-                                 "score": vals[r, c]}))
+        out.append(pd.DataFrame({"list": name, "user_id": users[r], "product_id": items[c], "score": s[r, c]}))
 
 
 def _kernel(k_user: int, k_item: int, k_blend: int, uw: float, iw: float):
