@@ -34,4 +34,10 @@ def weighted_sum_dec4(a: Column, wa: float, b: Column, wb: float, input_type: st
 
 
 def tie_key(score: Column) -> Column:
-    return F.round(score, TIE_DIGITS)
+    """Score on a 1e-10 grid, for ordering only.
+
+    ``rint(x * 1e10)`` is plain double arithmetic (``round`` on a double goes
+    through BigDecimal per row) and gives the same order as rounding to 10
+    places except at exact half-way points.
+    """
+    return F.rint(score * F.lit(10.0 ** TIE_DIGITS))
