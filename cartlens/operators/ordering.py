@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 _POS_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
+ROWS_PER_PARTITION = 1_000_000
 
 
 def _as_cols(cols):
@@ -40,7 +41,12 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "row_index", st
     bounds are sampled), and a written copy also survives executor loss.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions is None:
+        # one range partition per ~1 M rows (never more than the shuffle partitions)
+        rows = df.count()
+        num_partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                    math.ceil(rows / ROWS_PER_PARTITION)))
+    n = num_partitions
     ranged = df.repartitionByRange(n, *_as_cols(order_cols)).sortWithinPartitions(*_as_cols(order_cols))
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     tagged = tagged.withColumn("_part", F.shiftright("_mid", _POS_BITS)) \
