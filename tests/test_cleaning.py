@@ -176,3 +176,20 @@ def test_split_descends_buckets_like_a_global_sort(spark, rank_rows):
         want = {(r["user_id"], r["product_id"]) for r in
                 base.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).collect()}
         assert got == want, k
+
+
+@pytest.mark.parametrize("log, raw, deduped, users, products, score_sum", [
+    ("order", 6000, 5382, 150, 200, 13901.5),
+    ("event", 1000, 739, 15, 100, 2252.0),
+])
+def test_driver_mapping_matches_fixture_table(spark, log, raw, deduped, users, products, score_sum):
+    """FIXTURES.md section 2 lists these sf0.001 figures for both interaction views."""
+    from conftest import SF0001
+    from cartlens.sources import tables
+    src = tables.order_log(spark, SF0001) if log == "order" else tables.event_log(spark, SF0001)
+    prods = tables.products(spark, SF0001)
+    assert ix.enrich(src, prods).count() == raw
+    c = ix.clean(src, prods)
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("u"),
+              F.countDistinct("product_id").alias("p"), F.sum("score").alias("s")).first()
+    assert (r["n"], r["u"], r["p"], r["s"]) == (deduped, users, products, score_sum)
