@@ -118,3 +118,14 @@ def test_cohort_scoring_equals_full_run_rows(spark):
     a = part.select(*keys, F.round("score", 8).alias("s"))
     b = full.select(*keys, F.round("score", 8).alias("s"))
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cohort_path_without_pair_table(spark):
+    from cartlens.operators.cf import cohort_scores, ranked_lists
+    from cartlens.plans.context import inputs
+    i = inputs(spark, SF0001)
+    cohort = i.train.select("user_id").distinct().orderBy("user_id").limit(5)
+    keys = ["list", "user_id", "product_id", "rank"]
+    a = ranked_lists(cohort_scores(i.train, cohort), 40, 40, 10).select(*keys, F.round("score", 8).alias("s"))
+    b = i.cf_lists.join(cohort, "user_id", "left_semi").select(*keys, F.round("score", 8).alias("s"))
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
