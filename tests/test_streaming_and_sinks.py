@@ -43,3 +43,10 @@ def test_sinks_roundtrip(spark, tmp_path):
                                  "was_clicked int, generated_at timestamp_ntz")
     p = sinks.write_recommendations(recs, base)
     assert glob.glob(p + "/algo_used=CF/*.parquet")
+    from cartlens.operators import matrix as mx
+    m = sinks.write_matrix(mx.user_item_scores(i.train), base)
+    assert sinks.read_table(spark, m).count() == i.train.count()
+    dims = sinks.write_dimensions(i.categories, i.products, i.tags, base)
+    assert sinks.read_table(spark, dims["products"]).count() == i.products.count()
+    models = sinks.save_models(base, item_pairs=i.cf_pairs, vocab=i.content.vocab, weights=i.content.weights)
+    assert sinks.read_table(spark, models["vocabulary"]).count() == i.content.vocab.count()
