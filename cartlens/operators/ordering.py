@@ -23,6 +23,8 @@ from pyspark.sql import Window
 
 _POS_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 ROWS_PER_PARTITION = 1_000_000
+BUCKET_FORMATS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm",
+                  "second": "yyyy-MM-dd HH:mm:ss"}
 
 
 def _as_cols(cols):
@@ -83,7 +85,9 @@ def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str =
     remaining = k
     row = None
     for unit in bucket_units:
-        bucket = F.date_trunc(unit, t)
+        # buckets are fixed-width wall-clock text (sorts like time, no time-zone
+        # conversion on the way to the driver and back)
+        bucket = F.date_format(t, BUCKET_FORMATS[unit])
         hist = timed.filter(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
         w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         cum = hist.select("_b", "_n", F.sum("_n").over(w).alias("_cum"))

@@ -193,3 +193,26 @@ def test_driver_mapping_matches_fixture_table(spark, log, raw, deduped, users, p
     r = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("u"),
               F.countDistinct("product_id").alias("p"), F.sum("score").alias("s")).first()
     assert (r["n"], r["u"], r["p"], r["s"]) == (deduped, users, products, score_sum)
+
+
+def test_split_is_time_zone_proof(spark):
+    from pyspark.sql import Window
+    from cartlens.operators.ordering import first_k_flag
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        base = spark.range(0, 300).select(
+            (F.col("id") % 11).alias("user_id"), F.col("id").alias("product_id"),
+            (F.lit(dt.datetime(2024, 3, 10)) + F.make_dt_interval(F.lit(0), F.col("id") % 48, F.col("id") % 60,
+                                                                  F.lit(0))).alias("event_time"))
+        base = base.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+        for rank_rows in (1, 1000):
+            got = {(r["user_id"], r["product_id"]) for r in
+                   first_k_flag(base, "event_time", ["user_id", "product_id"], 123, "f", rank_rows=rank_rows)
+                   .filter("f").collect()}
+            w = Window.orderBy("event_time", "user_id", "product_id")
+            want = {(r["user_id"], r["product_id"]) for r in
+                    base.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 123).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
