@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from cartlens.functions.scoring import event_precedence, event_score
 from cartlens.sources import schemas
 
-_MIN = -(2 ** 62)
+_MAX = 2 ** 62
 
 
 def _winner_key():
-    """Larger is better: precedence desc, then interaction_id asc, then event_time asc (nulls last)."""
+    """Smaller is better: precedence desc, then interaction_id asc, then event_time asc (nulls last).
+
+    Compared with ``min``; the time is used as is, so no time-zone conversion is involved.
+    """
     return F.struct(
-        F.coalesce(event_precedence(F.col("event_type")), F.lit(0)).alias("p"),
-        F.coalesce(-F.col("interaction_id"), F.lit(_MIN)).alias("i"),
-        F.coalesce(-F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(_MIN)).alias("t"),
+        (-F.coalesce(event_precedence(F.col("event_type")), F.lit(0))).alias("p"),
+        F.coalesce(F.col("interaction_id"), F.lit(_MAX)).alias("i"),
+        F.col("event_time").isNull().alias("tn"),
+        F.col("event_time").alias("t"),
     )
 
 
@@ -37,7 +41,7 @@ def pair_scores(stream: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select("product_id")
     enriched = stream.join(p, "product_id", "inner")
     best = enriched.groupBy("user_id", "product_id").agg(
-        F.max(F.struct(_winner_key().alias("k"), F.col("event_type"), F.col("rating"),
+        F.min(F.struct(_winner_key().alias("k"), F.col("event_type"), F.col("rating"),
                        F.col("event_time"), F.col("interaction_id"))).alias("w"))
     return best.select("user_id", "product_id", "w.event_type", "w.rating", "w.event_time", "w.interaction_id",
                        event_score(F.col("w.event_type"), F.col("w.rating")).alias("score"))
