@@ -1,0 +1 @@
+"""Column expressions (JVM-side built-ins only)."""

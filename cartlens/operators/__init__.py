@@ -1,0 +1 @@
+"""DataFrame -> DataFrame jobs, one module per area of the operator inventory."""

@@ -1,0 +1 @@
+"""Schemas, driver-table mapping, writers and readers."""

@@ -1,0 +1 @@
+"""Structured Streaming form of the interaction dedup/scoring (the reference itself is batch only)."""
