@@ -65,20 +65,29 @@ def fill_missing(df: DataFrame) -> DataFrame:
             .withColumn("session_id", F.coalesce(F.col("session_id"), F.lit(-1)).cast("bigint")))
 
 
-def clean(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
-    """S3 -> D2 -> D3 -> D4/D5 -> D6.
+def deduped_enriched(interactions: DataFrame, products: DataFrame) -> DataFrame:
+    """S3 + D2: one row per (user, product) with the product fields.
 
     The dedup runs before the product join (same result: the inner join keeps
     or drops all rows of a product together), so the (user, product) shuffle
     spreads a hot product over tasks and the join sees one row per pair.
     """
-    return (enrich(dedup(interactions), products)
-            .transform(lambda d: activity_filter(d, min_user, min_product))
+    return enrich(dedup(interactions), products)
+
+
+def score_filtered(deduped: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
+    """D3 -> D4/D5 -> D6 on the deduplicated rows."""
+    return (activity_filter(deduped, min_user, min_product)
             .transform(assign_scores)
             .transform(fill_missing)
             .select(*CLEAN_COLUMNS))
 
 
+def clean(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
+    """S3 -> D2 -> D3 -> D4/D5 -> D6."""
+    return score_filtered(deduped_enriched(interactions, products), min_user, min_product)
+
+
 def flag_train(clean_df: DataFrame, test_ratio: float = 0.2) -> DataFrame:
     """``is_train`` marks the first ``int(n * (1 - test_ratio))`` rows by event time.
 
@@ -100,6 +109,7 @@ class CleanResult:
     clean: DataFrame
     train: DataFrame
     test: DataFrame
+    deduped: DataFrame | None = None
 
 
 def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3,
@@ -110,7 +120,10 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
     ``spark.checkpoint.dir``) before the split reads it several times, which
     also cuts lineage so a lost executor does not replay the dedup.
     """
-    c = clean(interactions, products, min_user, min_product)
+    d = deduped_enriched(interactions, products)
+    if materialize:
+        d = d.checkpoint(eager=True)  # read three times by the activity filter
+    c = score_filtered(d, min_user, min_product)
     if materialize:
         c = c.checkpoint(eager=True)
     flagged = flag_train(c, test_ratio)
@@ -118,7 +131,7 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
         flagged = flagged.checkpoint(eager=True)
     train = flagged.filter(F.col("is_train")).drop("is_train")
     test_all = flagged.filter(~F.col("is_train")).drop("is_train")
-    return CleanResult(clean=c, train=train, test=warm_test(train, test_all))
+    return CleanResult(clean=c, train=train, test=warm_test(train, test_all), deduped=d)
 
 
 def stage_summary(name: str, order: int, df: DataFrame, with_score: bool) -> DataFrame:
@@ -141,10 +154,10 @@ def diagnostics(interactions: DataFrame, products: DataFrame, result: CleanResul
     clean/train/test tables instead of recomputing the split.
     """
     enriched = enrich(interactions, products)
-    deduped = enrich(dedup(interactions), products)
-    filtered = activity_filter(deduped, min_user, min_product)
     if result is None:
         result = run(interactions, products, min_user, min_product, test_ratio, materialize=False)
+    deduped = result.deduped if result.deduped is not None else deduped_enriched(interactions, products)
+    filtered = activity_filter(deduped, min_user, min_product)
     stages = [("loaded", enriched, False), ("dedup", deduped, False), ("filtered", filtered, False),
               ("scored", result.clean, True), ("train", result.train, True), ("test", result.test, True)]
     out = None

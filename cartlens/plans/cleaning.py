@@ -21,8 +21,7 @@ def interactions_enriched(spark, sf_dir):
 
 @query("interactions_dedup", ob.with_ctes(*CLEAN, body="SELECT * FROM deduped"))
 def interactions_dedup(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    return ix.enrich(ix.dedup(i.interactions), i.products)
+    return inputs(spark, sf_dir).cleaned.deduped
 
 
 _STRICT = ob.clean_ctes(min_user=40, min_product=30)
@@ -32,7 +31,7 @@ _STRICT = ob.clean_ctes(min_user=40, min_product=30)
 def activity_filter(spark, sf_dir):
     """D3 with thresholds high enough to bite on the order log (users >= 40, products >= 30)."""
     i = inputs(spark, sf_dir)
-    return ix.activity_filter(ix.enrich(ix.dedup(i.interactions), i.products), 40, 30)
+    return ix.activity_filter(i.cleaned.deduped, 40, 30)
 
 
 @query("interactions_scored", ob.with_ctes(*CLEAN, body="SELECT * FROM clean_t"))
