@@ -47,3 +47,19 @@ def test_matches_oracle(spark, con, name):
 def test_every_query_has_an_oracle():
     missing = set(_entry.queries()) - set(_entry.oracle_sql())
     assert missing == set()
+
+
+@pytest.mark.parametrize("name", ["temporal_split", "catalog_clean", "recommendations_table", "rating_histogram"])
+def test_matches_oracle_with_ansi_off_and_local_time_zone(spark, con, name):
+    """Results must not depend on ANSI mode or the session time zone (fresh inputs via a distinct path)."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = _entry.queries()[name](spark, SF0001 + "/.")
+        got = _canon(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    res = con.execute(_entry.oracle_sql()[name])
+    assert got == _canon([d[0] for d in res.description], res.fetchall())
