@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cartlens.llm import mixing, packing, sharding
+    from cartlens.llm import (bitsliced_topk, mixing, packing, quality_classifier, secret_grammar, sharding,
+                              suffix_repetition, toxicity)
 
-    jobs = [packing.op2_complement_packing, mixing.op3_curriculum_mix, sharding.op4_jump_sharding]
+    jobs = [packing.op2_complement_packing, mixing.op3_curriculum_mix, sharding.op4_jump_sharding,
+            toxicity.op5_nnpu_toxicity, quality_classifier.op6_pu_quality, suffix_repetition.op7_suffix_repetition,
+            secret_grammar.op8_secret_grammar, bitsliced_topk.op9_bitsliced_topk]
     return {f.__name__: f for f in jobs}
 
 
