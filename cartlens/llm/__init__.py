@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cartlens.llm import (bitsliced_topk, mixing, packing, quality_classifier, secret_grammar, sharding,
-                              suffix_repetition, toxicity)
+    from cartlens.llm import (bitsliced_topk, mixing, ngram_jaccard, packing, preference_format, quality_classifier,
+                              secret_grammar, sharding, suffix_repetition, toxicity)
 
-    jobs = [packing.op2_complement_packing, mixing.op3_curriculum_mix, sharding.op4_jump_sharding,
-            toxicity.op5_nnpu_toxicity, quality_classifier.op6_pu_quality, suffix_repetition.op7_suffix_repetition,
-            secret_grammar.op8_secret_grammar, bitsliced_topk.op9_bitsliced_topk]
+    jobs = [preference_format.op1_preference_format, packing.op2_complement_packing, mixing.op3_curriculum_mix,
+            sharding.op4_jump_sharding, toxicity.op5_nnpu_toxicity, quality_classifier.op6_pu_quality,
+            suffix_repetition.op7_suffix_repetition, secret_grammar.op8_secret_grammar,
+            bitsliced_topk.op9_bitsliced_topk, ngram_jaccard.op10_combination_prefixes]
     return {f.__name__: f for f in jobs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
+    from cartlens.llm import preference_format
+
+    return {"op1_preference_format": preference_format.OP1_SQL}
