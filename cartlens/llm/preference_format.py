@@ -109,11 +109,11 @@ numbered AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
                  ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM once),
 reply AS (SELECT conv_id, text, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k,
                  count(*) OVER (PARTITION BY conv_id) AS n FROM numbered WHERE role = 'assistant'),
-pair AS (SELECT a.conv_id, a.pos AS at, b.text AS other FROM reply a JOIN reply b
+pair AS (SELECT a.conv_id, a.pos AS spot, b.text AS other FROM reply a JOIN reply b
          ON b.conv_id = xor(a.conv_id, 1) AND b.k = b.n WHERE a.k = a.conv_id % a.n + 1),
 side AS (SELECT 'c' AS side, conv_id, pos, role, text FROM numbered JOIN pair USING (conv_id)
-         UNION ALL SELECT 'r', conv_id, pos, role, CASE WHEN pos = at THEN other ELSE text END
-         FROM numbered JOIN pair USING (conv_id) WHERE pos <= at),
+         UNION ALL SELECT 'r', conv_id, pos, role, CASE WHEN pos = spot THEN other ELSE text END
+         FROM numbered JOIN pair USING (conv_id) WHERE pos <= spot),
 size AS (SELECT conv_id, count(*) FILTER (side = 'c') AS n_c, count(*) FILTER (side = 'r') AS n_r FROM side GROUP BY conv_id),
 differs AS (SELECT c.conv_id, min(c.pos) AS pos FROM side c JOIN side r ON c.conv_id = r.conv_id AND c.pos = r.pos
             AND c.side = 'c' AND r.side = 'r' AND (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text)
