@@ -1,11 +1,101 @@
-"""Corpus pipeline (stages follow as their operators land)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+STAGES lists (name, function) in order.  A function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  ``run`` writes the result of each stage as Parquet and reads it as the next one's input.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartlens.llm import mixing, ngram_jaccard, packing, quality_classifier, secret_grammar
+from cartlens.llm.common import WORD, free_name, stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score 0.3 or more)."""
+    name = free_name(docs, "quality_score")
+    model = quality_classifier.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model, name=name)
+    return scored.where(F.col(name) >= quality_classifier.KEEP_FROM).drop(name)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near-duplicates; one of the rows with one id.
+
+    Documents without words or without an id stay.
+    """
+    groups = stored(ngram_jaccard.similar_groups(docs), "groups")
+    copies = groups.where("component_id <> doc_id").select("doc_id")
+    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(copies.union(again).distinct(), "doc_id", "left_anti")
+    twice = docs.join(again.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(twice)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark and n_chars brought up to date."""
+    automata = secret_grammar.learn(docs)
+
+    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            texts = [secret_grammar.redact(t, secret_grammar.scan(t, automata)) for t in x["text"]]
+            changed = [t is not None and t != old for t, old in zip(texts, x["text"])]
+            x["text"] = texts
+            if "n_chars" in x:
+                x["n_chars"] = x["n_chars"].mask(pd.Series(changed, index=x.index), x["text"].str.len())
+            yield x
+
+    return docs.mapInPandas(cleaned, docs.schema)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in training order; not taken ones go.
+
+    The copy of a document at which its source's target ends keeps only the words that are taken, with single spaces.
+    """
+    plan = mixing.mix(docs).groupBy("doc_id").agg(
+        F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("passes").alias("passes"),
+        F.max("positions").alias("positions"))
+    cols = [c for c in docs.columns]
+    own = plan.select(F.struct("size", "taken", "passes", "positions").alias("mix_plan"), F.col("doc_id").alias("mix_id"))
+    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col("mix_id"))).where("mix_plan.passes > 0")
+    copies = joined.select(*[docs[c] for c in cols], "mix_plan", F.posexplode("mix_plan.positions").alias("mix_pass", "mix_position"))
+    left = F.col("mix_plan.taken") - F.col("mix_pass") * F.col("mix_plan.size")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), left.cast("int")), " ")
+    cut = left < F.col("mix_plan.size")
+    mixed = copies.withColumn("mix_cut", cut).withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    if "n_chars" in cols:
+        mixed = mixed.withColumn("n_chars", F.when(F.col("mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return mixed.orderBy("mix_position", "doc_id", "mix_pass").select(*cols)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with the sequence and offset at which each is packed."""
+    pieces = stored(packing.tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: SQL can't express the classifier, the grammars or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
