@@ -147,44 +147,41 @@ def _encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known: dict[str, bytes] = {}  # of pieces of text
-    parts: dict[str, bytes] = {}  # of words and marks
     word_and_mark = re.compile(r"( ?[^\W\d_]+)([.,!?;:]?)\Z")
 
-    def raw(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def taken_apart(piece: str) -> list[str] | None:
+    def taken_apart(piece: str) -> list[str]:
         """Words, marks and line breaks, if the piece is made of such lines only; the tokenizer cuts there anyway."""
         out = []
         for line in piece.split("\n"):
             m = word_and_mark.match(line)
             if not (m and m[1].lstrip(" ").isalpha()):
-                return None
+                return [piece]
             out += [m[1], m[2], "\n"] if m[2] else [m[1], "\n"]
         return out[:-1]
 
-    def learn(pieces: set[str]) -> None:
-        apart = {p: taken_apart(p) for p in pieces}
-        new = list({x for xs in apart.values() if xs for x in xs if x not in parts})
-        parts.update(zip(new, raw(new)))
-        whole = [p for p, xs in apart.items() if xs is None]
-        known.update(zip(whole, raw(whole)))
-        known.update((p, b"".join([parts[x] for x in xs])) for p, xs in apart.items() if xs)
+    class Parts(dict):
+        def __missing__(self, part: str) -> bytes:
+            ids = self[part] = ids_of(part)
+            return ids
 
-    def encode(texts: list[str]) -> list[bytes]:
+    class Pieces(dict):
+        def __missing__(self, piece: str) -> bytes:
+            ids = self[piece] = b"".join([parts[x] for x in taken_apart(piece)])
+            return ids
+
+    parts, known = Parts(), Pieces({"": b""})
+
+    def encode(text: str) -> bytes:
+        if "  " in text or "\0" in text:
+            return ids_of(text)
         for kept in (known, parts):
             if len(kept) > MOST_KEPT:
                 kept.clear()
-        cut = {i: t.replace(" ", "\0 ").split("\0") for i, t in enumerate(texts) if "  " not in t and "\0" not in t}
-        fresh = set().union(*cut.values()) - known.keys() - {""}
-        if fresh:
-            learn(fresh)
-        known[""] = b""
-        ids = {i: b"".join(map(known.__getitem__, pieces)) for i, pieces in cut.items()}
-        uncut = [i for i in range(len(texts)) if i not in cut]
-        ids.update(zip(uncut, raw([texts[i] for i in uncut])))
-        return [ids[i] for i in range(len(texts))]
+                known[""] = b""
+        return b"".join(map(known.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
     return encode
 
@@ -202,17 +199,15 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         encode = _encoder(tokenizer_path)
         end = np.array([END], "<u4").tobytes()
         for x in batches:
-            for lo in range(0, len(x), 256):
-                part = x.iloc[lo:lo + 256]
-                rows = []
-                for doc, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]])):
-                    ids += end
-                    n = len(ids) // 4
-                    bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        own = ids[4 * a:4 * b]
-                        rows.append((doc, k, a, b - a, zlib.crc32(own)) + ((own,) if keep_ids else ()))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+            rows = []
+            for doc, text in zip(x["doc_id"], x["text"]):
+                ids = encode(text or "") + end
+                n = len(ids) // 4
+                bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    own = ids[4 * a:4 * b]
+                    rows.append((doc, k, a, b - a, zlib.crc32(own)) + ((own,) if keep_ids else ()))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     return docs.select("doc_id", "text").mapInPandas(cut, shape)
 
