@@ -41,3 +41,13 @@ def tie_key(score: Column) -> Column:
     places except at exact half-way points.
     """
     return F.rint(score * F.lit(10.0 ** TIE_DIGITS))
+
+
+PAIR_BITS = 20
+
+
+def pair_id(key: Column, place: Column) -> Column:
+    """One id for (key, place): key * 2**20 + place.  A place outside 0 to 2**20 - 1 raises, so ids never collide."""
+    inside = (place >= 0) & (place < (1 << PAIR_BITS))
+    return F.when(inside, key * F.lit(1 << PAIR_BITS) + place).otherwise(
+        F.raise_error(F.concat(F.lit("place does not fit an id: "), place.cast("string"))).cast("bigint")).cast("bigint")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cartlens.functions.numeric import tie_key
+from cartlens.session import materialised
 
 BLOCK_ROWS = 2048
 OUT_SCHEMA = "left_id long, right_id long, score double"
@@ -137,10 +138,10 @@ def top_k_dot(left: DataFrame, right: DataFrame | None, dim: int, k: int,
     symmetric = right is None
     # each side is read twice (its size picks the block count, then the rows are
     # shipped), so it is materialised once
-    left = left.select("id", "idx", "val").checkpoint(eager=True)
+    left = materialised(left.select("id", "idx", "val"), "vectors")
     n_left = left.count()
     if not symmetric:
-        right = right.select("id", "idx", "val").checkpoint(eager=True)
+        right = materialised(right.select("id", "idx", "val"), "vectors")
     n_right = n_left if symmetric else right.count()
     nb_l = block_count(n_left, block_rows)
     nb_r = nb_l if symmetric else block_count(n_right, block_rows)

@@ -12,25 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cartlens.functions.numeric import pair_id
 from cartlens.functions.parsing import (DEFAULT_PRICE, NO_BRAND, UNKNOWN_BRAND, UNKNOWN_NAME, main_category,
                                         price_number, rating_number, strip, sub_category)
 from cartlens.operators.ordering import global_row_index
 from cartlens.sources.schemas import RAW_CATALOGUE
 
-SAMPLE_MULTIPLIER = 48271   # multiplicative-congruential step used as a portable hash
-SAMPLE_MODULUS = 2147483647
+
+_FILE_BITS = 40  # rows of one file in a source position
 
 
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     """The raw catalogue CSV with an explicit all-text schema (multi-line quoted fields allowed).
 
-    ``source_ord`` records file order for "keep first" semantics; it comes
-    from ``monotonically_increasing_id`` over the file scan, which increases
-    with file position.
+    ``source_ord`` records file order for "keep first" semantics: the files by
+    path, and the rows of a file by place.  A file with quoted line breaks is
+    one task's work and so its rows are numbered in order by
+    ``monotonically_increasing_id``; tasks may take files in any order, so the
+    numbers are made relative to each file's first row.
     """
     df = (spark.read.schema(RAW_CATALOGUE).option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').csv(path))
-    return df.withColumn("source_ord", F.monotonically_increasing_id())
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_mid"))
+    files = rows.groupBy("_file").agg(F.min("_mid").alias("_first"))
+    files = files.withColumn("_nr", F.row_number().over(Window.orderBy("_file")) - 1)  # a row per file
+    return rows.join(files, "_file").withColumn(
+        "source_ord", F.shiftleft(F.col("_nr").cast("bigint"), _FILE_BITS) + F.col("_mid") - F.col("_first")
+    ).drop("_file", "_mid", "_first", "_nr")
 
 
 def clean_catalogue(raw: DataFrame, max_description_chars: int | None = None) -> DataFrame:
@@ -85,7 +93,8 @@ def in_top_categories(clean: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sample_key(ord_col, seed: int):
-    return F.pmod(ord_col * F.lit(SAMPLE_MULTIPLIER) + F.lit(seed), F.lit(SAMPLE_MODULUS))
+    """Portable seeded hash of a source position (MD5 as text)."""
+    return F.md5(F.concat_ws(":", ord_col.cast("string"), F.lit(str(seed))))
 
 
 def stratified_sample(clean: DataFrame, n: int = 200, k: int = 10, seed: int = 42) -> DataFrame:
@@ -162,4 +171,4 @@ def product_tags(product_rows: DataFrame, max_tag_chars: int | None = None) -> D
     cand = F.array(brand, cut(F.lower("main_category")), cut(F.lower("sub_category")))
     kept = F.filter(F.array_distinct(cand), lambda t: t.isNotNull() & (F.length(t) > 1))
     return product_rows.select("product_id", F.posexplode(kept).alias("pos", "tag")).select(
-        (F.col("product_id") * 10 + F.col("pos") + 1).cast("bigint").alias("tag_id"), "product_id", "tag")
+        pair_id(F.col("product_id"), F.col("pos") + 1).alias("tag_id"), "product_id", "tag")

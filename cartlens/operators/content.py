@@ -18,6 +18,7 @@ from pyspark.sql import Window
 
 from cartlens.functions.text import terms
 from cartlens.operators.blocks import top_k_dot
+from cartlens.session import materialised
 
 MAX_FEATURES = 500
 
@@ -43,23 +44,37 @@ def product_corpus(products: DataFrame, categories: DataFrame, tags: DataFrame)
 
 
 def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus", ngram_max: int = 2,
-                stop_words: bool = True) -> DataFrame:
-    """(id, term, tf) raw n-gram counts per document."""
-    return (docs.select(id_col, F.explode(terms(F.col(text_col), ngram_max, stop_words)).alias("term"))
+                stop_words: bool = True, only: list[str] | None = None) -> DataFrame:
+    """(id, term, tf) raw n-gram counts per document; ``only`` drops other terms before the shuffle."""
+    found = terms(F.col(text_col), ngram_max, stop_words)
+    if only is not None:
+        found = F.filter(found, lambda t: t.isin(only))
+    return (docs.select(id_col, F.explode(found).alias("term"))
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The ``max_features`` most frequent terms (ties: term asc), document frequency, smoothed idf.
+def top_terms(docs: DataFrame, text_col: str = "corpus", max_features: int = MAX_FEATURES, ngram_max: int = 2,
+              stop_words: bool = True) -> DataFrame:
+    """The ``max_features`` most frequent terms with their counts (ties: term asc).
 
-    idf = ln((1 + n) / (1 + df)) + 1.
+    The shuffle carries one partial sum per term and task, not one row per
+    document and term.
     """
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq"))
-    top = stats.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(max_features)
+    found = docs.select(F.explode(terms(F.col(text_col), ngram_max, stop_words)).alias("term"))
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"))
+    return counts.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(max_features)
+
+
+def vocabulary(top: DataFrame, tf: DataFrame, n_docs: int) -> DataFrame:
+    """The chosen terms with document frequency, smoothed idf and index.
+
+    ``tf`` holds the counts of these terms per document.  idf = ln((1 + n) / (1 + df)) + 1.
+    """
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     w = Window.orderBy(F.col("term_count").desc(), F.col("term").asc())  # at most max_features rows
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("doc_freq"))) + F.lit(1.0)
-    return top.select("term", "term_count", "doc_freq", idf.alias("idf"),
-                      (F.row_number().over(w) - 1).cast("int").alias("term_idx"))
+    return top.join(stats, "term").select("term", "term_count", "doc_freq", idf.alias("idf"),
+                                          (F.row_number().over(w) - 1).cast("int").alias("term_idx"))
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str = "product_id") -> DataFrame:
@@ -92,19 +107,20 @@ class ContentModel:
         return vectors(self.weights, "product_id")
 
 
-def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, materialize: bool = True, ngram_max: int = 2,
+def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int = 2,
         stop_words: bool = True) -> ContentModel:
-    """T3-T7 over ``corpus`` (product_id, corpus, ...)."""
+    """T3-T7 over ``corpus`` (product_id, corpus, ...), in two passes over the text.
+
+    The first pass counts terms over the corpus and takes the ``max_features``
+    most frequent ones; the second counts only those per document, so at most
+    ``max_features`` rows of a document are shuffled and written.
+    """
     n_docs = corpus.count()
-    tf = term_counts(corpus, ngram_max=ngram_max, stop_words=stop_words)
-    if materialize:
-        tf = tf.checkpoint(eager=True)
-    vocab = vocabulary(tf, n_docs, max_features)
-    if materialize:
-        vocab = vocab.checkpoint(eager=True)
-    weights = tfidf(tf, vocab)
-    if materialize:
-        weights = weights.checkpoint(eager=True)
+    top = materialised(top_terms(corpus, max_features=max_features, ngram_max=ngram_max, stop_words=stop_words), "terms")
+    chosen = [r["term"] for r in top.select("term").collect()]  # at most max_features
+    tf = materialised(term_counts(corpus, ngram_max=ngram_max, stop_words=stop_words, only=chosen), "term_counts")
+    vocab = materialised(vocabulary(top, tf, n_docs), "vocabulary")
+    weights = materialised(tfidf(tf, vocab), "tfidf")
     return ContentModel(corpus=corpus, vocab=vocab, weights=weights, n_docs=n_docs, dim=max_features,
                         ngram_max=ngram_max, stop_words=stop_words)
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cartlens.functions.scoring import event_precedence, event_score
 from cartlens.operators.ordering import first_k_flag
+from cartlens.session import materialised
 
 CLEAN_COLUMNS = ["interaction_id", "user_id", "product_id", "event_type", "rating", "session_id", "event_time",
                  "category_id", "product_avg_rating", "score", "score_norm"]
@@ -98,6 +99,11 @@ def flag_train(clean_df: DataFrame, test_ratio: float = 0.2) -> DataFrame:
     return first_k_flag(clean_df, "event_time", ["user_id", "product_id"], k, flag_col="is_train")
 
 
+def parse_event_time(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Event time from text; null where the text does not fit the pattern."""
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+
+
 def warm_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Test rows whose user and product both occur in train."""
     return (test.join(train.select("user_id").distinct(), "user_id", "left_semi")
@@ -116,19 +122,19 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
         test_ratio: float = 0.2, materialize: bool = True) -> CleanResult:
     """The whole cleaning job.
 
-    With ``materialize`` the clean table is checkpointed (to the cluster's
-    ``spark.checkpoint.dir``) before the split reads it several times, which
-    also cuts lineage so a lost executor does not replay the dedup.
+    With ``materialize`` the clean table is written to the shared folder
+    before the split reads it several times, which also cuts lineage so a lost
+    executor does not replay the dedup.
     """
     d = deduped_enriched(interactions, products)
     if materialize:
-        d = d.checkpoint(eager=True)  # read three times by the activity filter
+        d = materialised(d, "dedup")  # read three times by the activity filter
     c = score_filtered(d, min_user, min_product)
     if materialize:
-        c = c.checkpoint(eager=True)
+        c = materialised(c, "clean")
     flagged = flag_train(c, test_ratio)
     if materialize:
-        flagged = flagged.checkpoint(eager=True)
+        flagged = materialised(flagged, "split")
     train = flagged.filter(F.col("is_train")).drop("is_train")
     test_all = flagged.filter(~F.col("is_train")).drop("is_train")
     return CleanResult(clean=c, train=train, test=warm_test(train, test_all), deduped=d)

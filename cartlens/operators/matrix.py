@@ -14,22 +14,6 @@ def user_item_scores(train: DataFrame) -> DataFrame:
     return train.groupBy("user_id", "product_id").agg(F.max("score").alias("score"))
 
 
-def pivot(scores: DataFrame, max_columns: int = 50_000) -> DataFrame:
-    """M1 wide export: one column per product, 0.0 where missing.
-
-    Wide output only makes sense for small catalogues, so the column count is
-    checked against ``max_columns`` before the pivot is planned; the long form
-    is the real output at scale.
-    """
-    ids = scores.select("product_id").distinct()
-    n = ids.count()
-    if n > max_columns:
-        raise ValueError(f"pivot would create {n} columns (cap {max_columns}); use the long form")
-    values = [r[0] for r in ids.orderBy("product_id").collect()]
-    wide = scores.groupBy("user_id").pivot("product_id", values).agg(F.max("score"))
-    return wide.na.fill(0.0)
-
-
 def id_maps(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M3: 0-based user and item indexes in first-seen order of the time-ordered train rows.
 

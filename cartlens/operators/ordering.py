@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cartlens.session import materialised
+
 _POS_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 ROWS_PER_PARTITION = 1_000_000
 BUCKET_FORMATS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm",
@@ -38,19 +40,15 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "row_index", st
     ``order_cols`` must be a unique key of ``df``, otherwise equal keys get an
     arbitrary but fixed relative order.
 
-    The range-partitioned, sorted rows are checkpointed once: the partition
+    The range-partitioned, sorted rows are written once: the partition
     counts and the row positions must come from the same partitioning (range
     bounds are sampled), and a written copy also survives executor loss.
     """
-    spark = df.sparkSession
     if num_partitions is None:
-        # one range partition per ~1 M rows (never more than the shuffle partitions)
-        rows = df.count()
-        num_partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                    math.ceil(rows / ROWS_PER_PARTITION)))
+        num_partitions = max(1, math.ceil(df.count() / ROWS_PER_PARTITION))
     n = num_partitions
     ranged = df.repartitionByRange(n, *_as_cols(order_cols)).sortWithinPartitions(*_as_cols(order_cols))
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = materialised(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ranged")
     tagged = tagged.withColumn("_part", F.shiftright("_mid", _POS_BITS)) \
         .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -108,3 +108,18 @@ def similar(sim: DataFrame, key: str, other: str, n: int = 10) -> DataFrame:
     pos = sim.filter(F.col("similarity") > 0)
     return top_k_per_key(pos, key, "similarity", other, n).select(
         key, other, F.round("similarity", 4).alias("similarity"), "rank")
+
+
+def similar_to(train: DataFrame, requested: DataFrame, entity: str, through: str, other: str, n: int = 10) -> DataFrame:
+    """R3/R4 for the requested ids only: work follows their histories, not all pairs.
+
+    The requested rows are cut out by a semi join before they meet everyone's
+    rows on the shared key.  Unknown ids have no rows.
+    """
+    t = with_norm(train.select(entity, through, "score"), entity, "_norm") \
+        .select(entity, through, (F.col("score") / F.col("_norm")).alias("_h"))
+    own = t.join(requested.select(entity).distinct(), entity, "left_semi")
+    everyone = t.select(F.col(entity).alias(other), through, F.col("_h").alias("_ho"))
+    sims = (own.join(everyone, through).filter(F.col(entity) != F.col(other))
+            .groupBy(entity, other).agg(F.sum(F.col("_h") * F.col("_ho")).alias("similarity")))
+    return similar(sims, entity, other, n)

@@ -1,7 +1,8 @@
 """Registered queries (one module per area) and their DuckDB oracle SQL."""
 
 from cartlens.plans import registry
-from cartlens.plans import catalogue, cleaning, collaborative, content, dashboard, hybrid  # noqa: F401
+from cartlens.plans import (catalogue, checks, cleaning, collaborative, content, dashboard, hybrid,  # noqa: F401
+                            requested)
 
 
 def queries():

@@ -9,14 +9,12 @@ from cartlens.operators.ordering import global_row_index
 from cartlens.plans import oracle_base as ob
 from cartlens.plans import oracle_catalogue as oc
 from cartlens.plans.registry import query
-from cartlens.session import ensure_checkpoint_dir
 from cartlens.sources import tables
 
 BASE = [oc.RAW, oc.CLEAN]
 
 
 def _clean(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
     return cg.clean_catalogue(tables.raw_catalogue(spark, sf_dir))
 
 

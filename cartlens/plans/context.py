@@ -1,9 +1,11 @@
 """Shared inputs of the registered queries.
 
 Several queries start from the same cleaned train/test tables.  ``Inputs``
-builds them once per (session, data folder) and materialises the reused ones
-with ``checkpoint()`` into the session's ``spark.checkpoint.dir``: a written
-table survives executor loss and cuts the lineage of the dedup/split plan.
+builds them once for a session and the files of a data folder, and writes the
+reused ones as Parquet under the shared folder (``session.materialised``), so
+that readers prune columns and a lost executor does not replay the dedup.
+Only the inputs of the folder used last are remembered, and only while its
+files stay as they are.
 """
 
 from __future__ import annotations
@@ -13,17 +15,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.operators import interactions as ix
-from cartlens.session import ensure_checkpoint_dir
+from cartlens.session import materialised
 from cartlens.sources import tables
 
 _CACHE: dict = {}
+CF_LIST = 40  # where the shared user- and item-based lists are cut
 
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        ensure_checkpoint_dir(spark)
 
     # raw reference tables
     @cached_property
@@ -36,11 +38,16 @@ class Inputs:
 
     @cached_property
     def products(self) -> DataFrame:
-        return tables.products(self.spark, self.sf_dir, self.categories).checkpoint(eager=True)
+        """Product attributes; the texts are read where they are needed (``products_with_text``)."""
+        return materialised(tables.products(self.spark, self.sf_dir, self.categories).drop("description"), "products")
+
+    @cached_property
+    def products_with_text(self) -> DataFrame:
+        return tables.products(self.spark, self.sf_dir, self.categories)
 
     @cached_property
     def categories(self) -> DataFrame:
-        return tables.categories(self.spark, self.sf_dir).checkpoint(eager=True)
+        return materialised(tables.categories(self.spark, self.sf_dir), "categories")
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -48,9 +55,9 @@ class Inputs:
 
     @cached_property
     def users(self) -> DataFrame:
-        return tables.users(self.spark, self.sf_dir).checkpoint(eager=True)
+        return materialised(tables.users(self.spark, self.sf_dir), "users")
 
-    # cleaned interaction tables (checkpointed once)
+    # cleaned interaction tables (written once)
     @cached_property
     def cleaned(self) -> ix.CleanResult:
         return ix.run(self.interactions, self.products, materialize=True)
@@ -59,7 +66,7 @@ class Inputs:
     def cf_pairs(self) -> DataFrame:
         """Item-pair table (cosine and Gram sums) shared by all CF scorers."""
         from cartlens.operators.similarity import item_pairs
-        return item_pairs(self.train).checkpoint(eager=True)
+        return materialised(item_pairs(self.train), "item_pairs")
 
     @cached_property
     def cf_lists(self) -> DataFrame:
@@ -70,16 +77,16 @@ class Inputs:
         equivalent all-join plan.
         """
         from cartlens.operators.cf_blocks import cf_lists
-        return cf_lists(self.train, self.cf_pairs, k_user=40, k_item=40, k_blend=10).checkpoint(eager=True)
+        return materialised(cf_lists(self.train, self.cf_pairs, k_user=CF_LIST, k_item=CF_LIST, k_blend=10), "cf_lists")
 
     @cached_property
     def corpus(self) -> DataFrame:
         from cartlens.operators.content import product_corpus
-        return product_corpus(self.products, self.categories, self.tags).checkpoint(eager=True)
+        return materialised(product_corpus(self.products_with_text, self.categories, self.tags), "corpus")
 
     @cached_property
     def content(self):
-        """Fitted TF-IDF model (vocabulary and weights checkpointed)."""
+        """Fitted TF-IDF model (vocabulary and weights written)."""
         from cartlens.operators.content import fit
         return fit(self.corpus)
 
@@ -87,7 +94,7 @@ class Inputs:
     def content_lists(self) -> DataFrame:
         """Content recommendations, top 20 (= 2n) per train user; the top-10 list is its prefix."""
         from cartlens.operators.content import content_recs
-        return content_recs(self.train, self.content, 20).checkpoint(eager=True)
+        return materialised(content_recs(self.train, self.content, 20), "content_lists")
 
     @property
     def clean(self) -> DataFrame:
@@ -102,15 +109,19 @@ class Inputs:
         return self.cleaned.test
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """(name, size, time of change) of the files of the data folder, from the file system Spark reads them from."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(conf).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - remote session
-        app = id(spark)
-    key = (app, sf_dir.rstrip("/"))
+    key = (spark.conf.get("spark.app.id"), sf_dir.rstrip("/"), _files(spark, sf_dir))
     got = _CACHE.get(key)
     if got is None or got.spark is not spark:
         got = Inputs(spark, sf_dir)
+        _CACHE.clear()
         _CACHE[key] = got
     return got
-

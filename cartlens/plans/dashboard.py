@@ -83,9 +83,9 @@ catalog_v AS (
 
 @query("product_catalog", ob.with_ctes(*BASE, CATALOG_SQL, body="SELECT * FROM catalog_v"))
 def product_catalog(spark, sf_dir):
-    """Products denormalised with their category name."""
+    """Products denormalised with their category name, whole texts included."""
     i = inputs(spark, sf_dir)
-    return an.catalog_view(i.products, i.categories)
+    return an.catalog_view(i.products_with_text, i.categories)
 
 
 @query("known_users", ob.with_ctes(*ob.clean_ctes(), body="SELECT DISTINCT user_id FROM train_t"))

@@ -70,7 +70,7 @@ tag_raw AS (
 tag_pos AS (SELECT p_partkey, unnest(l) AS tag, generate_subscripts(l, 1) AS pos FROM tag_raw),
 tag_first AS (SELECT p_partkey, tag, min(pos) AS pos FROM tag_pos GROUP BY 1, 2),
 product_tags_t AS (
-  SELECT CAST(p_partkey * 10 + row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS BIGINT) AS tag_id,
+  SELECT CAST(p_partkey * 1048576 + row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS BIGINT) AS tag_id,
          p_partkey AS product_id, tag
   FROM tag_first WHERE length(tag) > 1
 )"""

@@ -66,7 +66,7 @@ SAMPLE = """
 cat_sample AS (
   SELECT c.*, CAST(row_number() OVER (ORDER BY t.category_rank, c.draw) AS INTEGER) AS sample_pos
   FROM (
-    SELECT *, row_number() OVER (PARTITION BY main_category ORDER BY (source_ord * 48271 + 42) % 2147483647, source_ord) AS draw
+    SELECT *, row_number() OVER (PARTITION BY main_category ORDER BY md5(CAST(source_ord AS VARCHAR) || ':42'), source_ord) AS draw
     FROM cat_clean WHERE main_category IN (SELECT main_category FROM top_cats)
   ) c JOIN top_cats t ON t.main_category = c.main_category
   WHERE c.draw <= 200 // (SELECT count(*) FROM top_cats)
@@ -107,7 +107,7 @@ ptag_list AS (
 ptag_pos AS (SELECT product_id, unnest(l) AS tag, generate_subscripts(l, 1) AS pos FROM ptag_list),
 ptag_first AS (SELECT product_id, tag, min(pos) AS pos FROM ptag_pos WHERE tag IS NOT NULL GROUP BY 1, 2),
 product_tag_dim_t AS (
-  SELECT CAST(product_id * 10 + row_number() OVER (PARTITION BY product_id ORDER BY pos) AS BIGINT) AS tag_id,
+  SELECT CAST(product_id * 1048576 + row_number() OVER (PARTITION BY product_id ORDER BY pos) AS BIGINT) AS tag_id,
          product_id, tag
   FROM ptag_first WHERE length(tag) > 1
 )"""

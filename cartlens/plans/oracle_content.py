@@ -68,13 +68,14 @@ top5_{n} AS (
   SELECT user_id, product_id FROM train_t
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) <= 5
 ),
-profile_{n} AS (
-  SELECT t.user_id, w.term_idx, sum(w.weight) AS weight
-  FROM top5_{n} t JOIN tfidf_t w ON w.product_id = t.product_id GROUP BY 1, 2
+citem_{n} AS (
+  SELECT a.product_id AS j, b.product_id AS i, sum(a.weight * b.weight) AS cos
+  FROM tfidf_t a JOIN tfidf_t b ON a.term_idx = b.term_idx
+  WHERE a.product_id IN (SELECT product_id FROM top5_{n}) GROUP BY 1, 2
 ),
 cscore_{n} AS (
-  SELECT p.user_id, w.product_id, sum(p.weight * w.weight) AS score
-  FROM profile_{n} p JOIN tfidf_t w ON w.term_idx = p.term_idx GROUP BY 1, 2
+  SELECT t.user_id, c.i AS product_id, sum(c.cos) AS score
+  FROM top5_{n} t JOIN citem_{n} c ON c.j = t.product_id GROUP BY 1, 2
 ),
 content_recs_{n} AS (
   SELECT user_id, product_id, round(score, 4) AS score,
@@ -87,7 +88,7 @@ content_recs_{n} AS (
 
 
 SEARCH = """
-queries_t AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+queries_t AS (SELECT conv_id * 1048576 + turn AS query_id, text FROM conversations WHERE role = 'user'),
 """ + analysed("qtf_t", "queries_t", "query_id", "text").lstrip("\n") + """,
 qvec AS (
   SELECT query_id, term_idx, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight

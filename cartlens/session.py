@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "cartlens") -> SparkSession:
@@ -25,8 +26,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CARTLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # drop checkpoint files once their DataFrames are garbage collected
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,21 +34,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset.
+    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    untouched.  Tests and local runs get a fresh temporary folder.
+    On a cluster the setting must name a folder that all executors share; a
+    local session without it gets a fresh temporary folder, and any other
+    session without it is refused.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - a remote (Connect) session has no local SparkContext
-        sc = None
-    if not current and sc is not None:
-        current = sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="cartlens-ckpt-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="cartlens-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
     return current
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and keeps column pruning and
+    filter push-down for later readers.  Everything an application writes lies
+    under ``<spark.checkpoint.dir>/cartlens-<application id>``, to be removed
+    when the application has ended.
+    """
+    spark = df.sparkSession
+    path = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/cartlens-{spark.conf.get('spark.app.id')}/"
+            f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

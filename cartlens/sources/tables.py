@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.functions.numeric import pair_id
 from cartlens.operators.ordering import global_row_index
 
 
@@ -122,7 +123,7 @@ def product_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.array(F.lower("p_brand"), F.lower("p_type")), F.split(F.lower("p_name"), " "))
     kept = F.filter(F.array_distinct(raw), lambda t: F.length(t) > 1)
     return (part.select("p_partkey", F.posexplode(kept).alias("pos", "tag"))
-            .select((F.col("p_partkey") * 10 + F.col("pos") + 1).cast("bigint").alias("tag_id"),
+            .select(pair_id(F.col("p_partkey"), F.col("pos") + 1).alias("tag_id"),
                     F.col("p_partkey").alias("product_id"), "tag"))
 
 

@@ -46,7 +46,7 @@ def test_user_and_item_based(train):
     ib = {(r["user_id"], r["product_id"]): r["score"] for r in cf.single_list(lists, "item", 10).collect()}
     assert ub == {(1, 3): 3.9192, (3, 1): 4.1073}
     assert ib == {(1, 3): 3.9617, (3, 1): 3.7205}
-    blend = {(r["user_id"], r["product_id"]): r["score"] for r in cf.cf_blend(lists, 10).collect()}
+    blend = {(r["user_id"], r["product_id"]): r["score"] for r in cf.cf_blend(lists, 10, k=40).collect()}
     # 0.5 * 3.9192 + 0.5 * 3.9617 = 3.94045 exactly: half-up in decimal
     assert blend == {(1, 3): 3.9405, (3, 1): 3.9139}
 
@@ -80,7 +80,7 @@ def test_sparsity(train):
 
 def test_ranking_metrics(spark, train):
     lists = cf.ranked_lists(cf.cf_scores(train, sim.item_pairs(train)), 40, 40, 10)
-    recs = cf.cf_blend(lists, 10)
+    recs = cf.cf_blend(lists, 10, k=40)
     test = spark.createDataFrame([(1, 3), (3, 1), (3, 4), (9, 1)], "user_id long, product_id long")
     r = cf.ranking_metrics(recs, test, train, 10).first()
     assert r["users_evaluated"] == 2
@@ -118,13 +118,10 @@ def test_hybrid_routes(spark, train):
     assert [rows[(4, p)] for p in (1, 3, 2, 4)] == [10.0, 9.0, 6.0, 1.0]
 
 
-def test_pivot_export_and_cap(train):
-    wide = mx.pivot(mx.user_item_scores(train))
-    assert wide.columns == ["user_id", "1", "2", "3", "4"]
-    row = {r["user_id"]: r for r in wide.collect()}[4]
-    assert (row["1"], row["4"]) == (0.0, 1.0)
+def test_blend_refuses_lists_cut_too_short(train):
+    lists = cf.ranked_lists(cf.cf_scores(train, sim.item_pairs(train)), 40, 40, 10)
     with pytest.raises(ValueError):
-        mx.pivot(mx.user_item_scores(train), max_columns=3)
+        cf.cf_blend(lists, 21, k=40)
 
 
 @pytest.mark.parametrize("plan", ["join", "blocked"])

@@ -216,3 +216,28 @@ def test_split_is_time_zone_proof(spark):
             assert got == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_source_positions_follow_the_files(spark, tmp_path):
+    """Spark takes larger files first; positions still go by path, and "keep first" with them."""
+    from cartlens.sources.schemas import RAW_CATALOGUE
+    cols = [f.name for f in RAW_CATALOGUE.fields]
+    line = lambda name: ",".join(name if c == "product_name" else "x" for c in cols)
+    (tmp_path / "a.csv").write_text("\n".join([",".join(cols), line("first"), line("second")]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([",".join(cols)] + [line(f"b{i}") for i in range(500)]) + "\n")
+    got = [r["product_name"] for r in cg.read_catalogue_csv(spark, str(tmp_path)).orderBy("source_ord").collect()]
+    assert got == ["first", "second"] + [f"b{i}" for i in range(500)]
+
+
+def test_sample_hash_takes_any_position(spark):
+    df = spark.createDataFrame([(2**60 + i,) for i in range(5)], "source_ord long")
+    keys = [r[0] for r in df.select(cg.sample_key(F.col("source_ord"), 42)).collect()]
+    assert len(set(keys)) == 5 and all(len(k) == 32 for k in keys)
+
+
+def test_pair_ids_never_collide(spark):
+    from cartlens.functions.numeric import pair_id
+    df = spark.range(3).crossJoin(spark.range(40).withColumnRenamed("id", "pos"))
+    assert df.select(pair_id(F.col("id"), F.col("pos"))).distinct().count() == 120
+    with pytest.raises(Exception, match="does not fit"):
+        spark.range(1).select(pair_id(F.lit(1), F.lit(1 << 20))).collect()

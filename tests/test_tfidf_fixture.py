@@ -11,7 +11,7 @@ def model(spark):
     corpus = spark.createDataFrame(
         [(1, "red pan", "a", "c", 1.0, 3.0), (2, "red pan pan", "b", "c", 2.0, 3.0), (3, "blue pan", "c", "c", 3.0, 4.0)],
         "product_id long, corpus string, name string, category string, price double, avg_rating double")
-    return ct.fit(corpus, materialize=False, ngram_max=1, stop_words=False)
+    return ct.fit(corpus, ngram_max=1, stop_words=False)
 
 
 def test_idf(model):
