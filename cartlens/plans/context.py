@@ -90,6 +90,12 @@ class Inputs:
         from cartlens.operators.content import fit
         return fit(self.corpus)
 
+    @cached_property
+    def similar_lists(self) -> DataFrame:
+        """The ten most similar products of every product (T8); shorter lists are its prefixes."""
+        from cartlens.operators.content import similar_products
+        return materialised(similar_products(self.content, 10), "similar_lists")
+
     @cached_property
     def content_lists(self) -> DataFrame:
         """Content recommendations, top 20 (= 2n) per train user; the top-10 list is its prefix."""
@@ -125,3 +131,8 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         _CACHE.clear()
         _CACHE[key] = got
     return got
+
+
+def forget() -> None:
+    """Drop the remembered inputs; the next query builds its own."""
+    _CACHE.clear()

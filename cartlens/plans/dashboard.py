@@ -5,53 +5,67 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartlens.operators import analytics as an
-from cartlens.operators import content as ct
 from cartlens.operators import quality as qa
 from cartlens.operators.popularity import popular
 from cartlens.plans import oracle_base as ob
 from cartlens.plans import oracle_content as oq
 from cartlens.plans.context import inputs
 from cartlens.plans.registry import query
+from cartlens.session import materialised
 
 TABLE_CTES = {"categories": "categories_t", "users": "users_t", "products": "products_t",
               "product_tags": "product_tags_t", "interactions": "order_log"}
 BASE = [ob.ORDER_LOG, ob.CATEGORIES, ob.PRODUCTS, ob.TAGS, ob.USERS]
 
 
-def _lit(v):
-    return f"'{v}'" if isinstance(v, str) else repr(v)
+#: The rules again, written from the table definitions and not from ``quality.RULES``: (table, rule, column, condition
+#: of a broken row), (table, unique column), (table, column, parent table, parent column).
+ROW_RULES = [
+    ("categories", "not_null", "name", "name IS NULL"),
+    ("users", "not_null", "username", "username IS NULL"),
+    ("users", "not_null", "email", "email IS NULL"),
+    ("users", "domain", "age_group", "age_group NOT IN ('18-24', '25-34', '35-44', '45-54', '55+')"),
+    ("users", "domain", "gender", "gender NOT IN ('M', 'F', 'Other', 'Prefer not to say')"),
+    ("products", "not_null", "name", "name IS NULL"),
+    ("products", "not_null", "price", "price IS NULL"),
+    ("products", "range", "price", "price < 0"),
+    ("products", "range", "avg_rating", "avg_rating < 0 OR avg_rating > 5"),
+    ("product_tags", "not_null", "product_id", "product_id IS NULL"),
+    ("product_tags", "not_null", "tag", "tag IS NULL"),
+    ("interactions", "not_null", "user_id", "user_id IS NULL"),
+    ("interactions", "not_null", "product_id", "product_id IS NULL"),
+    ("interactions", "not_null", "event_type", "event_type IS NULL"),
+    ("interactions", "domain", "event_type", "event_type NOT IN ('view', 'click', 'add_to_cart', 'purchase', 'rating')"),
+    ("interactions", "range", "rating", "rating < 1 OR rating > 5"),
+]
+UNIQUE_RULES = [("categories", "category_id"), ("users", "user_id"), ("users", "username"), ("users", "email"),
+                ("products", "product_id"), ("product_tags", "tag_id"), ("interactions", "interaction_id")]
+PARENT_RULES = [("categories", "parent_id", "categories", "category_id"), ("products", "category_id", "categories", "category_id"),
+                ("product_tags", "product_id", "products", "product_id"), ("interactions", "user_id", "users", "user_id"),
+                ("interactions", "product_id", "products", "product_id")]
 
 
 def quality_sql() -> str:
-    parts = []
-    for table, cte in TABLE_CTES.items():
-        r = qa.RULES[table]
-        for c in r.not_null:
-            parts.append(f"SELECT '{table}' AS table_name, 'not_null' AS rule, '{c}' AS column_name, "
-                         f"count(*) AS violations FROM {cte} WHERE {c} IS NULL")
-        for c, allowed in r.domains.items():
-            vals = ", ".join(_lit(v) for v in allowed)
-            parts.append(f"SELECT '{table}', 'domain', '{c}', count(*) FROM {cte} WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})")
-        for c, (lo, hi) in r.ranges.items():
-            conds = ([f"{c} < {lo}"] if lo is not None else []) + ([f"{c} > {hi}"] if hi is not None else [])
-            parts.append(f"SELECT '{table}', 'range', '{c}', count(*) FROM {cte} WHERE {c} IS NOT NULL AND ({' OR '.join(conds)})")
-        for c in r.unique:
-            parts.append(f"SELECT '{table}', 'unique', '{c}', count(*) FROM "
-                         f"(SELECT {c} FROM {cte} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)")
-        for c, ptable, pcol in r.foreign_keys:
-            if ptable not in TABLE_CTES:
-                continue
-            parts.append(f"SELECT '{table}', 'foreign_key', '{c}', count(*) FROM {cte} x WHERE x.{c} IS NOT NULL "
-                         f"AND NOT EXISTS (SELECT 1 FROM {TABLE_CTES[ptable]} p WHERE p.{pcol} = x.{c})")
+    parts = [f"SELECT '{t}' AS table_name, '{rule}' AS rule, '{c}' AS column_name, count(*) AS violations "
+             f"FROM {TABLE_CTES[t]} WHERE {broken}" for t, rule, c, broken in ROW_RULES]
+    parts += [f"SELECT '{t}', 'unique', '{c}', count(*) FROM (SELECT {c} FROM {TABLE_CTES[t]} WHERE {c} IS NOT NULL "
+              f"GROUP BY {c} HAVING count(*) > 1)" for t, c in UNIQUE_RULES]
+    parts += [f"SELECT '{t}', 'foreign_key', '{c}', count(*) FROM {TABLE_CTES[t]} x WHERE x.{c} IS NOT NULL "
+              f"AND NOT EXISTS (SELECT 1 FROM {TABLE_CTES[p]} p WHERE p.{pc} = x.{c})" for t, c, p, pc in PARENT_RULES]
     return "\nUNION ALL ".join(parts)
 
 
 @query("quality_violations", ob.with_ctes(*BASE, body=quality_sql()))
 def quality_violations(spark, sf_dir):
-    """V1-V5 over the five derived reference tables."""
+    """V1-V5 over the five derived reference tables (``recommendation_violations`` has the sixth).
+
+    The interactions are joined together once and written; each rule then scans its own columns.
+    """
     i = inputs(spark, sf_dir)
+    log = materialised(i.interactions.select("interaction_id", "user_id", "product_id", "event_type", "rating"), "log")
+    tags = materialised(i.tags, "tags")
     return qa.violations({"categories": i.categories, "users": i.users, "products": i.products,
-                          "product_tags": i.tags, "interactions": i.interactions})
+                          "product_tags": tags, "interactions": log})
 
 
 @query("live_product_tags", ob.with_ctes(*BASE, body="""
@@ -189,6 +203,6 @@ FROM catalog_v c LEFT JOIN page_tags t ON t.product_id = c.product_id LEFT JOIN
 def product_page(spark, sf_dir):
     """A6 for every product: details, tags, top-6 similar products, top-3 popular products, search link."""
     i = inputs(spark, sf_dir)
-    sim = ct.similar_products(i.content, 6)
+    sim = i.similar_lists.filter(F.col("rank") <= 6)
     pop = [r["product_id"] for r in popular(i.train, 3).orderBy("rank").collect()]
     return an.product_page(an.catalog_view(i.products, i.categories), i.tags, sim, pop)
