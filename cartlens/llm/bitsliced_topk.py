@@ -176,3 +176,14 @@ def op9_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every 50th vector, among all vectors."""
     rows = whole_numbers(table(spark, sf_dir, "embeddings"))
     return search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+OP9_SQL = """
+WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+           FROM fine q JOIN fine r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""

@@ -136,3 +136,44 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 over the sources, in training order."""
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "passes", "position")
+
+
+def _inverse_sql(share: str, knots) -> str:
+    cases = []
+    for t0, t1, w0, w1, d in reversed(segments(knots)):
+        slope = (w1 - w0) / (t1 - t0)
+        rest = f"({share} - {d!r}::DOUBLE)"
+        bottom = f"({w0!r}::DOUBLE + sqrt(greatest({w0 * w0!r}::DOUBLE + {2.0 * slope!r}::DOUBLE * {rest}, 0.0::DOUBLE)))"
+        cases.append(f"WHEN {share} >= {d!r}::DOUBLE THEN least(CASE WHEN {bottom} > 0 THEN {t0!r}::DOUBLE + 2.0::DOUBLE * {rest} / {bottom} "
+                     f"ELSE {t0!r}::DOUBLE END, {t1!r}::DOUBLE)")
+    return "CASE " + " ".join(cases) + " END"
+
+
+#: Sources in order of the level at which each is capped; one is capped when that level is at most what is left for it.
+OP3_SQL = f"""
+WITH sizes AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+                      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+                        % greatest(8, (SELECT (count(*) + 99999) // 100000 FROM documents)) AS bucket FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS HUGEINT) AS total,
+                   row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM sizes GROUP BY source),
+weighed AS (SELECT *, [1, 2, 3][place % 3 + 1] AS weight, 3 * total AS cap FROM sources),
+lined AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS cap_before, coalesce(sum(weight) OVER before, 0) AS weight_before,
+                 (SELECT sum(total) FROM sources) AS everything, (SELECT sum(weight) FROM weighed) AS weights
+          FROM weighed WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+told AS (SELECT *, cap * (weights - weight_before) <= weight * (everything - cap_before) AS capped FROM lined),
+level AS (SELECT everything - coalesce(sum(cap) FILTER (capped), 0) AS rest, sum(weight) FILTER (NOT capped) AS free FROM told GROUP BY everything),
+targets AS (SELECT source, place, CAST(total AS BIGINT) AS source_size,
+                   CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * CAST(rest AS DOUBLE) / CAST(free AS DOUBLE) END AS target FROM told, level),
+placed AS (SELECT s.doc_id, s.size, t.place, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 3 * t.source_size) AS whole,
+                  CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.bucket, s.doc_id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+           FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+passed AS (SELECT *, whole // greatest(source_size, 1) AS full_passes,
+                  greatest(0, least(size, whole - whole // greatest(source_size, 1) * source_size - start)) AS last FROM placed),
+due AS (SELECT *, CASE WHEN size > 0 THEN full_passes * size + last ELSE 0 END AS taken,
+               CASE WHEN size > 0 THEN full_passes + CAST(last > 0 AS INTEGER) ELSE 0 END AS passes,
+               least(CAST(start AS DOUBLE) / CAST(whole AS DOUBLE), 1.0::DOUBLE) AS share FROM passed)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(passes AS INTEGER) AS passes,
+       CASE WHEN passes > 0 THEN CASE place % {len(SCHEDULES)} {" ".join(f"WHEN {i} THEN {_inverse_sql('share', k)}" for i, k in enumerate(SCHEDULES))} END END AS position
+FROM due
+"""
