@@ -34,6 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies = groups.where("component_id <> doc_id").select("doc_id")
     again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = docs.join(copies.union(again).distinct(), "doc_id", "left_anti")
+    if again.isEmpty():  # else the texts would be shuffled a second time for nothing
+        return once
     twice = docs.join(again.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(twice)
 
