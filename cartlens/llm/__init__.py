@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
-    from cartlens.llm import preference_format
+    from cartlens.llm import bitsliced_topk, mixing, ngram_jaccard, preference_format
 
-    return {"op1_preference_format": preference_format.OP1_SQL}
+    return {"op1_preference_format": preference_format.OP1_SQL, "op3_curriculum_mix": mixing.OP3_SQL,
+            "op9_bitsliced_topk": bitsliced_topk.OP9_SQL, "op10_combination_prefixes": ngram_jaccard.OP10_SQL}

@@ -9,6 +9,9 @@ frequent shingles fall into m classes, so two of those share a class, and the co
 rare shingles are indexed singly and frequent ones only as pairs within a class, whose lists are far shorter.  m grows
 with the size of the set, which keeps the number of combinations in proportion to it.
 
+Documents with equal sets are one class; only the first document of a class is counted, indexed and paired.  A filter of
+fixed size picks these documents; where it lets a copy through, that copy is folded into its class later.
+
 Candidates are verified exactly, in two steps: first each list is tied to a few of its members, which joins up large groups
 of near copies without pairing all of them; then every pair that still stands in two groups is verified, so no link is lost.
 """
@@ -36,7 +39,7 @@ FREQUENT_FROM = 16
 MAX_FREQUENT = 1_000_000
 #: Members of a list that the others are first tied to.
 HUBS = 8
-#: Bits of the filter that tells which documents' sets are needed; fuller filters let more sets through, never fewer.
+#: Bits of the filters that tell which documents' sets are needed; fuller filters let more sets through, never fewer.
 FILTER_BITS = 1 << 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,12 +103,14 @@ def may_be_similar(a: bytes, b: bytes, n: int, m: int, threshold: int = THRESHOL
 def classes_of(n: int) -> list[tuple[int, int]]:
     """(size class, number m of classes of frequent shingles) under which a set of ``n`` is indexed.
 
+    With m at an eighth of the size, a set made of frequent shingles alone has about half as many combinations as shingles.
+
     A size class spans a factor of two.  Similar sets lie in one class or the next, so a set near the upper end of its
     class is indexed in the next one as well.
     """
     c = n.bit_length() - 1
     both = [c] + ([c + 1] if 100 * n >= THRESHOLD << (c + 1) else [])
-    return [(x, max(4, (1 << x) // 32)) for x in both]
+    return [(x, max(4, (1 << x) // 8)) for x in both]
 
 
 def signatures(tokens: np.ndarray, rarity: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -128,47 +133,61 @@ def signatures(tokens: np.ndarray, rarity: np.ndarray, threshold: int = THRESHOL
     return np.unique(np.concatenate(out))
 
 
-def _survey(docs: DataFrame, fold: int, ranges: int) -> DataFrame:
-    """A row per document (size, fingerprint and parity of its set) and, by range of shingles, packed counts."""
+def _survey(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, one, two, parity) of every row: size, fingerprint and parity of its set."""
+    def surveyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for s in map(shingles, x["text"]):
+                one, two = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                rows.append((len(s), one, two, parity(s) if len(s) else None))
+            out = pd.DataFrame(rows, columns=["n", "one", "two", "parity"])
+            out.insert(0, "doc_id", x["doc_id"].to_numpy())
+            yield out
+
+    return docs.mapInPandas(surveyed, "doc_id bigint, n bigint, one bigint, two bigint, parity binary")
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bitmap of FILTER_BITS over the ids (doc_id), by id modulo its size; its size doesn't depend on the data."""
+    words = ids.groupBy((F.pmod("doc_id", F.lit(FILTER_BITS)) / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(doc_id, {FILTER_BITS}) % 32 AS int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _passing(x: pd.DataFrame, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, shingles) of the rows of (doc_id, text) that pass the filter: all ids in it, and few others."""
+    at = np.mod(x["doc_id"].to_numpy(np.int64), FILTER_BITS)
+    ok = (wanted[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
+    for doc, text in zip(x["doc_id"][ok], x["text"][ok]):
+        yield doc, shingles(text)
+
+
+def _frequent(docs: DataFrame, reps: np.ndarray, fold: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (folded, sorted) that are frequent among the documents that pass, and their counts; at most
+    MAX_FREQUENT of them."""
     span = (1 << fold) // ranges
 
-    def surveyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n_held = [], 0
 
-        def counts() -> pd.DataFrame:
+        def packed() -> pd.DataFrame:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(token, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(span))
-            rows = [(r, _packed(np.diff(token[a:b], prepend=np.uint64(r * span))), _packed(n[a:b]))
-                    for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            out = pd.DataFrame(rows, columns=["part", "steps", "counts"])
-            return out.assign(doc_id=pd.Series([None] * len(out), dtype="Int64"), n=0, one=0, two=0, parity=None)
+            return pd.DataFrame([(r, _packed(np.diff(token[a:b], prepend=np.uint64(r * span))), _packed(n[a:b]))
+                                 for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a], columns=["part", "steps", "counts"])
 
         for x in batches:
-            rows = []
-            for doc, text in zip(x["doc_id"], x["text"]):
-                s = shingles(text)
-                one, two = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                rows.append((doc, len(s), one, two, parity(s) if len(s) else None))
+            for _, s in _passing(x, reps):
                 held.append(s >> np.uint64(64 - fold))
                 n_held += len(s)
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "one", "two", "parity"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"), part=-1, steps=None, counts=None)[_SURVEY]
-            if n_held > 2_000_000:
-                yield counts()[_SURVEY]
-                held, n_held = [], 0
+                if n_held > 1_500_000:
+                    yield packed()
+                    held, n_held = [], 0
         if n_held:
-            yield counts()[_SURVEY]
-
-    return docs.mapInPandas(surveyed, "doc_id bigint, n bigint, one bigint, two bigint, parity binary, part int, "
-                                      "steps binary, counts binary")
-
-
-_SURVEY = ["doc_id", "n", "one", "two", "parity", "part", "steps", "counts"]
-
-
-def _frequent(survey: DataFrame, fold: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles (folded, sorted) and their counts, at most ``MAX_FREQUENT``."""
-    span = (1 << fold) // ranges
+            yield packed()
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         base = np.uint64(int(part["part"].iloc[0]) * span)
@@ -179,32 +198,38 @@ def _frequent(survey: DataFrame, fold: int, ranges: int) -> tuple[np.ndarray, np
         often = total > FREQUENT_FROM
         return pd.DataFrame({"token": token[often].astype(np.int64), "total": total[often]})
 
-    rows = (survey.where("part >= 0").select("part", "steps", "counts").groupBy("part")
+    rows = (docs.mapInPandas(counted, "part int, steps binary, counts binary").groupBy("part")
             .applyInPandas(summed, "token bigint, total bigint").orderBy(F.desc("total"), "token").limit(MAX_FREQUENT).toPandas())
     rows = rows.sort_values("token")
     return rows["token"].to_numpy(np.int64).astype(np.uint64), rows["total"].to_numpy(np.int64)
 
 
-def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], fold: int) -> DataFrame:
+def _postings(docs: DataFrame, reps: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], fold: int) -> DataFrame:
     token, total = frequent  # at most MAX_FREQUENT entries
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n_held = [], 0
+
+        def table_of() -> pd.DataFrame:
+            ids, sizes, signs = zip(*held)
+            many = [len(g) for g in signs]
+            return pd.DataFrame({"sign": np.concatenate(signs), "doc_id": np.repeat(np.array(ids, np.int64), many),
+                                 "n": np.repeat(np.array(sizes, np.int64), many)})
+
         for x in batches:
-            ids, sizes, signs = [], [], []
-            for doc, text in zip(x["doc_id"], x["text"]):
-                s = shingles(text)
+            for doc, s in _passing(x, reps):
                 if not len(s):
                     continue
                 folded = s >> np.uint64(64 - fold)
                 at = np.minimum(np.searchsorted(token, folded), max(len(token) - 1, 0))
                 rarity = np.where(token[at] == folded, total[at], 0) if len(token) else np.zeros(len(s), np.int64)
-                g = signatures(s, rarity)
-                ids.append(np.full(len(g), doc))
-                sizes.append(np.full(len(g), len(s)))
-                signs.append(g.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"sign": np.concatenate(signs), "doc_id": np.concatenate(ids).astype(np.int64),
-                                    "n": np.concatenate(sizes)})
+                held.append((doc, len(s), signatures(s, rarity).view(np.int64)))
+                n_held += len(held[-1][2])
+                if n_held > 300_000:
+                    yield table_of()
+                    held, n_held = [], 0
+        if held:
+            yield table_of()
 
     return docs.mapInPandas(posted, "sign bigint, doc_id bigint, n bigint")
 
@@ -228,20 +253,13 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.  ``pairs`` should be a stored table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    place = F.pmod("doc_id", F.lit(FILTER_BITS))
-    words = ids.groupBy((place / 32).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(doc_id, {FILTER_BITS}) % 32 AS int))")).alias("bits")).toPandas()
-    wanted = np.zeros(FILTER_BITS // 32, np.uint32)  # bounded by FILTER_BITS
-    wanted[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            at = np.mod(x["doc_id"].to_numpy(np.int64), FILTER_BITS)
-            x = x[(wanted[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)]
-            if not len(x):
-                continue
-            yield pd.DataFrame({"doc_id": x["doc_id"], "tokens": [shingles(t).tobytes() for t in x["text"]]})
+            got = [(doc, s.tobytes()) for doc, s in _passing(x, wanted)]
+            if got:
+                yield pd.DataFrame(got, columns=["doc_id", "tokens"])
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -297,22 +315,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.count()
     fold = min(60, 5 + max(27, (max(rows, 1) * 1000).bit_length()))  # a shingle shares its folded number with few others
     ranges = 1 << max(5, (rows // 4000).bit_length())
-    survey = stored(_survey(docs, fold, ranges), "survey")
-    info = survey.where("part < 0").select("doc_id", "n", "one", "two", "parity")
+    info = stored(_survey(docs), "survey")
     sets = info.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
     classes = stored(info.select("doc_id", "n", "one", "two").join(sets, ["one", "two", "n"], "left")
                      .select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    reps = _filter(classes.where("doc_id = rep AND n > 0").select("doc_id"))
+    known = docs.where("doc_id IS NOT NULL")
+    frequent = _frequent(known, reps, fold, ranges)
     copies = classes.where("doc_id <> rep").select("doc_id", "rep").distinct()
-    links = _links(docs, info, copies, _frequent(survey, fold, ranges), fold)
+    links = _links(known, info, copies, _postings(known, reps, frequent, fold))
     joined = connected(links).select(F.col("doc_id").alias("rep"), "label")
     return classes.join(joined, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
-def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, frequent, fold: int) -> DataFrame:
+def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFrame) -> DataFrame:
     """Links between classes that join up all that are similar (not every link inside a group)."""
-    docs = docs.where("doc_id IS NOT NULL")
-    posted = _postings(docs, frequent, fold)
     of_sign = Window.partitionBy("sign")
     shared = posted.withColumn("low", F.min("doc_id").over(of_sign)).withColumn("high", F.max("doc_id").over(of_sign))
     shared = shared.where("low <> high").select("sign", "doc_id", "n")
@@ -341,3 +359,18 @@ def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, frequent, fold:
 def op10_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents over all whole texts."""
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+single AS (SELECT doc_id, unnest(s) AS t FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM single x JOIN single y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM reach JOIN sized USING (doc_id) GROUP BY 1, 2
+"""
