@@ -13,7 +13,9 @@ Documents with equal sets are one class; only the first document of a class is c
 fixed size picks these documents; where it lets a copy through, that copy is folded into its class later.
 
 Candidates are verified exactly, in two steps: first each list is tied to a few of its members, which joins up large groups
-of near copies without pairing all of them; then every pair that still stands in two groups is verified, so no link is lost.
+of near copies without pairing all of them; then every pair of a list that still stands in two groups is compared, so no
+link is lost.  For lists of frequent combinations that happens in blocks of documents, inside a task, and only links come
+out, not pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ from cartlens.llm.common import stored, table
 SHINGLE = 5
 #: Similarity in hundredths.
 THRESHOLD = 80
-#: A shingle in more documents than this is frequent.
-FREQUENT_FROM = 16
+#: A shingle in more documents than this is frequent, and a list with more members than this is compared in blocks.
+FREQUENT_FROM = 64
+#: Shingles, and documents at most, in a block that is compared with another block.
+BLOCK_SHINGLES = 200_000
+BLOCK_DOCUMENTS = 1_000
 #: Size bound of the table of frequent shingles; with more of them, the least frequent ones count as rare.
 MAX_FREQUENT = 1_000_000
 #: Members of a list that the others are first tied to.
@@ -251,9 +256,9 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return pairs.join(left("b"), "b").join(left("a"), "a").mapInPandas(checked, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.  ``pairs`` should be a stored table."""
-    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens) for the given doc_ids and perhaps some others."""
+    wanted = _filter(ids)
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -261,6 +266,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if got:
                 yield pd.DataFrame(got, columns=["doc_id", "tokens"])
 
+    return stored(docs.mapInPandas(chosen, "doc_id bigint, tokens binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             ok = []
@@ -270,14 +280,65 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= THRESHOLD * (len(s) + len(t) - both))
             yield x.loc[ok, ["a", "b"]]
 
-    sets = stored(docs.mapInPandas(chosen, "doc_id bigint, tokens binary").dropDuplicates(["doc_id"]), "sets")
-
     def of(c: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
 
     return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(compared, "a bigint, b bigint")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """Number of tokens that each set of ``left`` has in common with each set of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(shared, tokens := np.concatenate(sets))
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        ok = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == tokens)
+        return row[ok], at[ok]
+
+    if len(shared):
+        (i, x), (j, y) = places(left), places(right)
+        for lo in range(0, len(shared), step):  # exact: counts stay far below 2**24
+            a, b = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+            p, q = (x >= lo) & (x < lo + step), (y >= lo) & (y < lo + step)
+            a[i[p], x[p] - lo] = 1
+            b[j[q], y[q] - lo] = 1
+            out += a @ b.T
+    return out
+
+
+def _compared_in_blocks(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of each group of ``hot`` (anchor, doc_id, n, label) that have different labels.
+
+    The members of a group are dealt to blocks of about BLOCK_SHINGLES shingles; each pair of blocks is a task's work.
+    """
+    blocks = hot.groupBy("anchor").agg(
+        F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
+    dealt = hot.join(blocks, "anchor").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets, "doc_id")
+    left = dealt.select("anchor", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
+                        F.lit(0).alias("side"), "doc_id", "label", "tokens")
+    right = dealt.where("block > 0").select("anchor", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"),
+                                            F.col("block").alias("j"), F.lit(1).alias("side"), "doc_id", "label", "tokens")
+
+    def compared(x: pd.DataFrame) -> pd.DataFrame:
+        one = x[x["side"] == 0]
+        two = x[x["side"] == 1] if x["i"].iloc[0] != x["j"].iloc[0] else one
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        s, t = ([np.frombuffer(v, np.uint64) for v in y["tokens"]] for y in (one, two))
+        both = common_counts(s, t)
+        size = np.array([len(v) for v in s])[:, None] + np.array([len(v) for v in t])[None, :]
+        like = 100 * both >= THRESHOLD * (size - both)
+        like &= one["label"].to_numpy()[:, None] != two["label"].to_numpy()[None, :]
+        i, j = np.nonzero(like)
+        p, q = one["doc_id"].to_numpy()[i], two["doc_id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+
+    return left.unionByName(right).groupBy("anchor", "i", "j").applyInPandas(compared, "a bigint, b bigint")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(doc_id, label): the smallest id that each linked document reaches.
 
@@ -343,17 +404,29 @@ def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFram
     tied = lists.join(hub, "sign").where((F.col("doc_id") != F.col("hub.doc_id")) & _sizes_allow(F.col("n"), F.col("hub.n")))
     first = tied.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
     first = stored(_plausible(first, info), "first")
-    found = stored(_verified(first, docs), "found")
-    # then: every pair of a list that still stands in two groups
+    found = stored(_verified(first, _sets_of(_ends(first), docs)), "found")
+    # then: what a list has in two groups or more
     near = _labelled(lists, connected(found))
-    open_ = near.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sign")
-    near = stored(near.join(open_, "sign"), "open")
-    x, y = near.alias("x"), near.alias("y")
+    open_ = stored(near.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"),
+                                            F.mode("label", True).alias("anchor"))
+                   .where("low <> high").select("sign", "members", "anchor"), "open")
+    near = stored(near.join(open_, "sign"), "near")
+    # ... in short lists, pair by pair
+    short = near.where(F.col("members") <= FREQUENT_FROM)
+    x, y = short.alias("x"), short.alias("y")
     rest = x.join(y, F.col("x.sign") == F.col("y.sign")).where(
         (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & _sizes_allow(F.col("x.n"), F.col("y.n")))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     rest = stored(_plausible(rest.join(first, ["a", "b"], "left_anti"), info), "rest")
-    return found.union(stored(_verified(rest, docs), "found"))
+    # ... in long ones, by block; lists of the same main group are one
+    hot = stored(near.where(F.col("members") > FREQUENT_FROM).select("anchor", "doc_id", "n", "label").distinct(), "hot")
+    sets = _sets_of(_ends(rest).union(hot.select("doc_id")), docs)
+    more = stored(_verified(rest, sets).union(_compared_in_blocks(hot, sets)), "found")
+    return found.union(more)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
 
 def op10_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,33 @@ def test_groups_equal_brute_force(spark, monkeypatch, often):
     assert _found(df) == want
 
 
+def test_common_counts_equal_set_sizes():
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(500), rng.randint(1, 200))) for _ in range(30)]
+    packed = [np.array(s, np.uint64) for s in sets]
+    got = ngram_jaccard.common_counts(packed[:18], packed[12:], step=64)
+    assert got.tolist() == [[len(set(s) & set(t)) for t in sets[12:]] for s in sets[:18]]
+    assert ngram_jaccard.common_counts([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0.0]]
+
+
+def test_large_group_of_loosely_similar_documents(spark, monkeypatch):
+    """Most pairs of the group share frequent combinations and fall short of the threshold; blocks of few shingles."""
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT_FROM", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 6, 10, 14])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    want = _groups(rows)
+    sizes = Counter(c for _, c in want.values())
+    assert 1 < len(sizes) < 90 and max(sizes.values()) > 5
+    assert _found(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = random.Random(5)
     for _ in range(400):
