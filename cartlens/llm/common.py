@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Hand tasks' rows to Python in batches of at most ``size`` bytes, for what is run inside the block.
+
+    Two columns of whole shingle sets, say, are large; a few batches of them at a time would crowd an executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores in front until no column of ``df`` has that name (case ignored)."""
     taken = {c.lower() for c in df.columns}

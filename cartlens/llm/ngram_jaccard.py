@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import stored, table
+from cartlens.llm.common import small_batches, stored, table
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -372,7 +372,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Documents with equal sets are one class and never paired.  Null and empty texts have no shingles and are linked with
     nothing.  Ids identify texts; whole repeated rows are fine, and so is an empty table.  Texts are taken whole.
     """
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _groups(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     rows = docs.count()
     fold = min(60, 5 + max(27, (max(rows, 1) * 1000).bit_length()))  # a shingle shares its folded number with few others
     ranges = 1 << max(5, (rows // 4000).bit_length())
