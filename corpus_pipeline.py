@@ -64,17 +64,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).groupBy("doc_id").agg(
         F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("passes").alias("passes"),
         F.max("positions").alias("positions"))
-    cols = [c for c in docs.columns]
-    own = plan.select(F.struct("size", "taken", "passes", "positions").alias("mix_plan"), F.col("doc_id").alias("mix_id"))
-    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col("mix_id"))).where("mix_plan.passes > 0")
-    copies = joined.select(*[docs[c] for c in cols], "mix_plan", F.posexplode("mix_plan.positions").alias("mix_pass", "mix_position"))
-    left = F.col("mix_plan.taken") - F.col("mix_pass") * F.col("mix_plan.size")
+    cols = docs.columns
+    info, key, nth, due, cut = (free_name(docs, x) for x in ("mix_plan", "mix_id", "mix_pass", "mix_position", "mix_cut"))
+    own = plan.select(F.struct("size", "taken", "passes", "positions").alias(info), F.col("doc_id").alias(key))
+    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col(key))).where(F.col(info)["passes"] > 0)
+    copies = joined.select(*cols, info, F.posexplode(F.col(info)["positions"]).alias(nth, due))
+    left = F.col(info)["taken"] - F.col(nth) * F.col(info)["size"]
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), left.cast("int")), " ")
-    cut = left < F.col("mix_plan.size")
-    mixed = copies.withColumn("mix_cut", cut).withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    mixed = copies.withColumn(cut, left < F.col(info)["size"]).withColumn("text", F.when(F.col(cut), part).otherwise(F.col("text")))
     if "n_chars" in cols:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return mixed.orderBy("mix_position", "doc_id", "mix_pass").select(*cols)
+        mixed = mixed.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return mixed.orderBy(due, "doc_id", nth).select(*cols)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
