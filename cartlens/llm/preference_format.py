@@ -96,7 +96,11 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs made of all conversations, formatted; masks as start:end, comma-joined."""
+    """Preference pairs of the conversations that ``conversation_pairs`` pairs, formatted; masks as start:end, comma-joined.
+
+    These are not all conversations with a reply: one whose partner (id differing in the last bit) has none is left out,
+    as in ``OP1_SQL``.
+    """
     pairs = format_pairs(conversation_pairs(table(spark, sf_dir, "conversations")))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return pairs.select("conv_id", "n_prefix", "status", "prompt", "chosen_text", text(F.col("chosen_mask")).alias("chosen_mask"),
