@@ -28,6 +28,10 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20)
 #: The same matches, from a pattern that passes over short runs at once.
 _FAST = {"hex": re.compile("[0-9a-f]{24,}")}
 KINDS = [k for k, *_ in BASE] + ["format"]
+#: Candidates from wide to narrow, each tried inside those of the one before that aren't secrets: all characters of an
+#: assigned value, without an equal sign but at the end, and without dots too.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+DOTTED = re.compile(r"[A-Za-z0-9+/_.-]+={0,2}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Most labelled credentials of each kind, the first distinct ones by MD5.
 MAX_EXAMPLES = 500
@@ -139,12 +143,14 @@ def merge_states(states: list[State], alpha: float = ALPHA) -> list[State]:
 class Automaton:
     """Format of one kind: a literal start, merged states over character classes, and what the examples allow."""
 
-    def __init__(self, examples: list[str], alpha: float = ALPHA, margin: float = MARGIN):
+    def __init__(self, examples: list[str], alpha: float = ALPHA, margin: float = MARGIN,
+                 lengths: tuple[int, int] | None = None):
+        """``lengths``: least and greatest of all credentials of the kind, where ``examples`` are some of them."""
         low, high = min(examples), max(examples)
         self.start = low[:next((i for i, c in enumerate(low) if i >= len(high) or c != high[i]), len(low))]
         coded = [[_CLASS[c] for c in s[len(self.start):]] for s in examples]
         self.states = merge_states(prefix_tree(coded), alpha)
-        self.lengths = frozenset(map(len, examples))
+        self.shortest, self.longest = lengths or (min(map(len, examples)), max(map(len, examples)))
         seen = Counter(c for s in coded for c in set(s))
         #: classes that nearly every example has
         self.needed = frozenset(c for c, n in seen.items() if n >= 0.99 * len(examples))
@@ -163,30 +169,56 @@ class Automaton:
             total += math.log(state.counts[c] / state.arrivals / len(CLASSES[c][1]))
             at = state.to[c]
         state = self.states[at]
-        return (total + math.log(state.ends / state.arrivals)) / (len(token) + 1) if state.ends else -math.inf
+        # where no example ends, another credential still may: half an end
+        return (total + math.log(max(state.ends, 0.5) / state.arrivals)) / (len(token) + 1)
 
     def accepts(self, token: str) -> bool:
-        return (len(token) in self.lengths and self.needed <= {_CLASS.get(c) for c in token[len(self.start):]}
+        return (self.shortest <= len(token) <= self.longest and self.needed <= {_CLASS.get(c) for c in token[len(self.start):]}
                 and self.likelihood(token) >= self.least)
 
 
 def learn(docs: DataFrame, text: str = "text", max_examples: int = MAX_EXAMPLES) -> list[Automaton]:
     """An automaton for each base kind that has enough distinct credentials in the corpus.
 
-    Every text is searched; at most ``max_examples`` of each kind come to the driver.
+    Every text is searched; at most ``max_examples`` of each kind come to the driver, and the least and greatest length
+    of all of them.
     """
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame([(k, s) for t in x[text] for k, _, _, s in base_matches(t) if s.isascii()],
                                columns=["kind", "secret"])
 
-    labelled = docs.select(text).mapInPandas(found, "kind int, secret string").distinct()
+    labelled = stored(docs.select(text).mapInPandas(found, "kind int, secret string").distinct(), "labelled")
+    lengths = {k: (a, b) for k, a, b in labelled.groupBy("kind").agg(F.min(F.length("secret")), F.max(F.length("secret"))).collect()}
     first = Window.partitionBy("kind").orderBy(F.md5("secret"), "secret")
     some = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_examples)
     by_kind: dict[int, list[str]] = {}
     for kind, secret in some.select("kind", "secret").orderBy("kind", "n").collect():
         by_kind.setdefault(kind, []).append(secret)
-    return [Automaton(s) for _, s in sorted(by_kind.items()) if len(s) >= MIN_EXAMPLES]
+    return [Automaton(s, lengths=lengths[k]) for k, s in sorted(by_kind.items()) if len(s) >= MIN_EXAMPLES]
+
+
+def _likely(text: str, start: int, end: int, automata: list[Automaton], hidden: list[tuple[int, int]],
+            patterns: tuple[re.Pattern, ...]) -> Iterator[tuple[int, int]]:
+    """Spans from ``start`` to ``end`` that match the first pattern, as they are or without dots (and equal signs) around
+    them, and that an automaton accepts; where no form is, those of the further patterns inside."""
+    shortest = min(x.shortest for x in automata)
+    for m in patterns[0].finditer(text, start, end):
+        a, b = m.span()
+        if b - a < shortest:
+            continue
+        forms = {(a, b): None}
+        for around in (".", ".="):
+            left = b - len(m[0].lstrip(around))
+            forms[left, left + len(m[0].strip(around))] = None
+        for p, q in forms:
+            if (q - p >= shortest and any(x.accepts(text[p:q]) for x in automata)
+                    and not any(u < q and p < v for u, v in hidden)):
+                yield p, q
+                break
+        else:
+            if patterns[1:]:
+                yield from _likely(text, a, b, automata, hidden, patterns[1:])
 
 
 def scan(text: str | None, automata: list[Automaton]) -> list[tuple[int, int, int]]:
@@ -195,12 +227,8 @@ def scan(text: str | None, automata: list[Automaton]) -> list[tuple[int, int, in
     base = base_matches(text)
     spans = [(a, k, b) for k, a, b, _ in base]
     if automata:
-        lengths = frozenset().union(*(a.lengths for a in automata))
         hidden = [(a, b) for _, a, b, _ in base]
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            if b - a in lengths and any(x.accepts(m[0]) for x in automata) and not any(p < b and a < q for p, q in hidden):
-                spans.append((a, len(BASE), b))
+        spans += [(a, len(BASE), b) for a, b in _likely(text, 0, len(text), automata, hidden, (RUN, DOTTED, TOKEN))]
     return sorted(spans)
 
 

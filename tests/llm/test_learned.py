@@ -147,6 +147,35 @@ def test_automaton_learns_a_format_and_leaves_words_alone():
     assert secret_grammar.redact(text, spans) == f"see [SECRET] and [SECRET], not {words[0]}"
 
 
+def test_lengths_that_no_example_has_are_scored_too(spark):
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(chars) for _ in range(n)) + "aG7x"
+    odd = [n for n in range(40, 140) if n % 2]
+    values = [draw(n) for n in odd for _ in range(6)]
+    automata = secret_grammar.learn(docs(spark, [(i, f"token={v}", "en", "a", 1) for i, v in enumerate(values)]), max_examples=30)
+    assert (automata[0].shortest, automata[0].longest) == (min(map(len, values)), max(map(len, values)))
+    others = [draw(n) for n in range(45, 135, 2)] + [draw(n) for n in range(44, 136, 2)]
+    found = sum(secret_grammar.scan(f"see {v} here", automata) == [(4, 3, 4 + len(v))] for v in others)
+    assert found >= 0.9 * len(others)
+
+
+def test_formats_with_dots_match_bare_occurrences():
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice("ABCDEFGHghijklmnopqr23456789") for _ in range(n)) + "Ag7"
+    values = [f"{part(9)}.{part(12)}.{part(15)}" for _ in range(220)]
+    dotted, plain = secret_grammar.Automaton(values[:200]), secret_grammar.Automaton([part(30) for _ in range(200)])
+    likely = [v for v in values[200:] if dotted.accepts(v)]
+    assert len(likely) >= 18
+    for v in likely:
+        for before, after in (("see ", " here"), ("see ", "."), ("... ", "..."), ("see x=", ". So"), ("", "")):
+            text = before + v + after
+            assert secret_grammar.scan(text, [dotted, plain]) == [(len(before), 3, len(before) + len(v))], text
+    one = next(x for x in (part(30) for _ in range(50)) if plain.accepts(x))
+    for text in (f"x={one}", f"end.{one}.", f"a.b={one}.c", f"{one}=={one}"):
+        assert text.find(one) in {a for a, _, _ in secret_grammar.scan(text, [dotted, plain])}, text
+
+
 def test_states_with_unlike_continuations_stay_apart():
     strings = [[0, 0, 1]] * 200 + [[1, 0]] * 200
     states = secret_grammar.merge_states(secret_grammar.prefix_tree(strings))
