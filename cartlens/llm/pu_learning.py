@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 #: Fold of a row: CRC-32 of its id as text, modulo this; fold 0 is held out.
 FOLDS = 5
-#: Most labelled and most unlabelled rows that a classifier is fitted on, first ones by MD5 of the id.
+#: Most positive and most unlabelled rows that a classifier is fitted on, first ones by MD5 of the id.
 MAX_LABELLED = 12_000
 MAX_UNLABELLED = 12_000
+#: Up to so many ids of positives are broadcast to where the texts are; with more, the texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass
@@ -75,22 +77,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+def told(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of every labelled id outside fold 0: the largest label of each, null ones left out."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    return own.groupBy("doc_id").agg(F.max(F.col(label)).alias("label"))
+
+
+def all_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(text, positive) of every document outside fold 0."""
+    ones = told(labels, label).where("label = 1").select("doc_id", F.lit(True).alias("positive"))
+    if ones.count() <= MOST_BROADCAST:
+        ones = F.broadcast(ones)
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+    return rows.join(ones, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_LABELLED,
                   max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, float]:
     """(doc_id, text, positive, unlabelled) of the rows to learn from, and the class prior.
 
     Only rows outside fold 0 count.  Positives are rows labelled 1; unlabelled ones are documents drawn whatever their
-    label, which is not looked at.  The prior is the share of 1 among the labelled rows.  Null ids and null labels
-    count as no label; of several labels of one id the largest holds.  Both draws are the first rows by MD5 of the id
-    and so bounded, and small enough to broadcast.
+    label, which is not looked at.  The prior is the share of 1 among all labelled rows.  Null ids and null labels
+    count as no label; of several labels of one id the largest holds.  Both draws are the first rows by MD5 of the id,
+    ``max_labelled`` positives by themselves, and so bounded, and small enough to broadcast.
     """
     order = F.md5(F.col("doc_id").cast("string"))
-    own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max(F.col(label)).alias("label")).orderBy(order, "doc_id").limit(max_labelled)
+    own = told(labels, label)
     n, ones = own.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     drawn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id")
     drawn = drawn.orderBy(order, "doc_id").limit(max_unlabelled)
-    flags = (own.where("label = 1").select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    drawn_ones = own.where("label = 1").orderBy(order, "doc_id").limit(max_labelled)
+    flags = (drawn_ones.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
              .unionByName(drawn.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
              .groupBy("doc_id").agg((F.max("p") == 1).alias("positive"), (F.max("u") == 1).alias("unlabelled")))
     rows = docs.select("doc_id", "text").join(F.broadcast(flags), "doc_id")

@@ -58,6 +58,33 @@ def _shapes(texts: pd.Series) -> np.ndarray:
     return np.array([shape(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
 
 
+def _rounded_up(x: np.ndarray) -> np.ndarray:
+    """The next number with ten binary digits, so that any number of texts has a bounded number of values."""
+    digits, power = np.frexp(x)
+    return np.ldexp(np.ceil(digits * 1024) / 1024, power)
+
+
+def quantile_edges(docs: DataFrame) -> list[np.ndarray]:
+    """The quantiles of each feature over all documents outside the held-out fold, rounded up to ten binary digits."""
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [Counter() for _ in FEATURES]
+        for x in batches:
+            for own, values in zip(seen, _rounded_up(_shapes(x["text"])).T):
+                for value, n in zip(*np.unique(values, return_counts=True)):
+                    own[float(value)] += int(n)
+        yield pd.DataFrame([(k, v, n) for k, own in enumerate(seen) for v, n in own.items()], columns=["feature", "value", "n"])
+
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
+    got = (rows.mapInPandas(counted, "feature int, value double, n bigint").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+           .toPandas().sort_values(["feature", "value"]))
+    edges = []
+    for _, own in got.groupby("feature"):
+        upto = own["n"].cumsum().to_numpy()
+        at = np.searchsorted(upto, np.array(QUANTILES) * upto[-1], side="left")
+        edges.append(np.unique(own["value"].to_numpy()[at]))
+    return edges
+
+
 class Model:
     """Steps of the features and their summed weights: a score is the intercept plus one weight per feature."""
 
@@ -73,7 +100,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED,
         max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """The classifier; without any trusted row, or with nothing but such rows, a constant (their share)."""
+    """The classifier; without any trusted row, or with nothing but such rows, a constant (their share).
+
+    Quantiles are those of all documents outside the held-out fold; the weights are fitted on the bounded draws.
+    """
     rows, prior = learning_rows(docs, labels, label, max_labelled, max_unlabelled)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     if not usable(prior, pos.sum(), unl.sum()):
         return Model([], [], float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     x = np.stack(got["x"])
-    edges = [np.unique(np.quantile(x[unl, k], QUANTILES)) for k in range(x.shape[1])]
+    edges = quantile_edges(docs)
     first = np.cumsum([0] + [len(e) for e in edges])
     steps = np.concatenate([x[:, [k]] > e for k, e in enumerate(edges)], axis=1)
     lists = [np.flatnonzero(s) for s in steps]

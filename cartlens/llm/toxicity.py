@@ -8,6 +8,7 @@ and scores whole texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import stored, table
-from cartlens.llm.pu_learning import MAX_LABELLED, MAX_UNLABELLED, Rows, fit_nnpu, held_out, learning_rows, sigmoid, usable
+from cartlens.llm.pu_learning import (MAX_LABELLED, MAX_UNLABELLED, Rows, all_rows, fit_nnpu, held_out, learning_rows, sigmoid,
+                                      usable)
 
-#: The vocabulary: the most telling terms, how far apart their rates must be (in standard errors), and the least share
-#: of the positives that has a term.
+#: The vocabulary: the most telling terms, how far apart their rates must be (in standard errors), and the least number
+#: of positives that have a term.
 VOCABULARY = 2_000
 MIN_Z = 5.0
-MIN_SHARE = 0.02
+MIN_POSITIVES = 3
+#: Terms that a task counts before it hands the counts on.
+MOST_COUNTED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -32,29 +36,45 @@ def terms_of(text: str | None) -> set[str]:
     return words.union([w[:4] + "-" for w in words if len(w) > 4], [w[:5] + "-" for w in words if len(w) > 5])
 
 
-def _distinct_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number of positives and of all texts that have each term; the empty term is in every text."""
+    p, u = Counter(), Counter()
+
+    def counted() -> pd.DataFrame:
+        return pd.DataFrame([(term, p[term], n) for term, n in u.items()], columns=["term", "p", "u"])
+
     for x in batches:
-        yield pd.DataFrame({"positive": x["positive"], "unlabelled": x["unlabelled"],
-                            "terms": [sorted(terms_of(t)) for t in x["text"]]})
+        for text, positive in zip(x["text"], x["positive"]):
+            terms = terms_of(text)
+            terms.add("")
+            u.update(terms)
+            if positive:
+                p.update(terms)
+            if len(u) > MOST_COUNTED:
+                yield counted()
+                p.clear()
+                u.clear()
+    yield counted()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED,
         max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[str, float], float]:
     """Weight of each term of the vocabulary, and the intercept.
 
+    Terms are counted in all documents outside the held-out fold; the weights are fitted on the bounded draws.
     Without any positive, or with positives only, there are no weights and the intercept says the share of positives.
     """
     rows, prior = learning_rows(docs, labels, label, max_labelled, max_unlabelled)
-    bags = stored(rows.mapInPandas(_distinct_terms, "positive boolean, unlabelled boolean, terms array<string>"), "bags")
-    n_pos, n_unl = bags.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
+    seen = all_rows(docs, labels, label).mapInPandas(_counted_terms, "term string, p bigint, u bigint")
+    seen = seen.groupBy("term").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    seen = stored(seen.where((F.col("p") >= MIN_POSITIVES) | (F.col("term") == "")), "terms")
+    n_pos, n_unl = seen.where("term = ''").select("p", "u").first() or (0, 0)
     if not usable(prior, n_pos, n_unl):
         return {}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
-    seen = bags.select("positive", "unlabelled", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u"))
     rate_p, rate_u = F.col("p") / n_pos, F.col("u") / n_unl
     pooled = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2)
     telling = F.abs(rate_p - rate_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
-    top = (seen.where(F.col("p") >= max(3, MIN_SHARE * n_pos)).withColumn("z", telling).where(F.col("z") >= MIN_Z)
+    top = (seen.where((F.col("term") != "") & (F.col("p") >= MIN_POSITIVES)).withColumn("z", telling).where(F.col("z") >= MIN_Z)
            .orderBy(F.desc("z"), "term").limit(VOCABULARY))
     index = {r[0]: i for i, r in enumerate(top.select("term").collect())}
     if not index:
@@ -63,11 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     def to_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame({"positive": x["positive"], "unlabelled": x["unlabelled"],
-                                "cols": [[index[w] for w in ws if w in index] for ws in x["terms"]]})
+                                "cols": [sorted(index[w] for w in terms_of(t) if w in index) for t in x["text"]]})
 
-    got = bags.mapInPandas(to_columns, "positive boolean, unlabelled boolean, cols array<int>").toPandas()
+    got = rows.mapInPandas(to_columns, "positive boolean, unlabelled boolean, cols array<int>").toPandas()
     pos = Rows.of(list(got.loc[got["positive"], "cols"]), len(index))
     unl = Rows.of(list(got.loc[got["unlabelled"], "cols"]), len(index))
+    if not usable(prior, pos.n, unl.n):
+        return {}, float(np.log(prior / (1 - prior)))
     w, b = fit_nnpu(pos, unl, prior)
     return {term: float(w[i]) for term, i in index.items()}, b
 

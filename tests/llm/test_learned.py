@@ -39,6 +39,41 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
     assert toxicity.fit(d, labels) == toxicity.fit(d, turned)
 
 
+def _few_positives(spark):
+    """10 000 documents, every 20th toxic; of those outside the held-out fold, the first seven say zork."""
+    outside = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5]
+    toxic = [i for i in outside if i % 20 == 0]
+    texts = [" ".join(["plain words"] * (1 + i % 37) + ["nasty"] * (i % 20 == 0)) for i in range(10_000)]
+    for i in toxic[:7]:
+        texts[i] += " zork"
+    labels = spark.createDataFrame([(i, int(i % 20 == 0), int(i % 20 != 0)) for i in range(10_000)], "doc_id bigint, toxic int, quality int")
+    return docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), labels, toxic, [texts[i] for i in outside]
+
+
+def test_positives_are_drawn_by_themselves_and_the_prior_counts_all(spark):
+    d, labels, toxic, outside = _few_positives(spark)
+    rows, prior = pu_learning.learning_rows(d, labels, "toxic", 500, 100)
+    assert sorted(r.doc_id for r in rows.where("positive").collect()) == toxic and rows.where("unlabelled").count() == 100
+    assert prior == len(toxic) / len(outside)
+    assert pu_learning.learning_rows(d, labels, "toxic", 50, 100)[0].where("positive").count() == 50
+
+
+def test_statistics_come_from_all_rows_and_rare_terms_count(spark, monkeypatch):
+    d, labels, toxic, outside = _few_positives(spark)
+    assert 7 < 0.02 * len(toxic)
+    for bound, most in ((50, 1_000_000), (12_000, 0)):
+        monkeypatch.setattr(pu_learning, "MOST_BROADCAST", most)
+        weights, _ = toxicity.fit(d, labels, max_unlabelled=bound)
+        assert weights.keys() == {"nasty", "nast-", "zork"} and weights["zork"] > 0
+    edges = [quality_classifier.fit(d, labels, max_unlabelled=n).edges for n in (30, 1000)]
+    assert all(map(np.array_equal, *edges))
+    x = np.sort(quality_classifier._shapes(outside), axis=0)
+    at = np.ceil(np.array(quality_classifier.QUANTILES) * len(x)).astype(int) - 1
+    for k, e in enumerate(edges[0]):
+        assert np.array_equal(e, np.unique(quality_classifier._rounded_up(x[at, k])))
+        assert np.allclose(quality_classifier._rounded_up(x[at, k]), x[at, k], rtol=0.002)
+
+
 def test_nonnegative_risk_finds_the_positives():
     rng = np.random.default_rng(0)
     prior = 0.2
