@@ -63,11 +63,12 @@ def n_words(text: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, name: str,
-            rows_per_bucket: int = 100_000) -> DataFrame:
+            rows_per_bucket: int = 100_000, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``name``: the sum of ``amount`` over the rows that stand before a row among the rows of its keys.
 
     The order within a key is by (bucket, ``order``), where the bucket is the first 32 bits of the MD5 of the
-    ``order`` columns (which must identify a row) modulo the number of buckets.  No task sorts a whole key: each (key, bucket) is summed by itself and shifted by the totals of
+    ``order`` columns (which must identify a row, or else ``ties`` must do so among rows equal in them) modulo the number of
+    buckets.  No task sorts a whole key: each (key, bucket) is summed by itself and shifted by the totals of
     the buckets before it, so a key that holds a third of all rows is dealt to as many tasks as its buckets.  ``df``
     is read three times and should be a stored table.
     """
@@ -82,7 +83,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Co
         .select(*[F.col(k).alias(x) for k, x in zip(keys, ks)], F.col(b).alias(f"{b}__key"),
                 F.coalesce(F.sum(part).over(by_bucket), F.lit(0)).alias(before))
     )
-    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, b).orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn(name, F.coalesce(F.sum(part).over(inside), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip([*keys, b], [*ks, f"{b}__key"])]
     joined = local.join(totals, on=_all(same), how="inner").withColumn(name, F.col(name) + F.col(before))

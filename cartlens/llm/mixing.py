@@ -100,7 +100,7 @@ def _due(knots: Sequence[tuple[float, float]]):
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
-        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, row: str | None = None) -> DataFrame:
     """Plan of the mix: a row per document with size, source_size, target, taken, passes and position.
 
     ``taken`` words of a document are in the mix: a source's passes take whole documents, in an order by a hash of the
@@ -108,12 +108,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     ``position`` is the training time (0 to 1) at which the document is first due, null when it is never taken; one
     with ``passes`` above 1 comes again, one source length later in its source's stream (``positions`` lists them).
     Rows come range-sorted by position, ties by id.  Null text has size 0 and is taken 0 words; a null source is a
-    source; ids are taken as unique.  An empty table gives an empty plan.
+    source; ids are taken as unique, unless
+    ``row`` names a column that identifies a row whatever its id; it is then the last column of the plan.  An empty table
+    gives an empty plan.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source_name"), n_words(F.col(text)).alias("size"))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source_name"), n_words(F.col(text)).alias("size"),
+                      *([F.col(row).alias("row_key")] if row else []))
+    if row:  # rows without an id are dealt to buckets by their own key, all others by their id as ever
+        src = src.withColumn("no_id", F.when(F.col("doc_id").isNull(), F.col("row_key")))
     src = stored(src, "sizes")
     targets = source_targets(src, "source_name", "size", weights, max_repeats)
-    placed = running(src, ["source_name"], ["doc_id"], F.col("size"), "start")
+    order, ties = (["doc_id", "no_id"], ["row_key"]) if row else (["doc_id"], [])
+    placed = running(src, ["source_name"], order, F.col("size"), "start", ties=ties)
     to = targets.select(F.col("source_name").alias("name_key"), "place", "source_size", "target")
     j = placed.join(to, F.col("source_name").eqNullSafe(F.col("name_key"))).drop("name_key")
     whole = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
@@ -128,7 +134,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
                       F.transform(F.sequence(F.lit(0), F.col("passes") - 1), _due(knots))).otherwise(spot)
     j = j.withColumn("positions", F.when(F.col("passes") > 0, spot).otherwise(F.array().cast("array<double>")))
     j = j.withColumn("position", F.get("positions", F.lit(0)))
-    return (j.select("doc_id", "source_name", "size", "source_size", "target", "taken", "passes", "position", "positions")
+    return (j.select("doc_id", "source_name", "size", "source_size", "target", "taken", "passes", "position", "positions",
+                     *([F.col("row_key").alias(row)] if row else []))
             .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 

@@ -61,20 +61,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The copy of a document at which its source's target ends keeps only the words that are taken, with single spaces.
     """
-    plan = mixing.mix(docs).groupBy("doc_id").agg(
-        F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("passes").alias("passes"),
-        F.max("positions").alias("positions"))
     cols = docs.columns
-    info, key, nth, due, cut = (free_name(docs, x) for x in ("mix_plan", "mix_id", "mix_pass", "mix_position", "mix_cut"))
-    own = plan.select(F.struct("size", "taken", "passes", "positions").alias(info), F.col("doc_id").alias(key))
-    joined = docs.join(own, docs["doc_id"].eqNullSafe(F.col(key))).where(F.col(info)["passes"] > 0)
+    info, key, nth, due, cut = (free_name(docs, x) for x in ("mix_plan", "mix_row", "mix_pass", "mix_position", "mix_cut"))
+    # written, so that a row has the same key in the plan and beside its text
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    plan = mixing.mix(keyed, row=key)
+    own = plan.select(F.struct("size", "taken", "passes", "positions").alias(info), key)
+    joined = keyed.join(own, key).where(F.col(info)["passes"] > 0)
     copies = joined.select(*cols, info, F.posexplode(F.col(info)["positions"]).alias(nth, due))
     left = F.col(info)["taken"] - F.col(nth) * F.col(info)["size"]
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), left.cast("int")), " ")
     mixed = copies.withColumn(cut, left < F.col(info)["size"]).withColumn("text", F.when(F.col(cut), part).otherwise(F.col("text")))
     if "n_chars" in cols:
         mixed = mixed.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return mixed.orderBy(due, "doc_id", nth).select(*cols)
+    return mixed.orderBy(due, "doc_id", key, nth).select(*cols)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

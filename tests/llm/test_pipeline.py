@@ -40,6 +40,18 @@ def test_stages_by_hand(spark):
     _check(packed, [(r.doc_id, r.text) for r in safe.collect()])
 
 
+def test_rows_without_an_id_have_plans_of_their_own(spark):
+    from cartlens.llm import mixing
+    rows = [(None, f"s{s} r{k} " + "w " * (5 + 40 * (k % 3)), "en", f"s{s}", None) for s in range(3) for k in range(12)]
+    rows += [(i, f"id{i} " + "w " * 30, "en", f"s{i % 3}", None) for i in range(9)]
+    table = stored(docs(spark, rows), "t")
+    words = {r.source: r.n for r in cp.mix_sources(spark, table, SF0001).groupBy("source").agg(
+        F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    sizes = table.select("source", mixing.n_words(F.col("text")).alias("size"))
+    targets = {r.source_name: int(r.target + 0.5) for r in mixing.source_targets(sizes, "source", "size").collect()}
+    assert words == targets
+
+
 def test_run_is_the_stages_one_after_the_other(spark):
     d = spark.read.parquet(f"{SF0001}/documents.parquet")
     for _, stage in cp.STAGES:
