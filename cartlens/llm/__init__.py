@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cartlens.llm import (bitsliced_topk, mixing, ngram_jaccard, packing, preference_format, quality_classifier,
-                              secret_grammar, sharding, suffix_repetition, toxicity)
+    from cartlens.llm import (bitsliced_topk, embedding_whitening, lm_scoring, merkle_manifest, mixing, ngram_jaccard, packing,
+                              preference_format, quality_classifier, secret_grammar, sharding, suffix_repetition, toxicity)
 
     jobs = [preference_format.op1_preference_format, packing.op2_complement_packing, mixing.op3_curriculum_mix,
             sharding.op4_jump_sharding, toxicity.op5_nnpu_toxicity, quality_classifier.op6_pu_quality,
             suffix_repetition.op7_suffix_repetition, secret_grammar.op8_secret_grammar,
-            bitsliced_topk.op9_bitsliced_topk, ngram_jaccard.op10_combination_prefixes]
+            bitsliced_topk.op9_bitsliced_topk, ngram_jaccard.op10_combination_prefixes, lm_scoring.op11_hashed_maxent,
+            merkle_manifest.op12_merkle_manifest, embedding_whitening.op13_chebyshev_whitening]
     return {f.__name__: f for f in jobs}
 
 
