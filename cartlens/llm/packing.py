@@ -9,7 +9,7 @@ up again.  The plan, a bounded table, is then applied to the pieces by their ran
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections import Counter
@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import in_python_worker_single_threaded, running, stored, table
+from cartlens.llm.common import in_python_worker_single_threaded, map_rows, running, stored, table
 
 CAPACITY = 2048
 END = 0
 #: Entries that a Python worker keeps of each cache of ids, about 0.2 kB each.
 MOST_KEPT = 900_000
+#: How a byte-level tokenizer cuts a text, and the first character (after Latin, Greek and Cyrillic) whose class is left to it.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_BELOW = "\u0530"
 
 
 def _complement(count: np.ndarray, gap: int) -> tuple[int, ...] | None:
@@ -135,6 +138,27 @@ def pack(pieces: DataFrame, length: str = "length", ids: tuple[str, ...] = ("doc
     return ranked.mapInPandas(place, shape)
 
 
+def _plain_encoding(path: str):
+    """The tokenizer's vocabulary as a tiktoken encoding, several times faster on a short piece; None where the file is not
+    a byte-level BPE whose ids follow the order of its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    if (model["type"] != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True)
+            or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout")):
+        return None
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [model["vocab"][t] for t in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """Function from a text to its ids as little-endian unsigned 32-bit bytes, by the tokenizer at ``path``.
@@ -147,40 +171,28 @@ def _encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    word_and_mark = re.compile(r"( ?[^\W\d_]+)([.,!?;:]?)\Z")
+    plain = _plain_encoding(path)
 
     def ids_of(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def taken_apart(piece: str) -> list[str]:
-        """Words, marks and line breaks, if the piece is made of such lines only; the tokenizer cuts there anyway."""
-        out = []
-        for line in piece.split("\n"):
-            m = word_and_mark.match(line)
-            if not (m and m[1].lstrip(" ").isalpha()):
-                return [piece]
-            out += [m[1], m[2], "\n"] if m[2] else [m[1], "\n"]
-        return out[:-1]
-
-    class Parts(dict):
-        def __missing__(self, part: str) -> bytes:
-            ids = self[part] = ids_of(part)
-            return ids
-
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
-            ids = self[piece] = b"".join([parts[x] for x in taken_apart(piece)])
+            # where both libraries' character classes surely agree; the same vocabulary gives the same ids
+            if plain and piece.replace("\n", "").isprintable() and max(piece) < PLAIN_BELOW:
+                ids = self[piece] = array("I", plain.encode_ordinary(piece)).tobytes()
+            else:
+                ids = self[piece] = ids_of(piece)
             return ids
 
-    parts, known = Parts(), Pieces({"": b""})
+    known = Pieces({"": b""})
 
     def encode(text: str) -> bytes:
         if "  " in text or "\0" in text:
             return ids_of(text)
-        for kept in (known, parts):
-            if len(kept) > MOST_KEPT:
-                kept.clear()
-                known[""] = b""
+        if len(known) > MOST_KEPT:
+            known.clear()
+            known[""] = b""
         return b"".join(map(known.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
     return encode
@@ -209,7 +221,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     rows.append((doc, k, a, b - a, zlib.crc32(own)) + ((own,) if keep_ids else ()))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, shape)
+    return map_rows(docs.select("doc_id", "text"), cut, shape, "doc_id")
 
 
 def op2_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

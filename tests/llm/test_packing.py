@@ -92,3 +92,13 @@ def test_query(spark):
     texts = [tuple(r) for r in spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text").collect()]
     _check(rows, texts)
     assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 2048) + 2
+
+
+def test_short_cut_ids_equal_the_tokenizers_own(spark):
+    """Every piece of real texts, and pieces of all kinds of characters, against the tokenizer by itself."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r[0]]
+    odd = ["don't I'll we've 'S", "x1y2 3.14 a_b", "ÀÉ żółć Ελλάδα Привет", "日本語 テスト", "a b c d", "tab\tand\r\nline\x1c\x85end", "é soft­hyphen",
+           "\n\n a\n\n\nb \n", "١٢٣ ½ ²", "ʼn ǅ ª º", "😀 ok 👩‍👩‍👧", "'re 're're", "ԱԲ ӿ ԯ", "".join(map(chr, range(32, 0x530)))]
+    odd += [f"a {chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}" for c in range(33, 0x600)]
+    encode = packing._encoder(PATH)
+    assert [encode(t) for t in texts + odd] == [np.array(i, "<u4").tobytes() for i in _ids(texts + odd)]
