@@ -45,15 +45,16 @@ FREQUENT = 200_000
 #: Rows of weights (a power of two), rounds of training, tokens of a gradient step, step size, tokens of a training task.
 ROW_BITS = 14
 ROUNDS = 3
-STEP_TOKENS = 8_192
+STEP_TOKENS = 16_384
 RATE = 0.25
 #: Sum of squares that each row's past gradients start from: the larger, the less a row that was seen a few times moves.
 PAST = 4.0
 TASK_TOKENS = 4_000_000
 #: Different words that a task counts, or remembers, before it hands them on.
 MOST_WORDS = 400_000
-#: Tokens that are scored at a time; a longer text is one array of small integers.
-SCORED_TOKENS = 32_768
+#: Tokens of a softmax in scoring, few enough for the cache, and tokens that are encoded together.
+SCORED_AT_ONCE = 2_048
+SCORED_TOKENS = 65_536
 #: Odd constants of the multiplicative hash.
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -146,9 +147,9 @@ class Codes(dict):
             self[word] = code
         return code
 
-    def of(self, text: str | None) -> list[int]:
+    def of(self, words: list[bytes]) -> list[int]:
         """Two marks of the start, the codes of the words, and the end."""
-        return [self.start, self.start, *map(self.__getitem__, tokens(text)), self[END]]
+        return [self.start, self.start, *map(self.__getitem__, words), self[END]]
 
     def keys_and_classes(self, codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What stands for each token in features, and its class; ``classes`` has one more for the start."""
@@ -261,7 +262,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: i
 
             for batch in batches:
                 for t in batch["text"]:
-                    flat += codes.of(t)
+                    flat += codes.of(tokens(t))
                     if len(flat) >= SCORED_TOKENS:
                         take(flat)
                         flat = []
@@ -308,14 +309,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         log_c = np.append(np.log10(c + 1.0), 0.0)
         log_mass = np.log10(np.maximum(mass, 1.0))
 
-        def one(texts: list[list[int]]) -> np.ndarray:
-            code = np.array([x for t in texts for x in t], np.int64)
+        def one(texts: list[np.ndarray]) -> np.ndarray:
+            code = np.concatenate(texts)
             of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
             key, k = codes.keys_and_classes(code, classes)
             places = np.flatnonzero(key != codes.start)
             given = np.empty(len(places))
-            for a in range(0, len(places), STEP_TOKENS):
-                at = places[a:a + STEP_TOKENS]
+            for a in range(0, len(places), SCORED_AT_ONCE):
+                at = places[a:a + SCORED_AT_ONCE]
                 given[a:a + len(at)] = class_log_probability(weights, shares, feature_rows(key, at), k[at])
             given = given / np.log(10) - log_mass[k[places]]
             code, of = code[places], of[places]
@@ -326,11 +327,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         for batch in batches:
             parts, waiting, size, rare = [], [], 0, []
             for t in batch:
-                code = codes.of(t)
-                if min(code) < 0:
-                    rare.append(b" ".join(compress(tokens(t), [x < 0 for x in code[2:-1]])).decode())
-                else:
-                    rare.append(None)
+                words = tokens(t)
+                code = np.array(codes.of(words), np.int64)
+                out = code[2:-1] < 0
+                rare.append(b" ".join(compress(words, out.tolist())).decode() if out.any() else None)
                 waiting.append(code)
                 size += len(code)
                 if size >= SCORED_TOKENS:

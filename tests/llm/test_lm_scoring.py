@@ -56,7 +56,7 @@ def test_counts_scores_and_gain_on_held_out_texts(spark):
         assert r["held_out"] == is_held_out(r["doc_id"])
     codes = lm.Codes(model.vocabulary.words)
     for i in sorted(texts)[:6]:
-        code = codes.of(texts[i])
+        code = codes.of(lm.tokens(texts[i]))
         words = lm.tokens(texts[i]) + [b""]
         want = sum(math.log10(outcome_probability(model, c, code[at:at + 2], w)) for at, w in enumerate(words))
         assert small[i]["score"] == pytest.approx(want, rel=1e-5)
