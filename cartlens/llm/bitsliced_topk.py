@@ -132,10 +132,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     Both tables have vec_id and vector (array of whole numbers, products within 64 bits; shorter vectors count as filled up
     with 0).  A row with the query's own id doesn't compete; repeated ids are rows of their own.  With fewer rows than ``k``
-    a query gets them all; empty tables give an empty result.  All rows are indexed, block by block, and each block of
+    a query gets them all; each of several queries with one id gets its own; empty tables give an empty result.  All rows are indexed, block by block, and each block of
     queries meets each block of rows in a task of its own.
     """
-    rows, queries = stored(rows.select("vec_id", "vector"), "rows"), stored(queries.select("vec_id", "vector"), "queries")
+    rows, queries = stored(rows.select("vec_id", "vector"), "rows"), stored(queries.select("vec_id", "vector", F.monotonically_increasing_id().alias("asked")), "queries")
     n_rows, n_queries = max(1, -(-rows.count() // ROWS_PER_BLOCK)), max(1, -(-queries.count() // QUERIES_PER_BLOCK))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
@@ -149,19 +149,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             ids = block["vec_id"].to_numpy(np.int64)
             index = BitSlicedIndex(_matrix(block["vector"], width))
             weights = _matrix(asked["vector"], width)
-            for q, w in zip(asked["vec_id"].tolist(), weights):
+            for row, q, w in zip(asked["asked"].tolist(), asked["vec_id"].tolist(), weights):
                 own = ids == q
                 places = index.top(w, k, index.all & ~_pack(own) if own.any() else index.all)
                 scores = index.rows[places] @ w
                 best = np.lexsort((ids[places], -scores))[:k]
-                found += zip([q] * len(best), ids[places][best].tolist(), scores[best].tolist())
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                found += zip([row] * len(best), [q] * len(best), ids[places][best].tolist(), scores[best].tolist())
+        return pd.DataFrame(found, columns=["asked", "query_id", "vec_id", "score"]).astype("int64")
 
     both = ["row_block", "query_block"]
     near = (dealt(rows, "row_block", n_rows, "query_block", n_queries).groupBy(*both)
             .cogroup(dealt(queries, "query_block", n_queries, "row_block", n_rows).groupBy(*both))
-            .applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            .applyInPandas(meet, "asked bigint, query_id bigint, vec_id bigint, score bigint"))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return (near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -179,11 +179,11 @@ def op9_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH fine AS (SELECT row_number() OVER () AS asked, vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v FROM embeddings
               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+scored AS (SELECT q.asked, q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
            FROM fine q JOIN fine r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """

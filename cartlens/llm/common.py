@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cartlens.session import ensure_checkpoint_dir
 
@@ -49,6 +50,18 @@ def small_batches(spark: SparkSession, size: str = "8m"):
         spark.conf.set(key, old)
 
 
+def map_rows(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *ids: str) -> DataFrame:
+    """``mapInPandas`` that leaves whole numbers whole: the columns ``ids`` reach ``fn`` as text, null as None, and its results
+    are turned back.
+
+    pandas makes doubles of a column of whole numbers that holds a null, which rounds those above 2^53.
+    """
+    out = StructType.fromDDL(schema)
+    as_text = StructType([StructField(f.name, StringType()) if f.name in ids else f for f in out])
+    got = df.withColumns({c: F.col(c).cast("string") for c in ids}).mapInPandas(fn, as_text)
+    return got.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in out])
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores in front until no column of ``df`` has that name (case ignored)."""
     taken = {c.lower() for c in df.columns}

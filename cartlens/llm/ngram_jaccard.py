@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import small_batches, stored, table
+from cartlens.llm.common import map_rows, small_batches, stored, table
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -150,7 +150,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", x["doc_id"].to_numpy())
             yield out
 
-    return docs.mapInPandas(surveyed, "doc_id bigint, n bigint, one bigint, two bigint, parity binary")
+    return map_rows(docs, surveyed, "doc_id bigint, n bigint, one bigint, two bigint, parity binary", "doc_id")
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -256,8 +256,8 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return pairs.join(left("b"), "b").join(left("a"), "a").mapInPandas(checked, "a bigint, b bigint")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens) for the given doc_ids and perhaps some others."""
+def _sets_of(ids: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """(doc_id, tokens) for the given doc_ids and perhaps some others; rows of a repeated id count once."""
     wanted = _filter(ids)
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,7 +266,9 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
             if got:
                 yield pd.DataFrame(got, columns=["doc_id", "tokens"])
 
-    return stored(docs.mapInPandas(chosen, "doc_id bigint, tokens binary").dropDuplicates(["doc_id"]), "sets")
+    sets = docs.mapInPandas(chosen, "doc_id bigint, tokens binary")
+    # whole sets are only brought together by id where an id stands in several rows
+    return stored(sets.dropDuplicates(["doc_id"]) if repeated else sets, "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -388,13 +390,14 @@ def _groups(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     frequent = _frequent(known, reps, fold, ranges)
     copies = classes.where("doc_id <> rep").select("doc_id", "rep").distinct()
-    links = _links(known, info, copies, _postings(known, reps, frequent, fold))
+    repeated = not classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    links = _links(known, info, copies, _postings(known, reps, frequent, fold), repeated)
     joined = connected(links).select(F.col("doc_id").alias("rep"), "label")
     return classes.join(joined, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
-def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFrame, repeated: bool) -> DataFrame:
     """Links between classes that join up all that are similar (not every link inside a group)."""
     of_sign = Window.partitionBy("sign")
     shared = posted.withColumn("low", F.min("doc_id").over(of_sign)).withColumn("high", F.max("doc_id").over(of_sign))
@@ -408,7 +411,7 @@ def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFram
     tied = lists.join(hub, "sign").where((F.col("doc_id") != F.col("hub.doc_id")) & _sizes_allow(F.col("n"), F.col("hub.n")))
     first = tied.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
     first = stored(_plausible(first, info), "first")
-    found = stored(_verified(first, _sets_of(_ends(first), docs)), "found")
+    found = stored(_verified(first, _sets_of(_ends(first), docs, repeated)), "found")
     # then: what a list has in two groups or more
     near = _labelled(lists, connected(found))
     open_ = stored(near.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"),
@@ -424,7 +427,7 @@ def _links(docs: DataFrame, info: DataFrame, copies: DataFrame, posted: DataFram
     rest = stored(_plausible(rest.join(first, ["a", "b"], "left_anti"), info), "rest")
     # ... in long ones, by block; lists of the same main group are one
     hot = stored(near.where(F.col("members") > FREQUENT_FROM).select("anchor", "doc_id", "n", "label").distinct(), "hot")
-    sets = _sets_of(_ends(rest).union(hot.select("doc_id")), docs)
+    sets = _sets_of(_ends(rest).union(hot.select("doc_id")), docs, repeated)
     more = stored(_verified(rest, sets).union(_compared_in_blocks(hot, sets)), "found")
     return found.union(more)
 

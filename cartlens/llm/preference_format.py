@@ -7,7 +7,7 @@ says, and the mark that ends its turn).  Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import table
@@ -16,6 +16,8 @@ from cartlens.llm.common import table
 OPEN = "<|{role}|>\n"
 CLOSE = "<|end|>\n"
 LEARNED_ROLE = "assistant"
+#: Buckets of ids in which a conversation's next one is looked for.
+BUCKETS = 4093
 
 
 def _opening(turn: Column, template: str) -> Column:
@@ -78,17 +80,27 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected) from a table of turns (conv_id, turn, role, text).
 
     The chosen side is a conversation as it is.  For the rejected side, one of its replies (number conv_id modulo their
-    count) is replaced by the last reply of the conversation whose id differs in the last bit, and the conversation
-    ends there.  Conversations without a reply, or whose partner has none, make no pair.  Repeated turns count once;
-    turns without an id are left out.
+    count) is replaced by the last reply of the next conversation, and the conversation ends there.  Next is in the circle of
+    all conversations with a reply, by (id modulo BUCKETS, id); so whatever the ids, every one of them makes a pair, unless it is
+    the only one, which makes none.  Conversations without a reply make none either.  Repeated turns count once; turns
+    without an id are left out.
     """
     convs = (turns.where("conv_id IS NOT NULL").groupBy("conv_id")
              .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("turn", "role", "text")))).alias("turns")))
     places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == LEARNED_ROLE)
     convs = convs.withColumn("replies", places).where(F.size("replies") > 0)
     own = convs.withColumn("at", F.element_at("replies", (F.pmod("conv_id", F.size("replies")) + 1).cast("int")))
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"),
-                         F.element_at("turns", F.element_at("replies", -1))["text"].alias("other"))
+    said = convs.select("conv_id", F.pmod("conv_id", F.lit(BUCKETS)).alias("bucket"),
+                        F.element_at("turns", F.element_at("replies", -1))["text"].alias("reply"))
+    after = F.lead(F.struct("reply")).over(Window.partitionBy("bucket").orderBy("conv_id"))
+    # the last of a bucket meets the first of the next one that is not empty: at most BUCKETS rows
+    heads = said.groupBy("bucket").agg(F.min(F.struct("conv_id", "reply")).alias("head"))
+    circle = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select(F.col("bucket").alias("of"), F.coalesce(F.lead("head").over(Window.partitionBy().orderBy("bucket")),
+                                                                 F.first("head").over(circle)).alias("head"))
+    other = (said.withColumn("after", after).join(heads, F.col("bucket") == F.col("of"))
+             .where(F.col("after").isNotNull() | (F.col("head.conv_id") != F.col("conv_id")))
+             .select("conv_id", F.when(F.col("after").isNotNull(), F.col("after.reply")).otherwise(F.col("head.reply")).alias("other")))
     swapped = F.struct(F.lit(LEARNED_ROLE).alias("role"), F.col("other").alias("text"))
     two = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return own.join(other, "conv_id").select(
@@ -96,11 +108,7 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs of the conversations that ``conversation_pairs`` pairs, formatted; masks as start:end, comma-joined.
-
-    These are not all conversations with a reply: one whose partner (id differing in the last bit) has none is left out,
-    as in ``OP1_SQL``.
-    """
+    """Preference pairs of all conversations with a reply, formatted; masks as start:end, comma-joined."""
     pairs = format_pairs(conversation_pairs(table(spark, sf_dir, "conversations")))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return pairs.select("conv_id", "n_prefix", "status", "prompt", "chosen_text", text(F.col("chosen_mask")).alias("chosen_mask"),
@@ -113,8 +121,11 @@ numbered AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
                  ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM once),
 reply AS (SELECT conv_id, text, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k,
                  count(*) OVER (PARTITION BY conv_id) AS n FROM numbered WHERE role = 'assistant'),
-pair AS (SELECT a.conv_id, a.pos AS spot, b.text AS other FROM reply a JOIN reply b
-         ON b.conv_id = xor(a.conv_id, 1) AND b.k = b.n WHERE a.k = a.conv_id % a.n + 1),
+circle AS (SELECT conv_id, text, lead(conv_id) OVER w AS after, first_value(conv_id) OVER w AS head FROM reply WHERE k = n
+           WINDOW w AS (ORDER BY ((conv_id % 4093) + 4093) % 4093, conv_id)),
+pair AS (SELECT a.conv_id, a.pos AS spot, b.text AS other FROM reply a JOIN circle c USING (conv_id)
+         JOIN circle b ON b.conv_id = coalesce(c.after, c.head) AND b.conv_id <> a.conv_id
+         WHERE a.k = ((a.conv_id % a.n) + a.n) % a.n + 1),
 side AS (SELECT 'c' AS side, conv_id, pos, role, text FROM numbered JOIN pair USING (conv_id)
          UNION ALL SELECT 'r', conv_id, pos, role, CASE WHEN pos = spot THEN other ELSE text END
          FROM numbered JOIN pair USING (conv_id) WHERE pos <= spot),

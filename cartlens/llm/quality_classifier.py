@@ -125,15 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with its score (0 to 1) in a column ``name`` at the end; null texts count as empty."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """``docs`` with its score (0 to 1) in a column ``name`` at the end; null texts count as empty.
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only texts leave the JVM, and only scores come back.
+    """
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            x[name] = model.score(_shapes(x[text]))
-            yield x
+            yield pd.Series(model.score(_shapes(x)))
 
-    return docs.mapInPandas(scored, f"{kept}, `{name}` double")
+    return docs.withColumn(name, scored.asNondeterministic()(F.col(text)))
 
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

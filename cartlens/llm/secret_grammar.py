@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import stored, table
+from cartlens.llm.common import map_rows, stored, table
 
 #: Base kinds in order, with the group that has the secret and its least length.
 ASSIGN = re.compile(
@@ -237,14 +237,12 @@ def find_secrets(docs: DataFrame, automata: list[Automaton], text: str = "text",
 
     Null and empty texts have none; other columns stay; repeated rows are scanned each by itself.
     """
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            x[name] = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, automata)] for t in x[text]]
-            yield x
+            yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, automata)] for t in x], dtype=object)
 
-    return docs.mapInPandas(scanned, f"{kept}, `{name}` array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.withColumn(name, scanned.asNondeterministic()(F.col(text)))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str | None:
@@ -274,5 +272,5 @@ def op8_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
                              ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.mapInPandas(digests, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
-                                     "base_sha256 string, spans string")
+    return map_rows(docs, digests, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
+                                   "spans string", "doc_id")

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlens.llm.common import WORD, table
+from cartlens.llm.common import WORD, map_rows, table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -152,7 +152,7 @@ def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_repeat
     shape = (f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
              "n_repeat_words bigint, n_covered bigint, longest_repeat bigint, repeat_spans array<array<bigint>>, "
              "base_failed boolean, kept boolean")
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(rated, shape)
+    return map_rows(docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text"), rated, shape, "doc_id")
 
 
 def _slices(x: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:

@@ -40,11 +40,25 @@ def test_whole_conversation_is_prompt_and_text(spark):
 def test_pairs_of_conversations(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 1, "assistant", "a0"), (1, 0, "user", "q"),
             (1, 1, "assistant", "a1"), (1, 2, "user", None), (1, 3, "assistant", "b1"), (2, 0, "user", "alone"),
-            (4, 0, "assistant", "no partner"), (None, 0, "user", "no id"), (6, None, None, None)]
+            (4, 0, "assistant", "far off"), (None, 0, "user", "no id"), (6, None, None, None)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r.conv_id: r for r in pf.conversation_pairs(turns).collect()}
-    assert sorted(got) == [0, 1]
+    assert sorted(got) == [0, 1, 4]
     assert [t.text for t in got[0].rejected] == ["q", "b1"]
     assert [t.text for t in got[1].chosen] == ["q", "a1", None, "b1"]
-    assert [t.text for t in got[1].rejected] == ["q", "a1", None, "a0"]
+    assert [t.text for t in got[1].rejected] == ["q", "a1", None, "far off"]
+    assert [t.text for t in got[4].rejected] == ["a0"]
     assert pf.conversation_pairs(turns.limit(0)).count() == 0
+
+
+def test_every_conversation_with_a_reply_makes_a_pair(spark):
+    big = 2 ** 60
+    for ids in ([2 * i for i in range(40)], [big + i * 4093 for i in range(30)], [-7, -4093, 0, 5, big], [1, 2]):
+        rows = [(i, 0, "assistant", None if i % 3 == 0 else f"reply {i}") for i in ids]
+        turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+        got = {r.conv_id: r.rejected[-1].text for r in pf.conversation_pairs(turns).collect()}
+        order = sorted(ids, key=lambda i: (i % pf.BUCKETS, i))
+        text = {r[0]: r[3] for r in rows}
+        assert got == {i: text[j] for i, j in zip(order, order[1:] + order[:1])}
+    one = spark.createDataFrame([(3, 0, "assistant", "alone")], "conv_id bigint, turn bigint, role string, text string")
+    assert pf.conversation_pairs(one).collect() == []
