@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates; one of the rows with one id.
+    """One document, the one with the smallest id, of each group of near-duplicates; the least of the rows with one id.
 
     Documents without words or without an id stay.
     """
@@ -36,24 +36,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     once = docs.join(copies.union(again).distinct(), "doc_id", "left_anti")
     if again.isEmpty():  # else the texts would be shuffled a second time for nothing
         return once
-    twice = docs.join(again.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice)
+    twice = docs.join(again.join(copies, "doc_id", "left_anti"), "doc_id", "left_semi")
+    row = free_name(docs, "whole_row")
+    # the least row, so that a second run keeps the same one
+    first = twice.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns])).alias(row))
+    return once.unionByName(first.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars brought up to date."""
     automata = secret_grammar.learn(docs)
 
-    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            texts = [secret_grammar.redact(t, secret_grammar.scan(t, automata)) for t in x["text"]]
-            changed = [t is not None and t != old for t, old in zip(texts, x["text"])]
-            x["text"] = texts
-            if "n_chars" in x:
-                x["n_chars"] = x["n_chars"].mask(pd.Series(changed, index=x.index), x["text"].str.len())
-            yield x
-
-    return docs.mapInPandas(cleaned, docs.schema)
+            texts = [secret_grammar.redact(t, secret_grammar.scan(t, automata)) for t in x]
+            # null where the text stays as it is
+            yield pd.Series([None if t == old else t for t, old in zip(texts, x)], dtype=object)
+
+    name = free_name(docs, "redacted")
+    found = docs.withColumn(name, cleaned.asNondeterministic()(F.col("text")))
+    if "n_chars" in docs.columns:
+        n = F.length(name).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col(name).isNotNull(), n).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.coalesce(name, "text")).drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
