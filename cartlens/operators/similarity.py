@@ -4,8 +4,8 @@ Rows are L2-normalised *before* the self-join (as the reference's cosine
 routine does), so each similarity is a plain ``sum(a*b)`` with no norm joins
 on the pair table afterwards.  Only pairs with ``a < b`` are aggregated and
 the result is mirrored, which halves the aggregation work.  The self-join
-fan-out is ``sum over keys of deg^2``; AQE's skew-join split spreads a hot key
-over several tasks.
+fan-out is ``sum over keys of deg^2``; the rows of a hot key are dealt to a grid
+of cells (``split_join``), and sums are partial before their exchange.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.operators.split_join import split_join
 from cartlens.operators.topk import top_k_per_key
 
 
@@ -57,7 +58,7 @@ def cosine_pairs(train: DataFrame, entity: str, through: str, other: str, plan:
         return _mirror(pairs, entity, other, ["similarity"])
     a = t.select(F.col(entity).alias("_a"), through, F.col("_h").alias("_ha"))
     b = t.select(F.col(entity).alias("_b"), through, F.col("_h").alias("_hb"))
-    pairs = (a.join(b, on=[through], how="inner").filter(F.col("_a") < F.col("_b"))
+    pairs = (split_join(a, b, through).filter(F.col("_a") < F.col("_b"))
              .groupBy("_a", "_b").agg(F.sum(F.col("_ha") * F.col("_hb")).alias("similarity")))
     return _mirror(pairs, entity, other, ["similarity"])
 
@@ -93,7 +94,7 @@ def item_pairs(train: DataFrame, plan: str = "auto") -> DataFrame:
     a = t.select(F.col("product_id").alias("_a"), "user_id", F.col("score").alias("_ra"), F.col("_hi").alias("_ha"),
                  "_un")
     b = t.select(F.col("product_id").alias("_b"), "user_id", F.col("score").alias("_rb"), F.col("_hi").alias("_hb"))
-    pairs = (a.join(b, on=["user_id"], how="inner").filter(F.col("_a") < F.col("_b"))
+    pairs = (split_join(a, b, "user_id").filter(F.col("_a") < F.col("_b"))
              .groupBy("_a", "_b").agg(F.sum(F.col("_ha") * F.col("_hb")).alias("cos"),
                                       F.sum(F.col("_ra") * F.col("_rb") / F.col("_un")).alias("gram")))
     return _mirror(pairs, "product_id", "other_product_id", ["cos", "gram"])
