@@ -11,19 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cartlens.functions.numeric import pair_id
 from cartlens.functions.parsing import (DEFAULT_PRICE, NO_BRAND, UNKNOWN_BRAND, UNKNOWN_NAME, main_category,
                                         price_number, rating_number, strip, sub_category)
 from cartlens.operators.ordering import global_row_index
+from cartlens.session import materialised
 from cartlens.sources.schemas import RAW_CATALOGUE
 
 
 _FILE_BITS = 40  # rows of one file in a source position
 
 
-def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The raw catalogue CSV with an explicit all-text schema (multi-line quoted fields allowed).
+BROKEN = "_corrupt_record"
+
+
+def _catalogue_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the CSV files with ``source_ord``; rows that do not fit the columns have their text in ``BROKEN``.
 
     ``source_ord`` records file order for "keep first" semantics: the files by
     path, and the rows of a file by place.  A file with quoted line breaks is
@@ -31,8 +36,9 @@ def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     ``monotonically_increasing_id``; tasks may take files in any order, so the
     numbers are made relative to each file's first row.
     """
-    df = (spark.read.schema(RAW_CATALOGUE).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').csv(path))
+    schema = StructType([*RAW_CATALOGUE.fields, StructField(BROKEN, StringType())])
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", BROKEN).option("quote", '"').option("escape", '"').csv(path))
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_mid"))
     files = rows.groupBy("_file").agg(F.min("_mid").alias("_first"))
     files = files.withColumn("_nr", F.row_number().over(Window.orderBy("_file")) - 1)  # a row per file
@@ -41,6 +47,21 @@ def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     ).drop("_file", "_mid", "_first", "_nr")
 
 
+def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The raw catalogue CSV with an explicit all-text schema (multi-line quoted fields allowed).
+
+    Rows with too few or too many fields are not part of it; ``broken_rows`` has them.
+    """
+    return _catalogue_rows(spark, path).where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(source_ord, record): position and text of the rows that the reader could not fit to the columns."""
+    # written with all its columns: the reader refuses to give this one alone
+    rows = materialised(_catalogue_rows(spark, path).where(F.col(BROKEN).isNotNull()), "broken-rows")
+    return rows.select("source_ord", F.col(BROKEN).alias("record"))
+
+
 def clean_catalogue(raw: DataFrame, max_description_chars: int | None = None) -> DataFrame:
     """Parsed, validated, de-duplicated catalogue rows.
 

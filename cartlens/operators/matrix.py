@@ -1,4 +1,4 @@
-"""User x item score matrix (M1-M7), kept long: (user_id, product_id, score)."""
+"""User x item score matrix (M1-M7): long as (user_id, product_id, score), or as sparse rows per user."""
 
 from __future__ import annotations
 
@@ -14,6 +14,40 @@ def user_item_scores(train: DataFrame) -> DataFrame:
     return train.groupBy("user_id", "product_id").agg(F.max("score").alias("score"))
 
 
+#: Columns of a numbered piece of a matrix row, and so the most entries that one has.
+ROW_COLUMNS = 4_096
+
+
+def matrix_rows(scores: DataFrame, items: DataFrame, columns: int = ROW_COLUMNS) -> DataFrame:
+    """M1 as one sparse row per user: (user_id, chunk, n, idx, scores), the row pivot without a dense table.
+
+    ``scores`` is the long matrix and ``items`` the column numbers (product_id, idx).  ``idx`` holds the columns of the stored
+    values, rising, and ``scores`` the values beside them; a missing column is 0.  A row comes in chunks of ``columns`` columns
+    (chunk = idx div columns), so a user with any number of products, or a catalogue of any size, has pieces of bounded size, and
+    a cell is found in the one chunk that its column lies in.  There is no cap on columns.
+    """
+    chunk = F.floor(F.col("idx") / F.lit(columns)).cast("long")
+    rows = scores.join(items, "product_id").groupBy("user_id", chunk.alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "score"))).alias("cells"))
+    return rows.select("user_id", "chunk", F.size("cells").alias("n"), F.col("cells.idx").alias("idx"),
+                       F.col("cells.score").alias("scores"))
+
+
+def matrix_cells(rows: DataFrame, items: DataFrame, wanted: DataFrame, columns: int = ROW_COLUMNS) -> DataFrame:
+    """(user_id, product_id, score) of each wanted (user_id, product_id): the stored value, or 0 where there is none.
+
+    Cells outside the matrix, of users or products without any score, are left out.  Each cell meets one chunk of its user's row,
+    so the work follows the wanted cells.
+    """
+    known = rows.select("user_id").distinct()
+    at = (wanted.select("user_id", "product_id").distinct().join(known, "user_id", "left_semi").join(items, "product_id")
+          .withColumn("chunk", F.floor(F.col("idx") / F.lit(columns)).cast("long")))
+    stored = rows.select("user_id", "chunk", F.col("idx").alias("_at"), "scores")
+    place = F.array_position("_at", F.col("idx"))
+    return at.join(stored, ["user_id", "chunk"], "left").select(
+        "user_id", "product_id", F.when(place > 0, F.element_at("scores", place.cast("int"))).otherwise(F.lit(0.0)).alias("score"))
+
+
 def id_maps(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M3: 0-based user and item indexes in first-seen order of the time-ordered train rows.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cartlens.operators import catalogue as cg
@@ -9,6 +11,7 @@ from cartlens.operators.ordering import global_row_index
 from cartlens.plans import oracle_base as ob
 from cartlens.plans import oracle_catalogue as oc
 from cartlens.plans.registry import query
+from cartlens.session import ensure_checkpoint_dir
 from cartlens.sources import tables
 
 BASE = [oc.RAW, oc.CLEAN]
@@ -24,6 +27,33 @@ def catalog_clean(spark, sf_dir):
     return _clean(spark, sf_dir)
 
 
+_FIELDS = ("product_name", "discounted_price", "retail_price", "product_rating", "description", "product_category_tree", "brand")
+
+
+@query("catalogue_csv", ob.with_ctes(oc.RAW, body=f"""
+SELECT 'row' AS kind, {", ".join(_FIELDS)} FROM raw_cat
+UNION ALL
+SELECT 'broken', p_name || ',' || p_brand, {", ".join(["NULL"] * 6)} FROM part WHERE p_size % 5 = 0
+UNION ALL
+SELECT 'broken', {" || ',' || ".join(["p_brand"] * 9)}, {", ".join(["NULL"] * 6)} FROM part WHERE p_size % 7 = 0"""))
+def catalogue_csv(spark, sf_dir):
+    """The raw catalogue and rows of too few and too many fields, written as CSV files and read back, broken ones apart."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cartlens-{spark.conf.get('spark.app.id')}/csv-{uuid.uuid4().hex[:12]}"
+
+    def put(df):
+        (df.write.mode("append").option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+    part = tables.read(spark, sf_dir, "part")
+    put(tables.raw_catalogue(spark, sf_dir).select(*_FIELDS))
+    put(part.where("p_size % 5 = 0").select("p_name", "p_brand"))
+    put(part.where("p_size % 7 = 0").select(*[F.col("p_brand").alias(f"b{k}") for k in range(9)]))
+    good = cg.read_catalogue_csv(spark, path).select(F.lit("row").alias("kind"), *_FIELDS)
+    broken = cg.broken_rows(spark, path).select(F.lit("broken").alias("kind"), F.regexp_replace("record", "[\\r\\n]+$", "").alias("product_name"),
+                                                *[F.lit(None).cast("string").alias(c) for c in _FIELDS[1:]])
+    return good.unionByName(broken)
+
+
 @query("catalog_summary", ob.with_ctes(*BASE, body="""
 SELECT count(*) AS n_products, count(DISTINCT main_category) AS n_categories, min(price) AS min_price,
        max(price) AS max_price FROM cat_clean"""))

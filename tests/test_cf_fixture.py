@@ -78,6 +78,25 @@ def test_sparsity(train):
     assert (r["n_users"], r["n_products"], r["n_stored"], r["sparsity"]) == (4, 4, 8, 0.5)
 
 
+@pytest.mark.parametrize("columns", [1, 2, 100])
+def test_sparse_rows_and_their_cells(spark, train, columns):
+    items = spark.createDataFrame([(1, 3), (2, 0), (3, 1), (4, 2)], "product_id long, idx long")
+    rows = mx.matrix_rows(mx.user_item_scores(train), items, columns)
+    got = {}
+    for r in rows.collect():
+        assert r["n"] == len(r["idx"]) <= columns and list(r["idx"]) == sorted(r["idx"])
+        assert {i // columns for i in r["idx"]} == {r["chunk"]}
+        got.setdefault(r["user_id"], {}).update(zip(r["idx"], r["scores"]))
+    place = {1: 3, 2: 0, 3: 1, 4: 2}
+    want = {}
+    for u, j, s in TRAIN:
+        want.setdefault(u, {})[place[j]] = s
+    assert got == want
+    asked = [(u, j) for u in (1, 2, 3, 4, 9) for j in (1, 2, 3, 4, 9)]
+    cells = mx.matrix_cells(rows, items, spark.createDataFrame(asked + asked, "user_id long, product_id long"), columns).collect()
+    assert sorted(map(tuple, cells)) == [(u, j, want[u].get(place[j], 0.0)) for u, j in asked if u != 9 and j != 9]
+
+
 def test_ranking_metrics(spark, train):
     lists = cf.ranked_lists(cf.cf_scores(train, sim.item_pairs(train)), 40, 40, 10)
     recs = cf.cf_blend(lists, 10, k=40)

@@ -111,6 +111,18 @@ def test_catalogue_csv_roundtrip(spark, tmp_path):
     assert r["description"] == "line one\nline two" and r["sub_category"] == "Pans"
 
 
+def test_broken_csv_rows_are_kept_apart(spark, tmp_path):
+    head = "product_name,discounted_price,retail_price,product_rating,description,product_category_tree,brand\n"
+    good = 'Pan,1,2,3,"a, b\nc","[""K >> P""]",Acme\n'
+    (tmp_path / "a.csv").write_text(head + good + "only,two\n" + good + ",".join("123456789") + "\n")
+    (tmp_path / "b.csv").write_text(head)
+    rows = cg.read_catalogue_csv(spark, str(tmp_path)).orderBy("source_ord").collect()
+    assert [r["description"] for r in rows] == ["a, b\nc"] * 2 and "_corrupt_record" not in rows[0].asDict()
+    broken = cg.broken_rows(spark, str(tmp_path)).orderBy("source_ord").collect()
+    assert [r["record"].strip() for r in broken] == ["only,two", "1,2,3,4,5,6,7,8,9"]
+    assert [r["source_ord"] for r in rows] + [r["source_ord"] for r in broken] == [0, 2, 1, 3]
+
+
 def test_tags_and_dimensions(spark):
     clean = spark.createDataFrame([
         (0, "Pan one", "Kitchen", "Pans", "Acme"), (1, "Pan two", "Kitchen", "Kitchen", "Unknown"),
