@@ -42,11 +42,17 @@ def _block_of(id_col: str, n_blocks: int):
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
 
 
+def _flat(lists: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every entry of a column of lists; null lists are empty."""
+    own = [np.asarray(x, kind) if x is not None else np.zeros(0, kind) for x in lists]
+    values = np.concatenate(own) if own else np.zeros(0, kind)
+    return np.repeat(np.arange(len(own)), [len(x) for x in own]), values
+
+
 def _dense(rows: pd.DataFrame, dim: int) -> np.ndarray:
     mat = np.zeros((len(rows), dim), dtype=np.float64)
-    for r, (idx, val) in enumerate(zip(rows["idx"], rows["val"])):
-        if idx is not None and len(idx):
-            mat[r, np.asarray(idx, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
+    r, idx = _flat(rows["idx"], np.int64)
+    mat[r, idx] = _flat(rows["val"], np.float64)[1]
     return mat
 
 
@@ -106,12 +112,11 @@ def _kernel(dim: int, k: int, symmetric: bool, exclude_self: bool):
         if exclude_self:
             s[lid[:, None] == rid[None, :]] = 0.0
         if "excl" in left.columns:
-            pos = {v: j for j, v in enumerate(rid)}
-            for r, ex in enumerate(left["excl"]):
-                if ex is not None and len(ex):
-                    cols = [pos[x] for x in ex if x in pos]
-                    if cols:
-                        s[r, cols] = 0.0
+            order = np.argsort(rid)
+            r, gone = _flat(left["excl"], np.int64)
+            at = np.minimum(np.searchsorted(rid[order], gone), len(rid) - 1)
+            here = rid[order][at] == gone
+            s[r[here], order[at[here]]] = 0.0
         _top_rows(s, lid, rid, k, out)
         if symmetric and pdf["a"].iloc[0] != pdf["b"].iloc[0]:
             _top_rows(s.T, rid, lid, k, out)

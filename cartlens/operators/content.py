@@ -169,7 +169,8 @@ def content_recs(train: DataFrame, model: ContentModel, n: int = 10, top_items:
 def query_vectors(queries: DataFrame, model: ContentModel, id_col: str = "query_id",
                   text_col: str = "text") -> DataFrame:
     """Vectorise free-text queries with the fitted vocabulary and idf (unknown terms ignored)."""
-    tf = term_counts(queries.select(id_col, text_col), id_col, text_col, model.ngram_max, model.stop_words)
+    chosen = [r["term"] for r in model.vocab.select("term").collect()]  # at most max_features
+    tf = term_counts(queries.select(id_col, text_col), id_col, text_col, model.ngram_max, model.stop_words, only=chosen)
     return tfidf(tf, model.vocab, id_col)
 
 
