@@ -164,13 +164,14 @@ def _encoder(path: str):
     """Function from a text to its ids as little-endian unsigned 32-bit bytes, by the tokenizer at ``path``.
 
     Words repeat, so ids are kept by piece of text.  The tokenizer never joins what a single space separates from
-    something that is no white space, so a text is cut before such spaces; texts with two spaces in a row go whole.
+    something that is no white space, so a text is cut before such spaces; texts with two spaces in a row or with the
+    string of an added token, which the tokenizer gives its own id, go whole.
     """
     in_python_worker_single_threaded()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     plain = _plain_encoding(path)
 
     def ids_of(text: str) -> bytes:
@@ -188,7 +189,7 @@ def _encoder(path: str):
     known = Pieces({"": b""})
 
     def encode(text: str) -> bytes:
-        if "  " in text or "\0" in text:
+        if "  " in text or "\0" in text or any(t in text for t in added):
             return ids_of(text)
         if len(known) > MOST_KEPT:
             known.clear()

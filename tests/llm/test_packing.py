@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def _ids(texts):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -102,3 +101,10 @@ def test_short_cut_ids_equal_the_tokenizers_own(spark):
     odd += [f"a {chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}" for c in range(33, 0x600)]
     encode = packing._encoder(PATH)
     assert [encode(t) for t in texts + odd] == [np.array(i, "<u4").tobytes() for i in _ids(texts + odd)]
+
+
+def test_an_added_token_has_its_own_id():
+    encode = packing._encoder(PATH)
+    for text in ("a<|endoftext|>b", "see <|endoftext|> here", "<|endoftext|>", "<|endoftext", "one <|endoftext|><|endoftext|> two"):
+        assert encode(text) == np.array(_ids([text])[0], "<u4").tobytes()
+    assert np.frombuffer(encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
