@@ -14,12 +14,13 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import map_rows, stored, table
+from cartlens.llm.common import map_rows, table
 
 #: Base kinds in order, with the group that has the secret and its least length.
 ASSIGN = re.compile(
@@ -180,21 +181,38 @@ class Automaton:
 def learn(docs: DataFrame, text: str = "text", max_examples: int = MAX_EXAMPLES) -> list[Automaton]:
     """An automaton for each base kind that has enough distinct credentials in the corpus.
 
-    Every text is searched; at most ``max_examples`` of each kind come to the driver, and the least and greatest length
-    of all of them.
+    Every text is searched; at most ``max_examples`` of each kind, the first by MD5, come to the driver, and the least and
+    greatest length of all of them.  A task hands on no more than that, and no credential is written to a table.
     """
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: dict[int, dict[str, str]] = {}  # secrets of a kind with their digests
+        lengths: dict[int, tuple[int, int]] = {}
         for x in batches:
-            yield pd.DataFrame([(k, s) for t in x[text] for k, _, _, s in base_matches(t) if s.isascii()],
-                               columns=["kind", "secret"])
-
-    labelled = stored(docs.select(text).mapInPandas(found, "kind int, secret string").distinct(), "labelled")
-    lengths = {k: (a, b) for k, a, b in labelled.groupBy("kind").agg(F.min(F.length("secret")), F.max(F.length("secret"))).collect()}
-    first = Window.partitionBy("kind").orderBy(F.md5("secret"), "secret")
-    some = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_examples)
+            for kind, secret in ((k, s) for t in x[text] for k, _, _, s in base_matches(t) if s.isascii()):
+                low, high = lengths.get(kind, (len(secret), len(secret)))
+                lengths[kind] = min(low, len(secret)), max(high, len(secret))
+                own = first.setdefault(kind, {})
+                if secret not in own:
+                    own[secret] = hashlib.md5(secret.encode()).hexdigest()
+                    if len(own) > 4 * max_examples:
+                        first[kind] = dict(nsmallest(max_examples, own.items(), key=lambda e: (e[1], e[0])))
+        rows = [(k, None, a, b) for k, (a, b) in lengths.items()]
+        for k, own in first.items():
+            rows += [(k, s, None, None) for s, _ in nsmallest(max_examples, own.items(), key=lambda e: (e[1], e[0]))]
+        yield pd.DataFrame(rows, columns=["kind", "secret", "shortest", "longest"]).astype({"shortest": "Int32", "longest": "Int32"})
+
+    parts = docs.select(text).mapInPandas(found, "kind int, secret string, shortest int, longest int")
+    whole = parts.groupBy("kind", "secret").agg(F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    in_order = Window.partitionBy("kind").orderBy(F.md5("secret").asc_nulls_first(), "secret")
+    # the row of the lengths comes first
+    some = whole.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= max_examples + 1)
+    lengths: dict[int, tuple[int, int]] = {}
     by_kind: dict[int, list[str]] = {}
-    for kind, secret in some.select("kind", "secret").orderBy("kind", "n").collect():
-        by_kind.setdefault(kind, []).append(secret)
+    for kind, secret, shortest, longest in some.orderBy("kind", "n").drop("n").collect():
+        if secret is None:
+            lengths[kind] = shortest, longest
+        else:
+            by_kind.setdefault(kind, []).append(secret)
     return [Automaton(s, lengths=lengths[k]) for k, s in sorted(by_kind.items()) if len(s) >= MIN_EXAMPLES]
 
 
