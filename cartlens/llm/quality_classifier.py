@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import WORD, table
-from cartlens.llm.pu_learning import MAX_LABELLED, MAX_UNLABELLED, Rows, fit_nnpu, held_out, learning_rows, sigmoid, usable
+from cartlens.llm.pu_learning import (MAX_LABELLED, MAX_UNLABELLED, NOTHING_LEARNT, Rows, drawn_rows, estimate_prior, fit_nnpu,
+                                      held_out, sigmoid, usable)
 
 KEEP_FROM = 0.3
 QUANTILES = (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.25, 0.5, 0.75, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995)
@@ -99,12 +100,13 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED,
-        max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """The classifier; without any trusted row, or with nothing but such rows, a constant (their share).
+        max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
+    """The classifier; without any trusted row a constant near 0.
 
-    Quantiles are those of all documents outside the held-out fold; the weights are fitted on the bounded draws.
+    Quantiles are those of all documents outside the held-out fold; the weights are fitted on the bounded draws.  The
+    class prior is ``prior``, or else estimated from trusted and unlabelled rows.
     """
-    rows, prior = learning_rows(docs, labels, label, max_labelled, max_unlabelled)
+    rows = drawn_rows(docs, labels, label, max_labelled, max_unlabelled)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -112,15 +114,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
 
     got = rows.mapInPandas(described, "positive boolean, unlabelled boolean, x array<double>").toPandas()
     pos, unl = got["positive"].to_numpy(bool), got["unlabelled"].to_numpy(bool)
-    if not usable(prior, pos.sum(), unl.sum()):
-        return Model([], [], float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
+    if not usable(pos.sum(), unl.sum()):
+        return Model([], [], NOTHING_LEARNT)
     x = np.stack(got["x"])
     edges = quantile_edges(docs)
     first = np.cumsum([0] + [len(e) for e in edges])
     steps = np.concatenate([x[:, [k]] > e for k, e in enumerate(edges)], axis=1)
     lists = [np.flatnonzero(s) for s in steps]
-    w, b = fit_nnpu(Rows.of([s for s, p in zip(lists, pos) if p], first[-1]),
-                    Rows.of([s for s, u in zip(lists, unl) if u], first[-1]), prior)
+    trusted, web = (Rows.of([s for s, own in zip(lists, side) if own], first[-1]) for side in (pos, unl))
+    if prior is None:
+        halves = np.arange(len(lists)) % 2
+        prior = estimate_prior(trusted, web, halves[pos], halves[unl])
+    w, b = fit_nnpu(trusted, web, prior)
     return Model(edges, [w[a:z] for a, z in zip(first, first[1:])], b)
 
 

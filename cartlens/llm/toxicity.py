@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import stored, table
-from cartlens.llm.pu_learning import (MAX_LABELLED, MAX_UNLABELLED, Rows, all_rows, fit_nnpu, held_out, learning_rows, sigmoid,
-                                      usable)
+from cartlens.llm.pu_learning import (MAX_LABELLED, MAX_UNLABELLED, NOTHING_LEARNT, Rows, all_rows, drawn_rows, estimate_prior,
+                                      fit_nnpu, held_out, sigmoid, usable)
 
 #: The vocabulary: the most telling terms, how far apart their rates must be (in standard errors), and the least number
 #: of positives that have a term.
@@ -58,19 +58,20 @@ def _counted_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED,
-        max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[str, float], float]:
+        max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> tuple[dict[str, float], float]:
     """Weight of each term of the vocabulary, and the intercept.
 
-    Terms are counted in all documents outside the held-out fold; the weights are fitted on the bounded draws.
-    Without any positive, or with positives only, there are no weights and the intercept says the share of positives.
+    Terms are counted in all documents outside the held-out fold; the weights are fitted on the bounded draws.  The class
+    prior is ``prior``, or else estimated from positives and unlabelled rows.  Without any positive there are no weights
+    and all scores are near 0; with positives but no telling term, all scores are the prior (0.5 if it is not given).
     """
-    rows, prior = learning_rows(docs, labels, label, max_labelled, max_unlabelled)
+    rows = drawn_rows(docs, labels, label, max_labelled, max_unlabelled)
     seen = all_rows(docs, labels, label).mapInPandas(_counted_terms, "term string, p bigint, u bigint")
     seen = seen.groupBy("term").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     seen = stored(seen.where((F.col("p") >= MIN_POSITIVES) | (F.col("term") == "")), "terms")
     n_pos, n_unl = seen.where("term = ''").select("p", "u").first() or (0, 0)
-    if not usable(prior, n_pos, n_unl):
-        return {}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+    if not usable(n_pos, n_unl):
+        return {}, NOTHING_LEARNT
     rate_p, rate_u = F.col("p") / n_pos, F.col("u") / n_unl
     pooled = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2)
     telling = F.abs(rate_p - rate_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
@@ -78,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
            .orderBy(F.desc("z"), "term").limit(VOCABULARY))
     index = {r[0]: i for i, r in enumerate(top.select("term").collect())}
     if not index:
-        return {}, float(np.log(prior / (1 - prior)))
+        return {}, float(np.log(prior / (1 - prior))) if prior else 0.0
 
     def to_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -88,8 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     got = rows.mapInPandas(to_columns, "positive boolean, unlabelled boolean, cols array<int>").toPandas()
     pos = Rows.of(list(got.loc[got["positive"], "cols"]), len(index))
     unl = Rows.of(list(got.loc[got["unlabelled"], "cols"]), len(index))
-    if not usable(prior, pos.n, unl.n):
-        return {}, float(np.log(prior / (1 - prior)))
+    if not usable(pos.n, unl.n):
+        return {}, NOTHING_LEARNT
+    if prior is None:
+        halves = np.arange(len(got)) % 2
+        prior = estimate_prior(pos, unl, halves[got["positive"].to_numpy(bool)], halves[got["unlabelled"].to_numpy(bool)])
     w, b = fit_nnpu(pos, unl, prior)
     return {term: float(w[i]) for term, i in index.items()}, b
 

@@ -237,3 +237,79 @@ def test_secret_query(spark):
         import hashlib
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("format")] == [s for s in said.split(",") if s]
+
+
+# class prior and risk of positive-unlabelled learning
+
+def _drawn(rng, n, share):
+    feature = lambda y: list(np.flatnonzero(rng.random(20) < (np.r_[[0.6] * 5, [0.1] * 15] if y else np.full(20, 0.1))))
+    return pu_learning.Rows.of([feature(y) for y in rng.random(n) < share], 20)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.85])
+def test_prior_is_found_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(int(share * 100))
+    pos, unl = _drawn(rng, 3000, 1.0), _drawn(rng, 6000, share)
+    got = pu_learning.estimate_prior(pos, unl, np.arange(pos.n) % 2, np.arange(unl.n) % 2)
+    assert abs(got - share) < 0.08
+    assert pu_learning.estimate_prior(pos.only(np.arange(pos.n) < 1), unl, np.zeros(1), np.arange(unl.n) % 2) == 0.5
+
+
+def test_best_bin_equals_a_plain_search():
+    rng = np.random.default_rng(5)
+    pos, unl = rng.integers(0, 40, 300) / 4, rng.integers(-20, 30, 700) / 4
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(700) + 1 / np.sqrt(300))
+    ratios = {t: (unl >= t).mean() / (pos >= t).mean() for t in pos}
+    least = min(ratios, key=lambda t: ratios[t] + slack / (pos >= t).mean())
+    assert np.isclose(pu_learning.best_bin(pos, unl)[0], ratios[least])
+
+
+def test_fitted_weights_have_the_least_risk():
+    rng = np.random.default_rng(6)
+    pos, unl, prior, reach, l2 = _drawn(rng, 400, 1.0), _drawn(rng, 900, 0.3), 0.3, 5.0, 1e-5
+    w, b = pu_learning.fit_nnpu(pos, unl, prior, l2=l2, reach=reach)
+
+    def risk(w, b):
+        def mean_loss(rows, y):
+            z = np.full(rows.n, b)
+            for r, c in zip(rows.rows, rows.cols):
+                z[r] += w[c]
+            return sum(np.log1p(np.exp(-y * min(reach, max(-reach, x)))) for x in z) / rows.n
+        return (prior * mean_loss(pos, 1) + max(0.0, mean_loss(unl, -1) - prior * mean_loss(pos, -1)) + l2 / 2 * (w @ w))
+
+    best = risk(w, b)
+    assert best < risk(np.zeros(20), np.log(prior / (1 - prior))) - 0.05
+    for size in (0.3, 0.1, 0.03):
+        for _ in range(15):
+            # near the bend at 0 the steps that leave out the second term move it to and fro a little
+            assert best <= risk(w + rng.normal(0, size, 20), b + rng.normal(0, size)) + 1e-3
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_classifier, "quality")])
+def test_rows_labelled_0_are_not_needed(spark, module, label):
+    texts = [("nasty vile words of hate " if i % 2 else "calm plain words of peace ") + f"{'abcdefgh'[i % 8]} " * (i % 5) for i in range(400)]
+    if label == "quality":
+        texts = [t if i % 2 == 0 else "$$ ## !!! " * (3 + i % 7) for i, t in enumerate(texts)]
+    mine = lambda i: (i % 2 == 1) == (label == "toxic")
+    d = docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    both = spark.createDataFrame([(i, int(mine(i))) for i in range(400)], f"doc_id bigint, {label} int")
+    got = {r.doc_id: r.score for r in module.score(d, module.fit(d, both.where(f"{label} = 1"))).collect()}
+    assert got == {r.doc_id: r.score for r in module.score(d, module.fit(d, both)).collect()}
+    assert min(s for i, s in got.items() if mine(i)) > 0.5 > max(s for i, s in got.items() if not mine(i))
+
+
+def test_examples_are_the_first_by_digest_and_lie_in_no_stored_table(spark, tmp_path, monkeypatch):
+    import hashlib
+    rng = random.Random(12)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 26, 40]))) for _ in range(300)]
+    table = docs(spark, [(i, f"{v} and {values[(i * 7) % 300]}", "en", "a", 1) for i, v in enumerate(values)])
+    monkeypatch.setattr(secret_grammar, "MIN_EXAMPLES", 5)
+    stored = []
+    monkeypatch.setattr("cartlens.llm.common.stored", lambda df, name: stored.append(name) or df)
+    seen = []
+    real = secret_grammar.Automaton
+    monkeypatch.setattr(secret_grammar, "Automaton", lambda examples, **kw: seen.append((examples, kw)) or real(examples, **kw))
+    secret_grammar.learn(table.repartition(7), max_examples=20)
+    first = sorted(set(values), key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v))[:20]
+    assert seen == [(first, {"lengths": (24, 40)})] and not stored
+    assert not hasattr(secret_grammar, "stored")
