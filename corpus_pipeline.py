@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm import mixing, ngram_jaccard, packing, quality_classifier, secret_grammar
-from cartlens.llm.common import WORD, free_name, stored, table
+from cartlens.llm.common import WORD, free_name, small_batches, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -104,6 +104,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    # whole texts go to Python in every stage but the mix; large batches of them stay in an executor's buffers
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
