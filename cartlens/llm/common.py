@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -110,6 +113,15 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def give_back_memory() -> None:
+    """Return to the system what earlier tasks of this Python worker have freed; a worker outlives its tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def in_python_worker_single_threaded() -> None:
     """Keep native libraries to one thread: Spark already runs a task for each core."""
     os.environ.setdefault("RAYON_NUM_THREADS", "1")

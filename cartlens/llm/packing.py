@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import in_python_worker_single_threaded, map_rows, running, stored, table
+from cartlens.llm.common import give_back_memory, in_python_worker_single_threaded, map_rows, running, stored, table
 
 CAPACITY = 2048
 END = 0
-#: Entries that a Python worker keeps of each cache of ids, about 0.2 kB each.
-MOST_KEPT = 900_000
+#: Entries that a Python worker keeps of its cache of ids, about 0.2 kB each.
+MOST_KEPT = 300_000
 #: How a byte-level tokenizer cuts a text, and the first character (after Latin, Greek and Cyrillic) whose class is left to it.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BELOW = "\u0530"
@@ -209,6 +209,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     shape = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
         encode = _encoder(tokenizer_path)
         end = np.array([END], "<u4").tobytes()
         for x in batches:
