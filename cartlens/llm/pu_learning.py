@@ -147,8 +147,8 @@ def all_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def drawn_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_LABELLED,
-               max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
-    """(doc_id, text, positive, unlabelled) of the rows to learn from.
+               max_unlabelled: int = MAX_UNLABELLED, column: str = "text") -> DataFrame:
+    """(doc_id, ``column``, positive, unlabelled) of the rows to learn from.
 
     Only rows outside fold 0 count.  Positives are rows labelled 1; unlabelled ones are documents drawn whatever their
     label, which is not looked at; rows labelled 0 have no part of their own.  Null ids and null labels count as no
@@ -162,7 +162,7 @@ def drawn_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int
     flags = (drawn_ones.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
              .unionByName(drawn.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
              .groupBy("doc_id").agg((F.max("p") == 1).alias("positive"), (F.max("u") == 1).alias("unlabelled")))
-    return docs.select("doc_id", "text").join(F.broadcast(flags), "doc_id")
+    return docs.select("doc_id", column).join(F.broadcast(flags), "doc_id")
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int = MAX_LABELLED,

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import WORD, table
+from cartlens.llm.common import WORD, stored, table
 from cartlens.llm.pu_learning import (MAX_LABELLED, MAX_UNLABELLED, NOTHING_LEARNT, Rows, drawn_rows, estimate_prior, fit_nnpu,
                                       held_out, sigmoid, usable)
 
@@ -65,17 +65,32 @@ def _rounded_up(x: np.ndarray) -> np.ndarray:
     return np.ldexp(np.ceil(digits * 1024) / 1024, power)
 
 
-def quantile_edges(docs: DataFrame) -> list[np.ndarray]:
+def described(docs: DataFrame, text: str = "text", name: str = "shape") -> DataFrame:
+    """``docs`` with the features of its text, an array of doubles, in a column ``name`` at the end; null texts count as empty."""
+    @F.pandas_udf("array<double>")
+    def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(list(_shapes(x)), dtype=object)
+
+    return docs.withColumn(name, of_text.asNondeterministic()(F.col(text)))
+
+
+def _features(column: pd.Series) -> np.ndarray:
+    """The features of a batch of rows, one row each."""
+    return np.array(list(column), np.float64).reshape(-1, len(FEATURES))
+
+
+def quantile_edges(shapes: DataFrame) -> list[np.ndarray]:
     """The quantiles of each feature over all documents outside the held-out fold, rounded up to ten binary digits."""
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = [Counter() for _ in FEATURES]
         for x in batches:
-            for own, values in zip(seen, _rounded_up(_shapes(x["text"])).T):
+            for own, values in zip(seen, _rounded_up(_features(x["shape"])).T):
                 for value, n in zip(*np.unique(values, return_counts=True)):
                     own[float(value)] += int(n)
         yield pd.DataFrame([(k, v, n) for k, own in enumerate(seen) for v, n in own.items()], columns=["feature", "value", "n"])
 
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
+    rows = shapes.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("shape")
     got = (rows.mapInPandas(counted, "feature int, value double, n bigint").groupBy("feature", "value").agg(F.sum("n").alias("n"))
            .toPandas().sort_values(["feature", "value"]))
     edges = []
@@ -101,23 +116,26 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED,
         max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
-    """The classifier; without any trusted row a constant near 0.
+    """``fit_shapes`` on the features of ``docs`` (doc_id, text), which are written once and then read as numbers."""
+    shapes = stored(described(docs.select("doc_id", "text")).select("doc_id", "shape"), "shapes")
+    return fit_shapes(shapes, labels, label, max_labelled, max_unlabelled, prior)
 
-    Quantiles are those of all documents outside the held-out fold; the weights are fitted on the bounded draws.  The
-    class prior is ``prior``, or else estimated from trusted and unlabelled rows.
-    """
-    rows = drawn_rows(docs, labels, label, max_labelled, max_unlabelled)
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"positive": x["positive"], "unlabelled": x["unlabelled"], "x": list(_shapes(x["text"]))})
+def fit_shapes(shapes: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED,
+               max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
+    """The classifier from (doc_id, shape) rows; without any trusted row a constant near 0.
 
-    got = rows.mapInPandas(described, "positive boolean, unlabelled boolean, x array<double>").toPandas()
+    Quantiles are those of all documents outside the held-out fold; the weights are fitted on the bounded draws.  The
+    class prior is ``prior``, or else estimated from trusted and unlabelled rows.  ``shapes`` is read several times and
+    should be a stored table.
+    """
+    rows = drawn_rows(shapes, labels, label, max_labelled, max_unlabelled, "shape")
+    got = rows.select("positive", "unlabelled", "shape").toPandas()  # at most both bounds together
     pos, unl = got["positive"].to_numpy(bool), got["unlabelled"].to_numpy(bool)
     if not usable(pos.sum(), unl.sum()):
         return Model([], [], NOTHING_LEARNT)
-    x = np.stack(got["x"])
-    edges = quantile_edges(docs)
+    x = _features(got["shape"])
+    edges = quantile_edges(shapes)
     first = np.cumsum([0] + [len(e) for e in edges])
     steps = np.concatenate([x[:, [k]] > e for k, e in enumerate(edges)], axis=1)
     lists = [np.flatnonzero(s) for s in steps]
@@ -142,9 +160,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     return docs.withColumn(name, scored.asNondeterministic()(F.col(text)))
 
 
+def score_shapes(shapes: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``shapes``, rows with a ``shape``, with the score (0 to 1) in a column ``name`` at the end."""
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(model.score(_features(x)))
+
+    return shapes.withColumn(name, scored.asNondeterministic()(F.col("shape")))
+
+
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; learned outside the held-out fold."""
+    """Quality score of every document; learned outside the held-out fold.  Each text is described once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    shapes = stored(described(docs).select("doc_id", "shape"), "shapes")
+    scored = score_shapes(shapes, fit_shapes(shapes, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
