@@ -65,14 +65,23 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def analysed(text: Column, stop_words: bool = True) -> Column:
+    """The words that n-grams are built from: tokens without stop words."""
+    words = tokens(text)
+    return without_stop_words(words) if stop_words else words
+
+
 def terms(text: Column, ngram_max: int = 2, stop_words: bool = True) -> Column:
     """Full analyser: tokenise, remove stop words (before n-grams), add bigrams."""
-    words = tokens(text)
-    if stop_words:
-        words = without_stop_words(words)
+    words = analysed(text, stop_words)
     return with_bigrams(words) if ngram_max >= 2 else words
 
 
+def masked(words: Column, kept: list[str]) -> Column:
+    """``words`` with all but the ``kept`` ones empty, so that no bigram of ``with_bigrams`` spans or holds another word."""
+    return F.transform(words, lambda w: F.when(w.isin(*kept), w).otherwise(F.lit("")))
+
+
 def sql_stop_list() -> str:
     """The stop list as a SQL array literal (used by the oracle)."""
     quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cartlens.functions.text import terms
+from cartlens.functions.text import analysed, masked, terms, with_bigrams
 from cartlens.operators.blocks import top_k_dot
 from cartlens.session import materialised
 
 MAX_FEATURES = 500
+#: Words per feature that may bound the bigrams to count; with more of them tied at the bound, all bigrams are counted.
+TIED_WORDS = 16
 
 
 def product_corpus(products: DataFrame, categories: DataFrame, tags: DataFrame) -> DataFrame:
@@ -53,16 +55,45 @@ def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "co
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def top_terms(docs: DataFrame, text_col: str = "corpus", max_features: int = MAX_FEATURES, ngram_max: int = 2,
-              stop_words: bool = True) -> DataFrame:
-    """The ``max_features`` most frequent terms with their counts (ties: term asc).
+def words_of(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus", stop_words: bool = True) -> DataFrame:
+    """(id, words): the analysed words of every document, to be written once and read by each counting pass."""
+    return docs.select(id_col, analysed(F.col(text_col), stop_words).alias("words"))
 
-    The shuffle carries one partial sum per term and task, not one row per
-    document and term.
+
+def _counts(found: DataFrame) -> DataFrame:
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"))
+
+
+def top_terms(words: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int = 2) -> DataFrame:
+    """The ``max_features`` most frequent terms of (id, words) with their counts (ties: term asc).
+
+    Exact in two steps.  Words are counted first; the last of the most frequent ones sets the bound.  A bigram occurs at
+    most as often as either of its words, so only pairs of words that reach the bound can be among the most frequent
+    terms, and only these are counted and shuffled, not every distinct pair of the corpus.
     """
-    found = docs.select(F.explode(terms(F.col(text_col), ngram_max, stop_words)).alias("term"))
-    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"))
-    return counts.orderBy(F.col("term_count").desc(), F.col("term").asc()).limit(max_features)
+    order = [F.col("term_count").desc(), F.col("term").asc()]
+    single = materialised(_counts(words.select(F.explode("words").alias("term"))), "word_counts")
+    top = single.orderBy(*order).limit(max_features)
+    if ngram_max < 2:
+        return top
+    first = top.agg(F.count(F.lit(1)), F.min("term_count")).first()
+    bound = first[1] if first[0] == max_features else 0
+    if not first[0]:
+        return top
+    most = TIED_WORDS * max_features
+    able = [r["term"] for r in single.where(F.col("term_count") >= bound).select("term").limit(most + 1).collect()]
+    w = F.col("words") if len(able) > most else masked(F.col("words"), able)
+    pairs = words.select(F.explode(with_bigrams(w)).alias("term")).where(F.instr("term", " ") > 0)
+    return top.unionByName(_counts(pairs)).orderBy(*order).limit(max_features)
+
+
+def counts_of_terms(words: DataFrame, chosen: list[str], id_col: str = "product_id", ngram_max: int = 2) -> DataFrame:
+    """T5: (id, term, tf) of the ``chosen`` terms in (id, words)."""
+    kept = sorted({w for t in chosen for w in t.split(" ")})
+    w = masked(F.col("words"), kept)
+    found = F.filter(with_bigrams(w) if ngram_max >= 2 else w, lambda t: t.isin(*chosen))
+    return (words.select(id_col, F.explode(found).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary(top: DataFrame, tf: DataFrame, n_docs: int) -> DataFrame:
@@ -109,16 +140,18 @@ class ContentModel:
 
 def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int = 2,
         stop_words: bool = True) -> ContentModel:
-    """T3-T7 over ``corpus`` (product_id, corpus, ...), in two passes over the text.
+    """T3-T7 over ``corpus`` (product_id, corpus, ...), in one pass over the text.
 
-    The first pass counts terms over the corpus and takes the ``max_features``
-    most frequent ones; the second counts only those per document, so at most
-    ``max_features`` rows of a document are shuffled and written.
+    The analysed words are written once.  ``top_terms`` counts words and the
+    pairs that can matter; the last pass counts only the chosen terms per
+    document, so at most ``max_features`` rows of a document are shuffled and
+    written.
     """
     n_docs = corpus.count()
-    top = materialised(top_terms(corpus, max_features=max_features, ngram_max=ngram_max, stop_words=stop_words), "terms")
+    words = materialised(words_of(corpus, stop_words=stop_words), "words")
+    top = materialised(top_terms(words, max_features, ngram_max), "terms")
     chosen = [r["term"] for r in top.select("term").collect()]  # at most max_features
-    tf = materialised(term_counts(corpus, ngram_max=ngram_max, stop_words=stop_words, only=chosen), "term_counts")
+    tf = materialised(counts_of_terms(words, chosen, ngram_max=ngram_max), "term_counts")
     vocab = materialised(vocabulary(top, tf, n_docs), "vocabulary")
     weights = materialised(tfidf(tf, vocab), "tfidf")
     return ContentModel(corpus=corpus, vocab=vocab, weights=weights, n_docs=n_docs, dim=max_features,

@@ -140,34 +140,40 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
     return CleanResult(clean=c, train=train, test=warm_test(train, test_all), deduped=d)
 
 
-def stage_summary(name: str, order: int, df: DataFrame, with_score: bool) -> DataFrame:
-    aggs = [F.lit(name).alias("stage"), F.lit(order).alias("stage_order"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.countDistinct("user_id").alias("n_users"),
-            F.countDistinct("product_id").alias("n_products")]
-    if with_score:
-        aggs += [F.min("score").alias("min_score"), F.max("score").alias("max_score")]
-    else:
-        aggs += [F.lit(None).cast("double").alias("min_score"), F.lit(None).cast("double").alias("max_score")]
-    return df.agg(*aggs)
-
-
 def diagnostics(interactions: DataFrame, products: DataFrame, result: CleanResult | None = None,
                 min_user: int = 3, min_product: int = 3, test_ratio: float = 0.2) -> DataFrame:
-    """Rows, users, products and score range after each stage, one row per stage.
+    """Rows, users, products and score range after each stage, one row per stage, an empty one included.
 
     Pass the ``CleanResult`` of an earlier ``run`` to reuse its materialised
-    clean/train/test tables instead of recomputing the split.
+    tables instead of recomputing them.  Scoring neither adds nor drops rows,
+    so the filtered stage is counted on the scored rows.  Every row stands once
+    by its user and once by its product in one aggregate for all stages, which
+    gives rows and distinct ids from a single exchange of partial sums.
     """
-    enriched = enrich(interactions, products)
     if result is None:
         result = run(interactions, products, min_user, min_product, test_ratio, materialize=False)
     deduped = result.deduped if result.deduped is not None else deduped_enriched(interactions, products)
-    filtered = activity_filter(deduped, min_user, min_product)
-    stages = [("loaded", enriched, False), ("dedup", deduped, False), ("filtered", filtered, False),
+    stages = [("loaded", enrich(interactions, products), False), ("dedup", deduped, False), ("filtered", result.clean, False),
               ("scored", result.clean, True), ("train", result.train, True), ("test", result.test, True)]
-    out = None
-    for order, (name, d, with_score) in enumerate(stages, start=1):
-        part = stage_summary(name, order, d, with_score)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = None
+    for order, (_, d, with_score) in enumerate(stages, start=1):
+        score = F.col("score").cast("double") if with_score else F.lit(None).cast("double")
+        part = d.select(F.lit(order).alias("stage_order"), "user_id", "product_id", score.alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    sides = F.array(F.struct(F.lit("user").alias("side"), F.col("user_id").alias("id")),
+                    F.struct(F.lit("product").alias("side"), F.col("product_id").alias("id")))
+    by_id = (rows.select("stage_order", "score", F.explode(sides).alias("s")).groupBy("stage_order", "s.side", "s.id")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")))
+    empty = rows.sparkSession.range(1, len(stages) + 1, 1, 1).select(
+        F.col("id").cast("int").alias("stage_order"), F.lit(None).cast("string").alias("side"),
+        F.lit(None).cast(by_id.schema["id"].dataType).alias("id"), F.lit(0).cast("long").alias("n"),
+        F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    user, product = F.col("side") == "user", F.col("side") == "product"
+    names = F.array(*[F.lit(name) for name, _, _ in stages])
+    return by_id.unionByName(empty).groupBy("stage_order").agg(
+        F.sum(F.when(user, F.col("n")).otherwise(F.lit(0))).alias("n_rows"),
+        F.count_if(user & F.col("id").isNotNull()).alias("n_users"),
+        F.count_if(product & F.col("id").isNotNull()).alias("n_products"),
+        F.min("low").alias("min_score"), F.max("high").alias("max_score"),
+    ).select(F.element_at(names, F.col("stage_order")).alias("stage"), "stage_order", "n_rows", "n_users", "n_products",
+             "min_score", "max_score")

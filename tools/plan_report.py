@@ -47,6 +47,7 @@ def builds(spark, sf) -> dict:
     from cartlens.sources import tables
     i = inputs(spark, sf)
     chosen = [r["term"] for r in i.content.vocab.select("term").collect()]
+    words = content.words_of(i.corpus)
     return {
         "products": tables.products(spark, sf, i.categories).drop("description"),
         "dedup": interactions.deduped_enriched(i.interactions, i.products),
@@ -55,8 +56,8 @@ def builds(spark, sf) -> dict:
         "item_pairs": similarity.item_pairs(i.train),
         "cf_lists": cf_blocks.cf_lists(i.train, i.cf_pairs, k_user=CF_LIST, k_item=CF_LIST, k_blend=10),
         "corpus": content.product_corpus(i.products_with_text, i.categories, i.tags),
-        "terms": content.top_terms(i.corpus),
-        "term_counts": content.term_counts(i.corpus, only=chosen),
+        "terms": content.top_terms(words),
+        "term_counts": content.counts_of_terms(words, chosen),
         "similar_lists": content.similar_products(i.content, 10),
         "content_lists": content.content_recs(i.train, i.content, 20),
         "hybrid": _hybrid(i),
