@@ -5,7 +5,8 @@ Each step is DataFrame -> DataFrame and the pipeline is a ``transform`` chain.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,33 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
+def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` with a known key that is not among ``ids`` (one column, ``key``), which are written first.
+
+    Spark knows the size of a written list: a short one is broadcast, so the rows stay where they are, and only a
+    long one costs an exchange of the rows.
+    """
+    return df.where(F.col(key).isNotNull()).join(materialised(ids, "ids"), key, "left_anti")
+
+
+def _active(df: DataFrame, key: str, least: int) -> tuple[DataFrame, bool]:
+    """(ids, keep): the ids with ``least`` rows or more (keep), or those with fewer if they are not the larger part; written."""
+    counts = materialised(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "activity")
+    n_ids, n_few = counts.agg(F.count(F.lit(1)), F.count_if(F.col("_n") < least)).first()
+    keep = 2 * n_few > n_ids
+    return counts.filter(F.col("_n") >= least if keep else F.col("_n") < least).select(key), keep
+
+
 def activity_filter(df: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
-    """D3: keep users and products with enough rows, both counted on the same input (one pass)."""
-    uc = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_user).select("user_id")
-    pc = df.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_product) \
-        .select("product_id")
-    return df.join(uc, "user_id", "left_semi").join(pc, "product_id", "left_semi")
+    """D3: keep users and products with enough rows, both counted on the same input (one pass).
+
+    ``df`` is read once for each count and once for the rows, so it should be a written table.  The shorter of the
+    two lists of an entity, ids that stay and ids that go, is written (``without_ids``).
+    """
+    lists = [(key, *_active(df, key, least)) for key, least in (("user_id", min_user), ("product_id", min_product))]
+    for key, ids, keep in lists:
+        df = df.join(materialised(ids, "ids"), key, "left_semi") if keep else without_ids(df, key, ids)
+    return df
 
 
 def assign_scores(df: DataFrame) -> DataFrame:
@@ -85,8 +107,8 @@ def score_filtered(deduped: DataFrame, min_user: int = 3, min_product: int = 3)
 
 
 def clean(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3) -> DataFrame:
-    """S3 -> D2 -> D3 -> D4/D5 -> D6."""
-    return score_filtered(deduped_enriched(interactions, products), min_user, min_product)
+    """S3 -> D2 -> D3 -> D4/D5 -> D6; the deduplicated rows are written, since the activity filter reads them three times."""
+    return score_filtered(materialised(deduped_enriched(interactions, products), "dedup"), min_user, min_product)
 
 
 def flag_train(clean_df: DataFrame, test_ratio: float = 0.2) -> DataFrame:
@@ -105,17 +127,29 @@ def parse_event_time(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Colu
 
 
 def warm_test(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Test rows whose user and product both occur in train."""
-    return (test.join(train.select("user_id").distinct(), "user_id", "left_semi")
-            .join(train.select("product_id").distinct(), "product_id", "left_semi"))
+    """Test rows whose user and product both occur in train.
+
+    The ids that do not occur are looked for first and written: they are few in most splits, and then the test rows
+    need no exchange (``without_ids``).
+    """
+    unseen = [(key, test.select(key).distinct().join(train.select(key).distinct(), key, "left_anti"))
+              for key in ("user_id", "product_id")]
+    for key, ids in unseen:
+        test = without_ids(test, key, ids)
+    return test
 
 
-@dataclass
 class CleanResult:
-    clean: DataFrame
-    train: DataFrame
-    test: DataFrame
-    deduped: DataFrame | None = None
+    """The tables of a cleaning job; ``test`` may be a function, called when the test rows are first asked for."""
+
+    def __init__(self, clean: DataFrame, train: DataFrame, test: DataFrame | Callable[[], DataFrame],
+                 deduped: DataFrame | None = None):
+        self.clean, self.train, self.deduped = clean, train, deduped
+        self._test = test
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return self._test() if callable(self._test) else self._test
 
 
 def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_product: int = 3,
@@ -124,7 +158,8 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
 
     With ``materialize`` the clean table is written to the shared folder
     before the split reads it several times, which also cuts lineage so a lost
-    executor does not replay the dedup.
+    executor does not replay the dedup.  The split itself is not written: it is
+    a condition on the clean rows beside the few ranked ones of one time bucket.
     """
     d = deduped_enriched(interactions, products)
     if materialize:
@@ -133,11 +168,9 @@ def run(interactions: DataFrame, products: DataFrame, min_user: int = 3, min_pro
     if materialize:
         c = materialised(c, "clean")
     flagged = flag_train(c, test_ratio)
-    if materialize:
-        flagged = materialised(flagged, "split")
     train = flagged.filter(F.col("is_train")).drop("is_train")
     test_all = flagged.filter(~F.col("is_train")).drop("is_train")
-    return CleanResult(clean=c, train=train, test=warm_test(train, test_all), deduped=d)
+    return CleanResult(clean=c, train=train, test=lambda: warm_test(train, test_all), deduped=d)
 
 
 def diagnostics(interactions: DataFrame, products: DataFrame, result: CleanResult | None = None,

@@ -25,7 +25,7 @@ from cartlens.session import materialised
 
 _POS_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 ROWS_PER_PARTITION = 1_000_000
-BUCKET_FORMATS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm",
+BUCKET_FORMATS = {"hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm",
                   "second": "yyyy-MM-dd HH:mm:ss"}
 
 
@@ -83,13 +83,13 @@ def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str =
     remaining = k
     row = None
     for unit in bucket_units:
-        # buckets are fixed-width wall-clock text (sorts like time, no time-zone
-        # conversion on the way to the driver and back)
-        bucket = F.date_format(t, BUCKET_FORMATS[unit])
+        # buckets are dates, which are cheap to compare in each row, and inside a day fixed-width wall-clock
+        # text (sorts like time); both go to the driver and back as text, without time-zone conversion
+        bucket = t.cast("date") if unit == "day" else F.date_format(t, BUCKET_FORMATS[unit])
         hist = timed.filter(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
         w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         cum = hist.select("_b", "_n", F.sum("_n").over(w).alias("_cum"))
-        row = cum.filter(F.col("_cum") >= remaining).orderBy("_b").select("_b", "_n", "_cum").first()
+        row = cum.filter(F.col("_cum") >= remaining).orderBy("_b").select(F.col("_b").cast("string").alias("_b"), "_n", "_cum").first()
         if row is None:
             # every timed row is in the head; the rest of the head comes from the null-time rows
             n_timed = hist.agg(F.sum("_n")).first()[0] or 0
@@ -102,8 +102,9 @@ def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str =
             return timed.withColumn(flag_col, F.lit(True)).unionByName(
                 ranked.withColumn(flag_col, F.col("_r") <= need).drop("_r"))
         before = row["_cum"] - row["_n"]
-        head_cond = head_cond | (inside & (bucket < F.lit(row["_b"])))
-        inside = inside & (bucket == F.lit(row["_b"]))
+        found = F.lit(row["_b"]).cast("date") if unit == "day" else F.lit(row["_b"])
+        head_cond = head_cond | (inside & (bucket < found))
+        inside = inside & (bucket == found)
         remaining = remaining - before
         if remaining == row["_n"]:
             # the boundary bucket ends exactly at position k
@@ -117,6 +118,7 @@ def first_k_flag(df: DataFrame, time_col: str, tie_cols, k: int, flag_col: str =
     boundary = timed.filter(inside)
     parts = max(1, math.ceil(row["_n"] / rank_rows))
     ranked = global_row_index(boundary, order, "_r", start=1, num_partitions=parts)
-    boundary_flagged = ranked.withColumn(flag_col, F.col("_r") <= remaining).drop("_r")
+    # written, so that readers of the flag do not rank again
+    boundary_flagged = materialised(ranked.withColumn(flag_col, F.col("_r") <= remaining).drop("_r"), "boundary")
     rest = timed.filter(~inside).withColumn(flag_col, head_cond)
     return rest.unionByName(boundary_flagged).unionByName(untimed.withColumn(flag_col, F.lit(False)))
