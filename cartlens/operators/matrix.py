@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cartlens.operators.ordering import global_row_index
+from cartlens.session import materialised
 
 
 def user_item_scores(train: DataFrame) -> DataFrame:
@@ -37,10 +38,11 @@ def matrix_cells(rows: DataFrame, items: DataFrame, wanted: DataFrame, columns:
     """(user_id, product_id, score) of each wanted (user_id, product_id): the stored value, or 0 where there is none.
 
     Cells outside the matrix, of users or products without any score, are left out.  Each cell meets one chunk of its user's row,
-    so the work follows the wanted cells.
+    so the work follows the wanted cells.  ``rows`` is read for its users and for its values, so it should be a written table.
+    The users are written too, as a list of a known size: a short one is broadcast, and cells of other users end before any exchange.
     """
-    known = rows.select("user_id").distinct()
-    at = (wanted.select("user_id", "product_id").distinct().join(known, "user_id", "left_semi").join(items, "product_id")
+    known = materialised(rows.select("user_id").distinct(), "ids")
+    at = (wanted.select("user_id", "product_id").join(known, "user_id", "left_semi").distinct().join(items, "product_id")
           .withColumn("chunk", F.floor(F.col("idx") / F.lit(columns)).cast("long")))
     stored = rows.select("user_id", "chunk", F.col("idx").alias("_at"), "scores")
     place = F.array_position("_at", F.col("idx"))
@@ -59,8 +61,9 @@ def id_maps(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = [F.col("_k.event_time").alias("_t"), F.col("_k.user_id").alias("_fu"), F.col("_k.product_id").alias("_fp")]
     first_u = train.groupBy("user_id").agg(first).select("user_id", *keys)
     first_i = train.groupBy("product_id").agg(first).select("product_id", *keys)
-    users = global_row_index(first_u, ["_t", "_fu", "_fp"], "idx").select("user_id", "idx")
-    items = global_row_index(first_i, ["_t", "_fu", "_fp"], "idx").select("product_id", "idx")
+    # written: they are counted and then ordered, and the second pass is not to read the train rows again
+    users = global_row_index(materialised(first_u, "first_seen"), ["_t", "_fu", "_fp"], "idx").select("user_id", "idx")
+    items = global_row_index(materialised(first_i, "first_seen"), ["_t", "_fu", "_fp"], "idx").select("product_id", "idx")
     return users, items
 
 
