@@ -151,7 +151,8 @@ def category_dim(products: DataFrame, order_col: str = "source_ord") -> DataFram
     mains = products.groupBy(F.col("main_category").alias("name")).agg(F.min(order_col).alias("_first"))
     subs = products.groupBy(F.col("sub_category").alias("name")).agg(
         F.min(order_col).alias("_first"), F.min_by("main_category", F.col(order_col)).alias("_parent"))
-    subs = subs.join(mains.select("name"), "name", "left_anti").filter(F.col("name") != F.col("_parent"))
+    mains = materialised(mains, "mains")  # a row per category, read for names, number and ids
+    subs = materialised(subs.join(mains.select("name"), "name", "left_anti").filter(F.col("name") != F.col("_parent")), "subs")
     # surrogate keys in first-appearance order, numbered without a single-task window
     main_ids = global_row_index(mains, ["_first"], "category_id", start=1).select("name", "category_id")
     n_main = mains.count()

@@ -11,7 +11,7 @@ from cartlens.operators.ordering import global_row_index
 from cartlens.plans import oracle_base as ob
 from cartlens.plans import oracle_catalogue as oc
 from cartlens.plans.registry import query
-from cartlens.session import ensure_checkpoint_dir
+from cartlens.session import ensure_checkpoint_dir, materialised
 from cartlens.sources import tables
 
 BASE = [oc.RAW, oc.CLEAN]
@@ -21,6 +21,12 @@ def _clean(spark, sf_dir):
     return cg.clean_catalogue(tables.raw_catalogue(spark, sf_dir))
 
 
+def _written(spark, sf_dir, text=False):
+    """The cleaned catalogue as a written table, for queries that read it several times; its texts only where they are asked for."""
+    clean = _clean(spark, sf_dir)
+    return materialised(clean if text else clean.drop("description"), "catalogue")
+
+
 @query("catalog_clean", ob.with_ctes(*BASE, body="SELECT * FROM cat_clean"))
 def catalog_clean(spark, sf_dir):
     """C1-C10 on the raw catalogue text derived from ``part`` and ``documents``."""
@@ -70,7 +76,7 @@ def top_categories(spark, sf_dir):
 @query("stratified_sample", ob.with_ctes(*BASE, oc.SAMPLE, body="SELECT * EXCLUDE (draw) FROM cat_sample"))
 def stratified_sample(spark, sf_dir):
     """Up to 200 rows spread evenly over the 10 largest categories (seeded, repeatable draw)."""
-    s = cg.stratified_sample(_clean(spark, sf_dir), 200, 10, 42)
+    s = cg.stratified_sample(_written(spark, sf_dir, text=True), 200, 10, 42)
     return s.withColumn("sample_pos", F.col("sample_pos").cast("int"))
 
 
@@ -78,24 +84,24 @@ def stratified_sample(spark, sf_dir):
 SELECT main_category, count(*) AS n FROM cat_sample GROUP BY main_category"""))
 def sample_category_counts(spark, sf_dir):
     """C14."""
-    return cg.category_counts(cg.stratified_sample(_clean(spark, sf_dir), 200, 10, 42))
+    return cg.category_counts(cg.stratified_sample(_written(spark, sf_dir), 200, 10, 42))
 
 
 @query("category_dim", ob.with_ctes(*BASE, oc.DIMS, body="SELECT * FROM category_dim_t"))
 def category_dim(spark, sf_dir):
     """C15 over the whole cleaned catalogue."""
-    return cg.category_dim(_clean(spark, sf_dir))
+    return cg.category_dim(_written(spark, sf_dir))
 
 
 @query("product_dim", ob.with_ctes(*BASE, oc.DIMS, body="SELECT * FROM product_dim_t"))
 def product_dim(spark, sf_dir):
     """C16 over the whole cleaned catalogue, ids in file order."""
-    clean = _clean(spark, sf_dir)
+    clean = _written(spark, sf_dir, text=True)
     return cg.product_dim(clean, cg.category_dim(clean))
 
 
 @query("product_tags", ob.with_ctes(*BASE, oc.DIMS, body="SELECT * FROM product_tag_dim_t"))
 def product_tags(spark, sf_dir):
     """C17: tags of every cleaned catalogue product."""
-    numbered = global_row_index(_clean(spark, sf_dir), ["source_ord"], "product_id", start=1)
+    numbered = global_row_index(_written(spark, sf_dir), ["source_ord"], "product_id", start=1)
     return cg.product_tags(numbered)
