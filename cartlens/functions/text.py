@@ -1,7 +1,7 @@
 """Text column expressions for the TF-IDF content model.
 
 All of it is built-in Spark SQL (regex, higher-order array functions), so the
-tokeniser runs inside whole-stage codegen; no Python UDF is involved.
+tokeniser runs inside whole-stage codegen; counting follows in Arrow batches (``operators.ngram_counts``).
 """
 
 from __future__ import annotations
@@ -77,11 +77,6 @@ def terms(text: Column, ngram_max: int = 2, stop_words: bool = True) -> Column:
     return with_bigrams(words) if ngram_max >= 2 else words
 
 
-def masked(words: Column, kept: list[str]) -> Column:
-    """``words`` with all but the ``kept`` ones empty, so that no bigram of ``with_bigrams`` spans or holds another word."""
-    return F.transform(words, lambda w: F.when(w.isin(*kept), w).otherwise(F.lit("")))
-
-
 def sql_stop_list() -> str:
     """The stop list as a SQL array literal (used by the oracle)."""
     quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cartlens.functions.text import analysed, masked, terms, with_bigrams
+from cartlens.functions.text import analysed, terms
 from cartlens.operators.blocks import top_k_dot
+from cartlens.operators.ngram_counts import count_vectors, pair_counts, unit_weights, word_counts
 from cartlens.session import materialised
 
 MAX_FEATURES = 500
@@ -39,10 +40,15 @@ def product_corpus(products: DataFrame, categories: DataFrame, tags: DataFrame)
     j = p.join(cats, "category_id", "inner").join(tag_str, "product_id", "left")
     desc = F.coalesce(F.col("description"), F.lit(""))
     tg = F.coalesce(F.col("tags"), F.lit(""))
-    return j.select(
+    return with_corpus_text(j.select(
         "product_id", "name", desc.alias("description"), "price", "avg_rating", "review_count", "category",
-        tg.alias("tags"),
-        F.concat(F.col("name"), F.lit(" "), F.col("category"), F.lit(" "), tg, F.lit(" "), desc).alias("corpus"))
+        tg.alias("tags")))
+
+
+def with_corpus_text(products: DataFrame) -> DataFrame:
+    """``products`` with the text made of their other columns, which need not be written beside them."""
+    return products.withColumn("corpus", F.concat(F.col("name"), F.lit(" "), F.col("category"), F.lit(" "), F.col("tags"),
+                                                  F.lit(" "), F.col("description")))
 
 
 def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus", ngram_max: int = 2,
@@ -56,12 +62,8 @@ def term_counts(docs: DataFrame, id_col: str = "product_id", text_col: str = "co
 
 
 def words_of(docs: DataFrame, id_col: str = "product_id", text_col: str = "corpus", stop_words: bool = True) -> DataFrame:
-    """(id, words): the analysed words of every document, to be written once and read by each counting pass."""
-    return docs.select(id_col, analysed(F.col(text_col), stop_words).alias("words"))
-
-
-def _counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"))
+    """(id, words): the analysed words of every document, joined by spaces, to be written once and read by each counting pass."""
+    return docs.select(id_col, F.array_join(analysed(F.col(text_col), stop_words), " ").alias("words"))
 
 
 def top_terms(words: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int = 2) -> DataFrame:
@@ -72,7 +74,7 @@ def top_terms(words: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int
     terms, and only these are counted and shuffled, not every distinct pair of the corpus.
     """
     order = [F.col("term_count").desc(), F.col("term").asc()]
-    single = materialised(_counts(words.select(F.explode("words").alias("term"))), "word_counts")
+    single = materialised(word_counts(words), "word_counts")
     top = single.orderBy(*order).limit(max_features)
     if ngram_max < 2:
         return top
@@ -82,18 +84,20 @@ def top_terms(words: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int
         return top
     most = TIED_WORDS * max_features
     able = [r["term"] for r in single.where(F.col("term_count") >= bound).select("term").limit(most + 1).collect()]
-    w = F.col("words") if len(able) > most else masked(F.col("words"), able)
-    pairs = words.select(F.explode(with_bigrams(w)).alias("term")).where(F.instr("term", " ") > 0)
-    return top.unionByName(_counts(pairs)).orderBy(*order).limit(max_features)
+    pairs = pair_counts(words, None if len(able) > most else able)
+    return top.unionByName(pairs).orderBy(*order).limit(max_features)
+
+
+def unrolled(counts: DataFrame, chosen: list[str], id_col: str = "product_id") -> DataFrame:
+    """T5: (id, term, tf) of the rows (id, idx, tf) of ``count_vectors``."""
+    names = counts.sparkSession.createDataFrame(list(enumerate(chosen)), "idx int, term string")
+    rows = counts.select(id_col, F.explode(F.arrays_zip("idx", "tf")).alias("_e")).select(id_col, "_e.idx", "_e.tf")
+    return rows.join(F.broadcast(names), "idx").select(id_col, "term", "tf")
 
 
 def counts_of_terms(words: DataFrame, chosen: list[str], id_col: str = "product_id", ngram_max: int = 2) -> DataFrame:
     """T5: (id, term, tf) of the ``chosen`` terms in (id, words)."""
-    kept = sorted({w for t in chosen for w in t.split(" ")})
-    w = masked(F.col("words"), kept)
-    found = F.filter(with_bigrams(w) if ngram_max >= 2 else w, lambda t: t.isin(*chosen))
-    return (words.select(id_col, F.explode(found).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return unrolled(count_vectors(words, chosen, id_col, ngram_max), chosen, id_col)
 
 
 def vocabulary(top: DataFrame, tf: DataFrame, n_docs: int) -> DataFrame:
@@ -116,6 +120,16 @@ def tfidf(tf: DataFrame, vocab: DataFrame, id_col: str = "product_id") -> DataFr
     return w.select(id_col, "term", "term_idx", (F.col("_w") / norm).alias("weight"))
 
 
+def tfidf_of_vectors(counts: DataFrame, vocab: DataFrame, id_col: str = "product_id") -> DataFrame:
+    """What ``tfidf`` gives, from the rows (id, idx, tf) of ``count_vectors`` whose places are the ``term_idx`` of ``vocab``.
+
+    A row holds all terms of its id, so its length needs no exchange.
+    """
+    idf = [r["idf"] for r in vocab.select("term_idx", "idf").orderBy("term_idx").collect()]  # at most max_features
+    names = F.broadcast(vocab.select("term_idx", "term"))
+    return unit_weights(counts, idf, id_col).join(names, "term_idx").select(id_col, "term", "term_idx", "weight")
+
+
 def vectors(weights: DataFrame, id_col: str, weight_col: str = "weight") -> DataFrame:
     """Sparse vectors (id, idx, val); at most ``max_features`` entries per id."""
     return weights.groupBy(id_col).agg(
@@ -143,17 +157,17 @@ def fit(corpus: DataFrame, max_features: int = MAX_FEATURES, ngram_max: int = 2,
     """T3-T7 over ``corpus`` (product_id, corpus, ...), in one pass over the text.
 
     The analysed words are written once.  ``top_terms`` counts words and the
-    pairs that can matter; the last pass counts only the chosen terms per
-    document, so at most ``max_features`` rows of a document are shuffled and
-    written.
+    pairs that can matter; the last pass counts only the chosen terms, and one
+    row of an id, with at most ``max_features`` places, is exchanged and written.
     """
     n_docs = corpus.count()
     words = materialised(words_of(corpus, stop_words=stop_words), "words")
     top = materialised(top_terms(words, max_features, ngram_max), "terms")
-    chosen = [r["term"] for r in top.select("term").collect()]  # at most max_features
-    tf = materialised(counts_of_terms(words, chosen, ngram_max=ngram_max), "term_counts")
-    vocab = materialised(vocabulary(top, tf, n_docs), "vocabulary")
-    weights = materialised(tfidf(tf, vocab), "tfidf")
+    # at most max_features, in the order of ``term_idx``
+    chosen = [r["term"] for r in top.orderBy(F.col("term_count").desc(), F.col("term").asc()).collect()]
+    counts = materialised(count_vectors(words, chosen, "product_id", ngram_max), "term_counts")
+    vocab = materialised(vocabulary(top, unrolled(counts, chosen), n_docs), "vocabulary")
+    weights = materialised(tfidf_of_vectors(counts, vocab), "tfidf")
     return ContentModel(corpus=corpus, vocab=vocab, weights=weights, n_docs=n_docs, dim=max_features,
                         ngram_max=ngram_max, stop_words=stop_words)
 

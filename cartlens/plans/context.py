@@ -81,8 +81,10 @@ class Inputs:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        from cartlens.operators.content import product_corpus
-        return materialised(product_corpus(self.products_with_text, self.categories, self.tags), "corpus")
+        """Products with their texts; the corpus text is joined again where it is read, not written beside its parts."""
+        from cartlens.operators.content import product_corpus, with_corpus_text
+        got = product_corpus(self.products_with_text, self.categories, self.tags)
+        return with_corpus_text(materialised(got.drop("corpus"), "corpus"))
 
     @cached_property
     def content(self):
