@@ -1,16 +1,15 @@
-"""CF lists of all users from neighbour histories, streamed: no item-pair table, no list per item block.
+"""CF lists of all users from neighbour histories, streamed: no item-pair table, nothing sent.
 
 Same scores as ``cf.cohort_scores``, for everyone at once:
 
   user-based  score(u,i) = sum_v a(u,v) r(v,i)          a(u,v) = cos(u,v)
   item-based  score(u,i) = sum_v b(u,v) r(v,i) / |i|    b(u,v) = sum_j r(u,j) r(v,j) / |j|
 
-What is written and shuffled are the neighbours' entries once, as arrays (sum of deg^2 over the products, which follows
-the input where degrees stay), and the histories once per user group.  A group is (users a, items b).  Its rows arrive
-sorted: first the histories' parts in b, as arrays per user, then the neighbours of a's users, user by user.  The task
-keeps the first (``HISTORY_ROWS`` at most, as item blocks are cut by that) and streams the second; NumPy spreads each
-user's neighbours over their histories, and a user is done and cut to the top k when the next one comes.  A user's
-lists are complete where one item block suffices; else the blocks' lists are merged with ``row_number() <= k``.
+Two sparse tables are written, a row per product and a row per user.  The task of a group of users reads its users'
+rows, then all users' rows, which give its users' neighbours with both weights, then all products' rows: a product's row
+has everyone who bought it, so each row gives the product's complete scores for the group, and only what can still be
+among a user's top k is kept.  A task holds its users' neighbours (about ``NEIGHBOURS`` at most, users are dealt to
+groups by that), and the disk holds the two tables: what grows with the number of groups is reading (``streamed``).
 """
 
 from __future__ import annotations
@@ -22,169 +21,153 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from cartlens.functions.numeric import tie_key
-from cartlens.operators.blocks import topk_positive
-from cartlens.operators.similarity import CELL_ROWS, pieces, with_norm
-from cartlens.operators.split_join import split_join
+from cartlens.operators import streamed as st
 from cartlens.session import materialised
 
-OUT_SCHEMA = "list string, user_id long, product_id long, score double"
-HISTORY_ROWS = 16_000_000  # rows of the histories that a group keeps
-STEP = 1_000_000  # products in one NumPy step
-CELLS = 262_144  # cells of its score table, so that it stays in the cache; more only where one user's items are more
-
-
-def _top(s: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best positive entries, best first; only those that can be among them are rounded and sorted."""
-    at = np.arange(s.size)
-    if s.size > k:
-        at = np.flatnonzero(s >= np.partition(s, s.size - k)[s.size - k] - 1e-9)
-    return at[topk_positive(s[None, at], k)[1]]
-
-
-def _flat(lists: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of every entry of a column of arrays."""
-    own = [np.asarray(x, kind) for x in lists]
-    values = np.concatenate(own) if own else np.zeros(0, kind)
-    return np.repeat(np.arange(len(own)), [len(x) for x in own]), values
+NAMES = ["list", "user_id", "product_id", "score", "rank"]
+OUT_SCHEMA = "list string, user_id long, product_id long, score double, rank int"
+NEIGHBOURS = 16_000_000  # neighbours of a group's users that it keeps
+STEP = 200_000  # products in one NumPy step, so that its arrays stay in the cache
+CELLS = 1_048_576  # (product, user) cells of one step
 
 
 class _Group:
-    """The histories of one group; ``lists`` scores users against them."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        who, item, r = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(who, kind="stable")
-        self.items, at = np.unique(item[order], return_inverse=True)
-        self.at, self.r = at.astype(np.int32), r[order]
-        self.users, self.start = np.unique(who[order], return_index=True)
-        self.end = np.append(self.start[1:], who.size)
-        self.norm = np.sqrt(np.bincount(self.at, weights=self.r * self.r, minlength=self.items.size))
-
-    def _spread(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of ``place``, position) of every history entry of the users at these places."""
-        n = self.end[place] - self.start[place]
-        return np.repeat(np.arange(place.size), n), np.repeat(self.start[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-    def lists(self, u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, cuts: tuple) -> Iterator[pd.DataFrame]:
-        """Top lists of the users ``u``, whose neighbours ``v`` (with the weights of one shared product) all stand here."""
-        users, row = np.unique(u, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.users, v), self.users.size - 1)
-        here = (self.users[place] == v) & (v != u)
-        key, near = np.unique(row[here] * self.users.size + place[here], return_inverse=True)
-        a, b = (np.bincount(near, weights=x[here], minlength=key.size) for x in (a, b))
-        row, place = np.divmod(key, self.users.size)
-        work = np.bincount(row, weights=self.end[place] - self.start[place], minlength=users.size)
-        most = max(1, CELLS // max(1, self.items.size))
-        lo = 0
-        while lo < users.size:
-            total = np.cumsum(work[lo:lo + most])
-            hi = lo + max(1, int(np.searchsorted(total, STEP, "right")))
-            mine = slice(*np.searchsorted(row, [lo, hi]))
-            yield from self._cut(users[lo:hi], row[mine] - lo, place[mine], a[mine], b[mine], cuts)
-            lo = hi
-
-    def _cut(self, users, row, place, a, b, cuts) -> Iterator[pd.DataFrame]:
-        k_user, k_item, k_blend, uw, iw = cuts
-        if row.size == 0:
+    """The users of a group with their neighbours; ``add`` takes products' rows, ``lists`` has the result."""
+
+    def __init__(self, own: st.Own, cuts: tuple):
+        self.own, self.n = own, own.ids.size
+        k_user, k_item, k_blend, self.uw, self.iw = cuts
+        self.best = {name: st.Best(self.n, k, own.has) for name, k in (("user", k_user), ("item", k_item), ("blend", k_blend))}
+        self.near = []
+        self.mark = np.zeros(max(CELLS, self.n), np.int32)
+
+    def neighbours(self, rows: tuple[np.ndarray, ...]) -> None:
+        self.near += [(v, at.astype(np.int32), a, b) for v, at, a, b in self.own.meet(rows, STEP)]
+
+    def close(self) -> None:
+        """All neighbours are there: index them by id."""
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))
+        parts, self.near = list(zip(*self.near)) or [[x] for x in none], []
+        v = np.concatenate(parts[0])
+        ids, run = np.unique(v, return_inverse=True)
+        order = np.argsort(run, kind="stable")
+        self.ends = np.cumsum(np.bincount(run, minlength=ids.size))
+        del v, run
+        self.ids = st.Places(ids)
+        self.at, self.a, self.b = (np.concatenate(x)[order] for x in parts[1:])
+
+    def add(self, rows: tuple[np.ndarray, ...]) -> None:
+        item, v, p, q = rows
+        slot = self.ids.of(v)
+        here = np.flatnonzero(slot >= 0)
+        if here.size == 0:
             return
-        n = self.items.size
-        su, si = 0.0, 0.0
-        # a user with more neighbours' entries than one step takes several
-        ends = np.cumsum(self.end[place] - self.start[place])
+        item, p, q, slot = item[here], p[here], q[here], slot[here]
+        start = np.where(slot > 0, self.ends[slot - 1], 0)
+        n = self.ends[slot] - start
+        first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        bounds = np.append(first, item.size)
+        work = np.cumsum(np.add.reduceat(n, first))
+        most = max(1, CELLS // self.n)
         lo = 0
-        while lo < row.size:
-            done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + STEP, "right")))
-            near, pos = self._spread(place[lo:hi])
-            cell = row[lo:hi][near] * n + self.at[pos]
-            su = su + np.bincount(cell, weights=a[lo:hi][near] * self.r[pos], minlength=users.size * n)
-            si = si + np.bincount(cell, weights=b[lo:hi][near] * self.r[pos], minlength=users.size * n)
+        while lo < first.size:
+            done = work[lo - 1] if lo else 0
+            hi = min(lo + most, max(lo + 1, int(np.searchsorted(work, done + STEP, "right"))))
+            e = slice(bounds[lo], bounds[hi])
+            row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo:hi + 1]))
+            self._offer(item[first[lo:hi]], *self._sums(row, start[e], n[e], p[e], q[e]))
             lo = hi
-        seen = np.minimum(np.searchsorted(self.users, users), self.users.size - 1)
-        known = np.flatnonzero(self.users[seen] == users)
-        near, pos = self._spread(seen[known])
-        own = known[near] * n + self.at[pos]
-        su[own] = 0.0
-        si[own] = 0.0
-        cells = np.flatnonzero((su > 0) | (si > 0))
-        who, item = np.divmod(cells, n)
-        bounds = np.searchsorted(who, np.arange(users.size + 1))
-        x, y = su[cells], si[cells] / self.norm[item]
-        for name, k, s in (("user", k_user, x), ("item", k_item, y), ("blend", k_blend, uw * x + iw * y)):
-            best = [bounds[r] + _top(s[bounds[r]:bounds[r + 1]], k) for r in range(users.size)] if k > 0 else []
-            if best and (at := np.concatenate(best)).size:
-                yield pd.DataFrame({"list": name, "user_id": users[who[at]], "product_id": self.items[item[at]], "score": s[at]})
+
+    def _sums(self, row, start, n, p, q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, user-based sum, item-based sum before the division); cell = row * users + user."""
+        ends = np.cumsum(n)
+        if ends[-1] > STEP:  # one product: a cell per user, summed in several steps
+            su, si, lo = np.zeros(self.n), np.zeros(self.n), 0
+            while lo < n.size:
+                done = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + STEP, "right")))
+                pos = st.spread(start[lo:hi], n[lo:hi])
+                for total, w, x in ((su, self.a, p), (si, self.b, q)):
+                    total += np.bincount(self.at[pos], weights=w[pos] * np.repeat(x[lo:hi], n[lo:hi]), minlength=self.n)
+                lo = hi
+            cells = np.flatnonzero((su > 0) | (si > 0))
+            return cells, su[cells], si[cells]
+        pos = st.spread(start, n)
+        cell = np.repeat(row * self.n, n) + self.at[pos]
+        place = np.arange(cell.size, dtype=np.int32)
+        self.mark[cell] = place
+        cell_of = self.mark[cell]
+        first = np.flatnonzero(cell_of == place)
+        su, si = (np.bincount(cell_of, weights=w[pos] * np.repeat(x, n), minlength=cell.size)[first]
+                  for w, x in ((self.a, p), (self.b, q)))
+        return cell[first], su, si
+
+    def _offer(self, items, cells, x, y) -> None:
+        row, user = np.divmod(cells, self.n)
+        item = items[row]
+        for name, s in (("user", x), ("item", y), ("blend", self.uw * x + self.iw * y)):
+            self.best[name].offer(user, item, s)
+
+    def lists(self) -> Iterator[pd.DataFrame]:
+        for name, best in self.best.items():
+            user, item, score, rank = best.lists()
+            for lo in range(0, user.size, STEP):
+                at = slice(lo, lo + STEP)
+                yield pd.DataFrame({"list": name, "user_id": self.own.ids[user[at]], "product_id": item[at], "score": score[at], "rank": rank[at]})
 
 
 def _kernel(*cuts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, parts, group, held = None, [], None, []
-
-        def score(rest: list) -> Iterator[pd.DataFrame]:
-            if rest and group is not None:
-                yield from group.lists(*(np.concatenate(x) for x in zip(*rest)), cuts)
-
-        for pdf in batches:
-            for g, rows in pdf.groupby("g", sort=True):
-                if g != at:
-                    yield from score(held)
-                    at, parts, group, held = g, [], None, []
-                kept = rows[rows["kind"] == 0]
-                if len(kept):
-                    r, item = _flat(kept["v"], np.int64)
-                    parts.append((kept["u"].to_numpy(np.int64)[r], item, _flat(kept["x"], np.float64)[1]))
-                near = rows[rows["kind"] == 1]
-                if len(near) == 0:
-                    continue
-                if group is None:
-                    if not parts:
-                        continue  # no history has an item of this block
-                    group, parts = _Group(parts), []
-                r, v = _flat(near["v"], np.int64)
-                u = near["u"].to_numpy(np.int64)[r]
-                held.append((u, v, near["hu"].to_numpy(np.float64)[r] * _flat(near["x"], np.float64)[1],
-                             near["ru"].to_numpy(np.float64)[r] * _flat(near["y"], np.float64)[1]))
-                # the last user may go on in the next batch
-                last = u[-1] if u.size else None
-                if sum(x[0].size for x in held) >= STEP and (held[0][0][0] != last):
-                    u, *values = (np.concatenate(x) for x in zip(*held))
-                    full = u != last
-                    yield from score([(u[full], *[x[full] for x in values])])
-                    held = [(u[~full], *[x[~full] for x in values])]
-        yield from score(held)
+        parts, group, rest = [], None, []
+        for kind, rows in st.runs(batches):
+            if kind == st.OWN:
+                parts.append(rows)
+                continue
+            if group is None:
+                if not parts:
+                    continue  # no user fell into this group
+                group, parts = _Group(st.Own(parts), cuts), []
+            if kind == st.NEAR:
+                group.neighbours(rows)
+                continue
+            if group.near is not None:
+                group.close()
+                group.near = None
+            # the last product may go on in the next batch
+            if rest:
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows))
+            others = np.flatnonzero(rows[0] != rows[0][-1])
+            full = int(others[-1]) + 1 if others.size else 0
+            if full:
+                group.add(tuple(x[:full] for x in rows))
+            rest = tuple(x[full:] for x in rows)
+        if rest:
+            group.add(rest)
+        if group is not None:
+            yield from group.lists()
     return run
 
 
 def neighbour_lists(train: DataFrame, k_user: int, k_item: int, k_blend: int = 0, user_weight: float = 0.5,
                     item_weight: float = 0.5, users: DataFrame | None = None, history_rows: int | None = None,
                     user_groups: int | None = None) -> DataFrame:
-    """(list, user_id, product_id, score, rank) with the same content as ``cf.ranked_lists``; ``users``: these only."""
+    """(list, user_id, product_id, score, rank) with the same content as ``cf.ranked_lists``; ``users``: these only.
+
+    ``history_rows``: neighbours' weights that a group keeps (default ``NEIGHBOURS``); ``user_groups``: so many groups.
+    """
     slots = train.sparkSession.sparkContext.defaultParallelism
-    t = with_norm(with_norm(train.select("user_id", "product_id", "score"), "user_id", "_un"), "product_id", "_in")
-    t = materialised(t, "normed")
-    n_items = max(1, math.ceil(t.count() / (history_rows or HISTORY_ROWS)))
-    n_users = user_groups or max(1, math.ceil(2 * slots / n_items))
-    hist = t if users is None else t.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    own = hist.select("product_id", F.col("user_id").alias("u"), (F.col("score") / F.col("_un")).alias("hu"),
-                      F.col("score").alias("ru"))
-    lists = pieces(t.select("product_id", F.col("user_id").alias("v"), (F.col("score") / F.col("_un")).alias("x"),
-                            (F.col("score") / F.col("_in")).alias("y")), "product_id", ["v", "x", "y"])
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    group = (F.col("_a") * F.lit(n_items) + F.col("_b")).alias("g")
-    near = (split_join(own, lists, "product_id", CELL_ROWS).select("*", block("u", n_users).alias("_a"), all_of(n_items).alias("_b"))
-            .select(group, F.lit(1).alias("kind"), "u", "hu", "ru", "v", "x", "y"))
-    parts = pieces(t.select(F.struct(F.col("user_id").alias("u"), block("product_id", n_items).alias("b")).alias("_k"),
-                            F.col("product_id").alias("v"), F.col("score").alias("x")), "_k", ["v", "x"])
-    kept = (parts.select("*", F.col("_k.b").alias("_b"), all_of(n_users).alias("_a"))
-            .select(group, F.lit(0).alias("kind"), F.col("_k.u").alias("u"), "v", "x"))
-    rows = near.unionByName(kept, allowMissingColumns=True)
-    found = (rows.repartitionById(n_users * n_items, "g").sortWithinPartitions("g", "kind", "u")
-             .mapInPandas(_kernel(k_user, k_item, k_blend, user_weight, item_weight), OUT_SCHEMA))
-    w = Window.partitionBy("list", "user_id").orderBy(tie_key(F.col("score")).desc(), F.col("product_id").asc())
-    limit = (F.when(F.col("list") == "user", F.lit(k_user))
-             .when(F.col("list") == "item", F.lit(k_item)).otherwise(F.lit(k_blend)))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    t = train.select("user_id", "product_id", "score").where("user_id IS NOT NULL")
+    by_item = materialised(st.keyed_rows(t, "product_id", "user_id"), "product_rows")
+    by_user = materialised(st.entity_rows(by_item), "user_rows")
+    by_item = st.known_rows(by_item)
+    n = by_item.agg(F.sum(F.size("keys")).alias("n"), F.sum(F.size("keys").cast("double") * F.size("keys")).alias("met")).first()
+    own, share = by_user, 1.0
+    if users is not None:
+        own = materialised(by_user.join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"), "asked_rows")
+        share = (own.agg(F.sum(F.size("keys"))).first()[0] or 0) / max(n["n"] or 0, 1)
+    groups = user_groups or max(slots, math.ceil((n["met"] or 0) * share / (history_rows or NEIGHBOURS)))
+    kernel = _kernel(k_user, k_item, k_blend, user_weight, item_weight)
+    # own and near: p = score / |user|; own: q = score / |product|; products: q = score / |product|
+    return st.each_group(own, ("r", "w"), [(by_user, "r", "r"), (by_item, "r", "r")], groups, kernel, OUT_SCHEMA, NAMES,
+                         unit=((st.OWN, "p"), (st.NEAR, "p"), (st.LAST, "q")))
