@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cartlens.operators import cf_lists, streamed
+from cartlens.operators import cf_lists, similarity, streamed
 
 
 def train(spark):
@@ -45,3 +45,41 @@ def test_best_keeps_ties_in_id_order(monkeypatch):
         mine = sorted((-np.rint(s * 1e10), o, s) for a, o, s in zip(row, other, score) if a == r and s > 0 and o % 3)
         want += [(r, o, s, i) for i, (_, o, s) in enumerate(mine[:7], 1)]
     assert got == want
+
+
+def sums(found):
+    return {(r[0], r[1]): tuple(r)[2:] for r in found.collect()}
+
+
+@pytest.mark.parametrize("step", [1_000_000, 15])
+def test_streamed_pairs_equal_the_join(spark, monkeypatch, step):
+    held = similarity._pairs_kernel
+
+    def small(*how):
+        run = held(*how)
+
+        def stepped(batches):
+            before, similarity.STEP = similarity.STEP, step  # the worker process outlives the test
+            try:
+                yield from run(batches)
+            finally:
+                similarity.STEP = before
+        return stepped
+    monkeypatch.setattr(similarity, "_pairs_kernel", small)
+    rows = train(spark).unionByName(spark.createDataFrame([(None, 3, 9.0), (5, None, 2.0), (None, None, 1.0)], train(spark).schema))
+    for got, want in ((similarity.item_pairs(rows), similarity.item_pairs(rows, "join")),
+                      (similarity.user_similarity(rows), similarity.cosine_pairs(rows, "user_id", "product_id", "other_user_id", "join"))):
+        assert "Exchange" not in plan_of(got)
+        got, want = sums(got), sums(want)
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+    best = similarity.similar(similarity.user_similarity(rows, by_entity=True, top=3), "user_id", "other_user_id", 3)
+    plain = similarity.similar(similarity.cosine_pairs(rows, "user_id", "product_id", "other_user_id", "join"), "user_id", "other_user_id", 3)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_written_tables_writes_the_pair_table_once(spark, monkeypatch):
+    from cartlens import plans
+    from cartlens.plans import context
+    context.forget()
+    assert plans.queries()["written_tables"](spark, "/root/testdata/sf0.001").where("table_name = 'item_pairs'").first()["n_rows"] > 0
+    assert "cf_pairs" not in context.inputs(spark, "/root/testdata/sf0.001").__dict__
