@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+def _write(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
     w = df.write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -47,7 +49,8 @@ def save_models(base: str, item_pairs: DataFrame | None = None, vocab: DataFrame
     out = {}
     for name, df in (("item_pairs", item_pairs), ("vocabulary", vocab), ("tfidf", weights)):
         if df is not None:
-            out[name] = _write(df, f"{base}/{name}")
+            # two rows for each pair of items that met: worth the better compression
+            out[name] = _write(df, f"{base}/{name}", compression="zstd" if name == "item_pairs" else None)
     return out
 
 
