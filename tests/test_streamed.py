@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cartlens.operators import cf_lists, similarity, streamed
+from cartlens.operators import blocks, cf_lists, similarity, streamed
 
 
 def train(spark):
@@ -83,3 +83,32 @@ def test_written_tables_writes_the_pair_table_once(spark, monkeypatch):
     context.forget()
     assert plans.queries()["written_tables"](spark, "/root/testdata/sf0.001").where("table_name = 'item_pairs'").first()["n_rows"] > 0
     assert "cf_pairs" not in context.inputs(spark, "/root/testdata/sf0.001").__dict__
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 60])
+def test_streamed_products_copy_no_row(spark, monkeypatch, chunk):
+    from test_blocks import expected, lists, rows
+    monkeypatch.setattr(blocks, "LEAST_ROWS", 1)
+    held = blocks._streamed_kernel
+
+    def small(*how):
+        run = held(*how)
+
+        def stepped(batches):
+            before = blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT  # the worker process outlives the test
+            blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT = chunk, 7, 9
+            try:
+                yield from run(batches)
+            finally:
+                blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT = before
+        return stepped
+    monkeypatch.setattr(blocks, "_streamed_kernel", small)
+    left, right = rows(60, 1), rows(100, 2)
+    schema = "id long, idx array<int>, val array<double>"
+    l, r = spark.createDataFrame(left, schema).coalesce(2), spark.createDataFrame(right, schema).coalesce(3)
+    gone = {(left[n % 60][0], right[(n * 7) % 100][0]) for n in range(300)}
+    ex = spark.createDataFrame(sorted(gone), "id long, right_id long")
+    got = blocks.top_k_dot(l, r, 40, 5, left_excl=ex)
+    assert "Exchange" not in plan_of(got) and lists(got) == expected(left, right, 5, gone)
+    own = {(i, i) for i, *_ in right}
+    assert lists(blocks.top_k_dot(r, r, 40, 5, exclude_self=True)) == expected(right, right, 5, own)
