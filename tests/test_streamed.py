@@ -85,8 +85,8 @@ def test_written_tables_writes_the_pair_table_once(spark, monkeypatch):
     assert "cf_pairs" not in context.inputs(spark, "/root/testdata/sf0.001").__dict__
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 60])
-def test_streamed_products_copy_no_row(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,cells", [(4_000_000, 32_000_000), (60, 32_000_000), (60, 0)])
+def test_streamed_products_copy_no_row(spark, monkeypatch, chunk, cells):
     from test_blocks import expected, lists, rows
     monkeypatch.setattr(blocks, "LEAST_ROWS", 1)
     held = blocks._streamed_kernel
@@ -95,12 +95,15 @@ def test_streamed_products_copy_no_row(spark, monkeypatch, chunk):
         run = held(*how)
 
         def stepped(batches):
-            before = blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT  # the worker process outlives the test
-            blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT = chunk, 7, 9
+            names = ("CHUNK_ENTRIES", "TILE_LEFT", "TILE_RIGHT", "TILE_BOUND", "BOUND_ROWS", "DENSE_CELLS")
+            before = [getattr(blocks, n) for n in names]  # the worker process outlives the test
             try:
+                for n, x in zip(names, (chunk, 7, 9, 9, 13, cells)):
+                    setattr(blocks, n, x)
                 yield from run(batches)
             finally:
-                blocks.CHUNK_ENTRIES, blocks.TILE_LEFT, blocks.TILE_RIGHT = before
+                for n, x in zip(names, before):
+                    setattr(blocks, n, x)
         return stepped
     monkeypatch.setattr(blocks, "_streamed_kernel", small)
     left, right = rows(60, 1), rows(100, 2)
