@@ -115,3 +115,5 @@ def test_streamed_products_copy_no_row(spark, monkeypatch, chunk, cells):
     assert "Exchange" not in plan_of(got) and lists(got) == expected(left, right, 5, gone)
     own = {(i, i) for i, *_ in right}
     assert lists(blocks.top_k_dot(r, r, 40, 5, exclude_self=True)) == expected(right, right, 5, own)
+    both = blocks.top_k_dot(r, None, 40, 5, exclude_self=True)
+    assert "Exchange" not in plan_of(both) and lists(both) == expected(right, right, 5, own)
